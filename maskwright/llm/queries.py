@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
-from maskwright.llm import simhash
+from functools import wraps
+
+from maskwright.llm import bpe, decontaminate, fingerprint, secrets, simhash, warc
+from maskwright.llm.common import ship
+
+
+def _shipped(query):
+    """The query, once the executors have this package."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op8_simhash": simhash.op8_simhash,
+    q.__name__: _shipped(q)
+    for q in (
+        warc.op1_warc,
+        decontaminate.op3_decontaminate,
+        bpe.op4_bpe,
+        secrets.op5_secrets,
+        fingerprint.op6_fingerprint,
+        simhash.op8_simhash,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
+}
