@@ -163,7 +163,7 @@ def nfkc(text: Column) -> Column:
 
     def whole(s: Column) -> Column:
         one = lambda c: F.when(F.ascii(c).between(HANGUL, HANGUL + HANGUL_COUNT - 1), _hangul_parts(c)).otherwise(F.coalesce(F.nullif(t["opened"].at(c), F.lit("")), c))
-        opened = F.array_join(F.transform(pieces(s, rf"[{stable}]+|[^{stable}]"), lambda c: F.when(c.rlike(f"^[{stable}]"), c).otherwise(one(c))), "")
+        opened = F.array_join(F.transform(pieces(s, rf"[{stable}]+(?![{joining}])|[{stable}]|[^{stable}]"), lambda c: F.when(F.char_length(c) == 1, one(c)).otherwise(c)), "")
         ordered = F.array_join(F.transform(pieces(opened, r"\p{M}{2,}|\p{M}|\P{M}+"), lambda r: F.when(r.rlike(r"^\p{M}{2}"), _in_order(r)).otherwise(r)), "")
         runs = pieces(ordered, f"[^{joining}]+(?![{joining}])|[^{joining}]?[{joining}]+")
         return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"[{joining}]"), _compose_run(r)).otherwise(r)), "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from maskwright.llm import bpe, decontaminate, fingerprint, secrets, simhash, warc
+from maskwright.llm import bpe, decontaminate, fingerprint, html, secrets, simhash, urls, warc
 from maskwright.llm.common import ship
 
 
@@ -23,11 +23,13 @@ QUERIES = {
     q.__name__: _shipped(q)
     for q in (
         warc.op1_warc,
+        urls.op2_urls,
         decontaminate.op3_decontaminate,
         bpe.op4_bpe,
         secrets.op5_secrets,
         fingerprint.op6_fingerprint,
         simhash.op8_simhash,
+        html.op10_html,
     )
 }
 
