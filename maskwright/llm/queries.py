@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from maskwright.llm import bpe, decontaminate, fingerprint, html, secrets, simhash, urls, warc
+from maskwright.llm import bpe, decontaminate, fingerprint, html, secrets, simhash, toxicity, urls, warc
 from maskwright.llm.common import ship
 
 
@@ -29,6 +29,7 @@ QUERIES = {
         secrets.op5_secrets,
         fingerprint.op6_fingerprint,
         simhash.op8_simhash,
+        toxicity.op9_toxicity,
         html.op10_html,
     )
 }
