@@ -41,21 +41,33 @@ def _runs(points: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _number(binary: Column) -> Column:
+    """Big-endian bytes as an int."""
+    return F.conv(F.hex(binary), 16, 10).cast("int")
+
+
 class _Table:
-    """Strings by code point as two constant arrays: a place for each block of 256 code points, and the blocks that hold any, one after another."""
+    """Strings by code point in three constant byte strings, which cost a plan little: for each block of 256 code points its number among those that hold any; for each code point of these offset and length; and the UTF-8 of all strings."""
 
-    def __init__(self, entries: dict[int, str], kind: str = "string"):
+    def __init__(self, entries: dict[int, str]):
         used = sorted({cp >> 8 for cp in entries})
-        places = {block: i * 256 for i, block in enumerate(used)}
-        empty = "0" if kind == "int" else ""
-        text = lambda items: "'" + "\u0001".join(items).replace("\\", "\\\\").replace("'", "\\'") + "'"
-        self.places = f"cast(split({text(str(places.get(b, -1 << 9)) for b in range(used[-1] + 1))}, '\u0001') as array<int>)"
-        self.values = f"cast(split({text(entries.get(b * 256 + i, empty) for b in used for i in range(256))}, '\u0001') as array<{kind}>)"
+        number = {block: i + 1 for i, block in enumerate(used)}
+        self.blocks = b"".join(number.get(b, 0).to_bytes(2) for b in range((sys.maxunicode >> 8) + 1))
+        held, records = bytearray(), bytearray(4 * 256)  # the first block is empty
+        for block in used:
+            for cp in range(block * 256, block * 256 + 256):
+                own = entries.get(cp, "").encode()
+                records += len(held).to_bytes(3) + len(own).to_bytes(1)
+                held += own
+        self.records, self.held = bytes(records), bytes(held)
 
     def at(self, c: Column) -> Column:
-        """The entry of the first character of ``c``; empty, or null beyond the last block."""
+        """The entry of the first character of ``c``; empty if it has none."""
         cp = F.ascii(c)
-        return F.get(F.expr(self.values), F.get(F.expr(self.places), F.shiftright(cp, 8)) + cp.bitwiseAND(F.lit(255)))
+        slice_of = lambda data, at, n: F.substring(F.lit(data), at.cast("int"), n)
+        block = _number(slice_of(self.blocks, F.shiftright(cp, 8) * 2 + 1, F.lit(2)))
+        record = slice_of(self.records, (block * 256 + cp.bitwiseAND(F.lit(255))) * 4 + 1, F.lit(4))
+        return _let(record, lambda r: slice_of(self.held, _number(F.substring(r, 1, 3)) + 1, _number(F.substring(r, 4, 1))).cast("string"))
 
 
 #: How many of the longest runs of stable characters beyond Latin are looked for first.
@@ -84,8 +96,9 @@ def _tables() -> dict:
     latin = [r for r in stable if r[0] < 0x250]
     return {
         "opened": _Table(opened),
-        "classes": _Table(classes, "int"),
+        "classes": _Table(classes),
         "pairs": _Table(pairs),
+        "quick": _ranges([(0, 0x7F), (0xC0, 0xFF)]),
         "stable": _ranges(latin + sorted(stable[len(latin) :], key=lambda r: r[0] - r[1])[:LONG_RUNS]),
         "joining": r"\p{M}" + _ranges(_runs(sorted(cp for cp in joining if unicodedata.category(chr(cp))[0] != "M"))),
     }
@@ -112,7 +125,7 @@ def _hangul_parts(c: Column) -> Column:
 
 def _class(c: Column) -> Column:
     """The canonical combining class."""
-    return F.coalesce(_tables()["classes"].at(c), F.lit(0))
+    return F.coalesce(_tables()["classes"].at(c).try_cast("int"), F.lit(0))
 
 
 def _composed(starter: Column, c: Column) -> Column:
@@ -120,13 +133,10 @@ def _composed(starter: Column, c: Column) -> Column:
     a, b = F.ascii(starter), F.ascii(c)
     lv = a.between(L, L + 18) & b.between(V, V + V_COUNT - 1)
     lvt = a.between(HANGUL, HANGUL + HANGUL_COUNT - 1) & ((a - HANGUL) % T_COUNT == 0) & b.between(T + 1, T + T_COUNT - 1)
-    known = _tables()["pairs"].at(starter)  # characters that may follow, each before its composite
-    place = F.instr(known, c)
-    return (
-        F.when(lv, _char((((a - L) * V_COUNT + b - V) * T_COUNT + HANGUL).cast("int")))
-        .when(lvt, _char((a + b - T).cast("int")))
-        .when(place % 2 == 1, F.substring(known, place + 1, F.lit(1)))
-    )
+    cp = F.when(lv, ((a - L) * V_COUNT + b - V) * T_COUNT + HANGUL).when(lvt, a + b - T)
+    # characters that may follow, each before its composite
+    known = _let(_tables()["pairs"].at(starter), lambda k: _let(F.instr(k, c), lambda place: F.when(place % 2 == 1, F.substring(k, place + 1, F.lit(1)))))
+    return F.when(lv | lvt, _char(cp.cast("int"))).otherwise(known)
 
 
 def _in_order(run: Column) -> Column:
@@ -139,18 +149,18 @@ def _in_order(run: Column) -> Column:
 def _compose_run(run: Column) -> Column:
     """A starter and what may join it, composed as the standard says: a character joins the last starter unless one of its own class or a higher one stands between."""
 
-    def step(acc: Column, c: Column) -> Column:
-        klass = _class(c)
-        free = (acc["tail"] == "") | ((acc["last"] < klass) & (acc["last"] > 0))
-        whole = F.when(free & (acc["starter"] != ""), _composed(acc["starter"], c))
-        fresh = (klass == 0) & whole.isNull()
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], acc["starter"], acc["tail"])).otherwise(acc["out"]).alias("out"),
-            F.when(fresh, c).otherwise(F.coalesce(whole, acc["starter"])).alias("starter"),
-            F.when(fresh, "").when(whole.isNotNull(), acc["tail"]).otherwise(F.concat(acc["tail"], c)).alias("tail"),
-            F.when(fresh, 0).when(whole.isNotNull(), acc["last"]).otherwise(klass).alias("last"),
+    def joined(acc: Column, c: Column, klass: Column, whole: Column) -> Column:
+        state = lambda out, starter, tail, last: F.struct(out.alias("out"), starter.alias("starter"), tail.alias("tail"), last.alias("last"))
+        return (
+            F.when(whole.isNotNull(), state(acc["out"], whole, acc["tail"], acc["last"]))
+            .when(klass == 0, state(F.concat(acc["out"], acc["starter"], acc["tail"]), c, F.lit(""), F.lit(0)))
+            .otherwise(state(acc["out"], acc["starter"], F.concat(acc["tail"], c), klass))
         )
 
+    def step(acc: Column, c: Column) -> Column:
+        free = lambda klass: (acc["starter"] != "") & ((acc["tail"] == "") | ((acc["last"] < klass) & (acc["last"] > 0)))
+        return _let(_class(c), lambda klass: _let(F.when(free(klass), _composed(acc["starter"], c)), lambda whole: joined(acc, c, klass, whole)))
+
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("starter"), F.lit("").alias("tail"), F.lit(0).alias("last"))
     return F.aggregate(F.split(run, ""), start, step, lambda acc: F.concat(acc["out"], acc["starter"], acc["tail"]))
 
@@ -168,23 +178,29 @@ def nfkc(text: Column) -> Column:
         runs = pieces(ordered, f"[^{joining}]+(?![{joining}])|[^{joining}]?[{joining}]+")
         return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"[{joining}]"), _compose_run(r)).otherwise(r)), "")
 
-    return _let(text, lambda s: F.when(s.rlike(f"[^{stable}]"), whole(s)).otherwise(s))
+    # most characters are told by the two ranges that come first
+    unstable = lambda s: (F.octet_length(s) > F.char_length(s)) & s.rlike(rf"[^{t['quick']}](?<=[^{stable}])")
+    return _let(text, lambda s: F.when(unstable(s), whole(s)).otherwise(s))
 
 
-#: White space other than the space.
-SPACES = r"\t-\r\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: White space of ASCII other than the space, and beyond ASCII what NFKC does not make a space.
+SPACES, WIDE_SPACES = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", r"\x{85}\x{1680}\x{2028}\x{2029}"
 
 
 def canonical(text: Column) -> Column:
     """NFKC, then case folded by way of upper case, then NFKC where that has undone it; runs of white space become one space and none at the ends."""
-    folded = nfkc(F.lower(F.upper(nfkc(text))))
-    return F.trim(F.regexp_replace(folded, f"(?:[{SPACES}]| (?=[ {SPACES}]))[ {SPACES}]*", " "))
+    # the same steps twice, the second time on the folded text, so that the plan holds them once
+    folded = F.aggregate(F.array(F.lit(False), F.lit(True)), text, lambda s, fold: nfkc(F.when(fold, F.lower(F.upper(s))).otherwise(s)))
+    for c in SPACES:
+        folded = F.replace(folded, F.lit(c), F.lit(" "))
+    spaced = _let(folded, lambda s: F.when(F.octet_length(s) > F.char_length(s), F.regexp_replace(s, f"[{WIDE_SPACES}]", " ")).otherwise(s))
+    return F.trim(_let(spaced, lambda s: F.when(F.contains(s, F.lit("  ")), F.regexp_replace(s, " {2,}", " ")).otherwise(s)))
 
 
 def digest(canon: Column) -> Column:
     """128 bits of xxHash as 32 hexadecimal digits."""
-    wide = [F.lpad(F.lower(F.hex(x)), 16, "0") for x in (F.xxhash64(canon), F.xxhash64(F.lit("wide"), canon))]
-    return F.concat(*wide)
+    wide = lambda c: F.concat(*(F.lpad(F.lower(F.hex(x)), 16, "0") for x in (F.xxhash64(c), F.xxhash64(F.lit("wide"), c))))
+    return _let(canon, wide)
 
 
 # --- the next document ----------------------------------------------------------
@@ -212,7 +228,7 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, fp)`` with ``next_text`` and ``next_fp``, those of the next row by doc_id, then text.
+    """``docs(doc_id, text)`` with ``fp`` and ``next_text``, ``next_fp``, those of the next row by doc_id, then text.
 
     The texts are shuffled once, by blocks of ids; a block also gets the first
     row of the next one.  Rows without an id have no next row.
@@ -220,49 +236,43 @@ def with_next(docs: DataFrame) -> DataFrame:
     block = F.floor(F.col("doc_id") / IDS).cast("bigint")
     ids = staged(docs.where("doc_id is not null").select("doc_id").distinct(), "ids")
     across = staged(next_ids(ids).where(F.floor(F.col("next_id") / IDS) != F.floor(F.col("doc_id") / IDS)).select(F.col("next_id").alias("doc_id"), block.alias("block")), "across")
-    alone = across.isEmpty()  # one block: its last row is followed by its own first one
-    if alone:
+    if across.isEmpty():  # one block: its last row is followed by its own first one
         across = ids.groupBy().agg(F.min("doc_id").alias("doc_id"), F.min(block).alias("block")).where("doc_id is not null")
-    guests = docs.join(small(across, across.count(), 32), "doc_id").select("block", "doc_id", "text", "fp", F.lit(True).alias("guest"))
-    rows = docs.where("doc_id is not null").select(block.alias("block"), "doc_id", "text", "fp", F.lit(False).alias("guest")).unionByName(guests)
+    guests = docs.join(small(across, across.count(), 32), "doc_id").select("block", "doc_id", "text", F.lit(True).alias("guest"))
+    rows = docs.where("doc_id is not null").select(block.alias("block"), "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests)
+    keyed = rows.withColumn("fp", digest(canonical(F.col("text"))))
     w = Window.partitionBy("block").orderBy("guest", "doc_id", F.xxhash64("text"))
-    ordered = rows.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not guest").drop("block", "guest")
-    lone = docs.where("doc_id is null").select("doc_id", "text", "fp", F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("string").alias("next_fp"))
+    ordered = keyed.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not guest").drop("block", "guest")
+    none = F.lit(None).cast("string")
+    lone = docs.where("doc_id is null").select("doc_id", "text", digest(canonical(F.col("text"))).alias("fp"), none.alias("next_text"), none.alias("next_fp"))
     return ordered.unionByName(lone)
 
 
 # --- the operator ---------------------------------------------------------------
 
 
-def collided(docs: DataFrame) -> DataFrame:
-    """``fp`` of the buckets of ``docs(text, fp)`` whose canonical bytes differ.
+def collided(docs: DataFrame, fps: DataFrame) -> DataFrame:
+    """``fp`` of the buckets of ``docs(text)`` whose canonical bytes differ; ``fps(fp)`` has the fingerprint of each document.
 
     Only buckets of two documents or more are compared, by the least and the
     greatest bytes in them; both are found before the shuffle, so a bucket of
     any size sends a task's worth of two texts at most.
     """
-    shared = staged(docs.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared")
-    n = shared.count()
-    members = docs.join(small(shared, n, 80), "fp", "left_semi").select("fp", canonical(F.col("text")).alias("c"))
+    shared = staged(fps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared")
+    both = docs.select(_let(canonical(F.col("text")), lambda c: F.struct(c.alias("c"), digest(c).alias("fp"))).alias("x")).select("x.*")
+    members = both.join(small(shared, shared.count(), 80), "fp", "left_semi")
     return members.groupBy("fp").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("fp")
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` as doc_id, text, fp; null texts count as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), digest(canonical(text)).alias("fp"))
-
-
 def op6_fingerprint(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likenesses, which are 1 or 0 as the digest is exact."""
-    docs = fingerprinted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter))
     rows = with_next(docs).withColumn("edited", edited)
-    canon = canonical(F.col("edited"))
-    out = staged(rows.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", digest(canon).alias("edited_fp"), "next_fp", "text", "edited").drop("text", "edited"), "digests")
-    bad = staged(collided(docs), "collided")
+    out = staged(rows.select("doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", digest(canonical(F.col("edited"))).alias("edited_fp"), "next_fp"), "digests")
+    bad = staged(collided(docs, out), "collided")
     if not bad.isEmpty():
         out = _drawn_out(rows, bad)
     like = lambda c: F.when(F.col("fp") == F.col(c), 1.0).otherwise(0.0)
