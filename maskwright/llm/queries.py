@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from maskwright.llm import bpe, decontaminate, fingerprint, html, secrets, simhash, toxicity, urls, warc
+from maskwright.llm import bpe, decontaminate, fingerprint, html, paragraphs, secrets, simhash, toxicity, urls, warc
 from maskwright.llm.common import ship
 
 
@@ -28,6 +28,7 @@ QUERIES = {
         bpe.op4_bpe,
         secrets.op5_secrets,
         fingerprint.op6_fingerprint,
+        paragraphs.op7_paragraphs,
         simhash.op8_simhash,
         toxicity.op9_toxicity,
         html.op10_html,
