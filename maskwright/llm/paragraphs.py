@@ -7,11 +7,17 @@ five-word shingles, and clustered by connected components; of each cluster the
 first occurrence stays and the others are removals.
 
 A band value that many different paragraphs share is not paired out.  Its
-members are compared with one of them, the pivot; those that are similar to it
-are linked to it, and by the triangle inequality of the Jaccard distance only
-members that may be similar to one that is not linked stay for the next round,
-with another pivot.  Small groups are paired out.  No link that decides a
-component is lost.
+members are grouped anew by their rarest shingles: similar paragraphs share
+four fifths of either's shingles, so they share one of the rarest fifth and one
+more.  Edited copies, whose rarest shingles are those of their edits, thereby
+part exactly.  If such a group is still large, shingles that only one member has
+bound how similar it can be to any other, and members that can be similar to
+none leave; what is left is compared with one member, the pivot, that of the
+fewest shingles of its own.  Those similar to it are linked to it and thereby to
+each other.  The few that are not are compared with all that they may be similar
+to, by that bound and by the triangle inequality of the Jaccard distance; if they
+are many, another pivot is taken first.  No link that decides a component is
+lost.
 
 A passage may also stand inside paragraphs that differ otherwise.  Every run of
 PASSAGE words that two documents share has a shingle of SHINGLE words that
@@ -36,7 +42,9 @@ PASSAGE, SHINGLE = 50, 25
 #: The chance that a pair of just SIMILARITY agrees in no band is below this.
 MISSED = 1e-3
 #: Members of a band value up to which all its pairs are verified at once.
-PAIRED = 24
+PAIRED = 64
+#: Comparisons of those that are not linked to a pivot, in a group, from which another pivot is taken first.
+FINISHED = 400_000
 #: Words of documents brought together at once.
 BLOCK_WORDS = 1 << 17
 MIX, SEED = np.uint64(0x9E3779B97F4A7C15), 7
@@ -201,33 +209,108 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, distance double")
 
 
+def shingle_table(texts: DataFrame) -> DataFrame:
+    """``id, shingle``, one row for each different shingle of ``texts(id, paragraph)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("paragraph"), strict=True):
+                words = (text.as_py() or "").encode().lower().split()
+                found.append(np.unique(shingles(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))))
+                ids.append(np.full(len(found[-1]), i, np.int64))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64))], ["id", "shingle"])
+
+    return staged(texts.mapInArrow(run, "id bigint, shingle bigint"), "shingles")
+
+
+def by_rarest(table: DataFrame, similarity: float) -> DataFrame:
+    """``key, id, rare``: each member of ``table(id, shingle)`` under each of its rarest shingles, ``rare``, so many that any two similar members meet."""
+    counted = table.join(table.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
+    ordered = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))  # the shingles of one paragraph
+    most = (F.size("s") - F.ceil(F.size("s") * (similarity - 1e-9)) + 1).cast("int")
+    rare = F.filter(F.slice("s", F.lit(1), most), lambda x: x["n"] > 1)["shingle"]
+    return ordered.select("id", rare.alias("rare")).select(F.explode("rare").alias("key"), "id", "rare")
+
+
+def _may(a, b, similarity: float):
+    """Whether members of these sizes and shingles of their own can be similar: they share what either has besides its own at most."""
+    most = F.least(a["size"] - a["own"], b["size"] - b["own"])
+    return most >= (similarity - 1e-9) * (a["size"] + b["size"] - most)
+
+
+def hopeful(crowded: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``crowded(key, id, ...)`` that can be similar to another member, with ``size`` and ``own``, how many shingles they share with no other.
+
+    Groups are judged by their few different pairs of size and own shingles.
+    """
+    every = table.join(crowded.select("id").distinct(), "id", "left_semi")
+    single = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sizes = every.groupBy("id").agg(F.count("*").alias("size")).join(single, "id", "left").select("id", "size", F.coalesce("own", F.lit(0)).alias("own"))
+    rated = crowded.join(staged(sizes, "own"), "id")
+    kinds = rated.groupBy("key", "size", "own").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(F.struct("size", "own", "n")).alias("kinds"))
+    own = {"size": F.col("size"), "own": F.col("own")}
+    another = lambda k: (k["size"] != own["size"]) | (k["own"] != own["own"]) | (k["n"] > 1)
+    return rated.join(kinds, "key").where(F.exists("kinds", lambda k: another(k) & _may(own, k, similarity))).drop("kinds")
+
+
+def in_crowds(crowded: DataFrame, table: DataFrame, texts: DataFrame, similarity: float) -> list[DataFrame]:
+    """Links within the large groups of ``crowded(key, id, rare)``."""
+    far, found = 1 - similarity, []
+    while not crowded.isEmpty():
+        hope = staged(hopeful(crowded, table, similarity), "hopeful")
+        pivots = hope.groupBy("key").agg(F.min(F.struct("own", "id")).alias("p")).select("key", F.col("p.id").alias("pivot"))
+        rest = staged(hope.join(pivots, "key").where("id <> pivot"), "rest")
+        checked = staged(verified(rest.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts), "verified")
+        found.append(checked.where(F.col("distance") <= far + 1e-12).select("a", "b"))
+        rated = rest.join(checked.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"]).withColumn("out", F.col("distance") > far + 1e-12)
+        rated = staged(rated.select("key", "id", "rare", "size", "own", "distance", "out"), "rated")
+        sizes = rated.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("out"), 1)).alias("left"), F.min(F.when(F.col("out"), F.col("distance"))).alias("least")).where("left > 0")
+        judged = staged(rated.join(sizes, "key"), "judged")
+
+        few = judged.where(F.col("left") * F.col("n") <= FINISHED)
+        a, b = few.where("out").alias("a"), few.alias("b")
+        x, y = ({c: F.col(f"{t}.{c}") for c in ("key", "id", "rare", "size", "own", "distance", "out")} for t in "ab")
+        once = (x["id"] != y["id"]) & (~y["out"] | (x["id"] < y["id"]))
+        near = (F.abs(x["distance"] - y["distance"]) <= far + 1e-12) & _may(x, y, similarity)
+        here = F.get(F.array_intersect(x["rare"], y["rare"]), F.lit(0)) == x["key"]  # of all groups where both are
+        pairs = a.join(b, (x["key"] == y["key"]) & once & near & here).select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
+        found.append(links_of(pairs, texts, far))
+        # of the others: who is not linked to the pivot, and who may be linked to one of those
+        many = judged.where((F.col("left") * F.col("n") > FINISHED) & (F.col("distance") >= F.col("least") - far - 1e-12))
+        crowded = staged(many.select("key", "id", "rare"), "crowded")
+    return found
+
+
 def similar(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` that join what the similar pairs within the groups of ``members(key, id)`` join."""
     far, found = 1 - similarity, []
-    while True:
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-        grouped = staged(members.join(sizes, "key"), "members")
-        if grouped.isEmpty():
-            break
-        few = grouped.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        left = few.select(F.posexplode("ids").alias("i", "a"), "ids")
-        few_pairs = left.select("a", F.explode(F.slice("ids", F.col("i") + 2, PAIRED)).alias("b"))
-        many = grouped.where((F.col("n") > PAIRED) & (F.col("id") != F.col("pivot")))
-        pairs = few_pairs.unionByName(many.select(F.col("pivot").alias("a"), F.col("id").alias("b"))).distinct()
-        checked = staged(verified(pairs, texts), "verified")
-        found.append(checked.where(F.col("distance") <= far + 1e-12).select("a", "b"))
-        # of the large groups: who is not linked to the pivot, and who may be linked to one of those
-        rated = staged(many.join(checked.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"]).select("key", "id", "distance"), "rated")
-        least = rated.where(F.col("distance") > far + 1e-12).groupBy("key").agg(F.min("distance").alias("least"))
-        members = staged(rated.join(least, "key").where(F.col("distance") >= F.col("least") - far - 1e-12).select("key", "id"), "left")
-    if not found:
-        return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+
+    def split(grouped: DataFrame, name: str) -> DataFrame:
+        """Small groups are paired out; the rows of the large ones are returned."""
+        sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        sized = staged(grouped.join(sizes, "key"), name)
+        few = sized.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        pairs = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, PAIRED)).alias("b"))
+        found.append(links_of(pairs, texts, far))
+        return sized.where(F.col("n") > PAIRED).drop("n")
+
+    crowded = split(members, "members")
+    if not crowded.isEmpty():
+        table = shingle_table(texts.join(crowded.select("id").distinct(), "id", "left_semi"))
+        found += in_crowds(split(staged(by_rarest(table, similarity), "rarest"), "rare"), table, texts, similarity)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.distinct()
 
 
+def links_of(pairs: DataFrame, texts: DataFrame, far: float) -> DataFrame:
+    """The pairs at most ``far`` apart."""
+    return staged(verified(pairs.distinct(), texts), "verified").where(F.col("distance") <= far + 1e-12).select("a", "b")
+
+
 def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Digests of the repeated paragraphs: ``h, keep_doc, keep_line, component``, where the occurrence to keep is the first by doc_id and line of the whole cluster."""
     each = rows.select("doc_id", F.explode("paragraphs").alias("p"))
