@@ -1,7 +1,7 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are sorted by host and URL path, so that a page's neighbours are those of
-its own host with the nearest paths.  The text lines of a page are aligned with
+Pages of a host are sorted by URL path, so that a page's neighbours are those
+with the nearest paths.  The text lines of a page are aligned with
 a neighbour's by their longest common subsequence, and lines that both share
 are boilerplate and go.
 
@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import small, staged
 from maskwright.llm.urls import url_parts
 
 # HTML's elements by role.
@@ -50,6 +51,8 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Lines compared in one alignment at most by the full table; beyond that the ends that agree are cut and the rest is aligned through lines that occur once in both.
 TABLE = 400
+#: Pages of a host from which it is dealt in chunks, and the pages of a chunk.
+LARGE, CHUNK = 1000, 128
 
 
 @dataclass
@@ -288,23 +291,27 @@ def _digest(text: str) -> int:
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, n_shared`` of every row of ``pages(page_id, url, html)``; n_shared counts the lines found in the neighbour too.
 
-    Rows are shuffled once, dealt by ranges of (host, path, page_id), which
-    splits the rows of one host over many tasks.  A task holds two pages at a
-    time.  A page is compared with the one before it, the first of a host or of
-    a task with the one after it.  Null html is an empty page; a page alone on
-    its host shares nothing.
+    Rows are shuffled once, dealt by host; a host of more than LARGE pages is
+    dealt in chunks of about CHUNK by a hash of the path.  A task holds two pages
+    at a time.  A page is compared with the one before it by path, the first of
+    a host or chunk with the one after it.  Null html is an empty page; a page
+    alone on its host shares nothing.
     """
     host, path, _ = url_parts(F.coalesce("url", F.lit("")))
+    sizes = pages.select(host.alias("_host")).groupBy("_host").agg(F.count("*").alias("n")).where(F.col("n") > LARGE)
+    large = staged(sizes.select("_host", F.ceil(F.col("n") / CHUNK).alias("chunks")), "hosts")
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
+    dealt = keyed.join(small(large, large.count(), 96), F.col("host") == F.col("_host"), "left")
+    chunked = dealt.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("path"), F.col("chunks")), F.lit(0).cast("bigint"))).drop("_host", "chunks")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = keyed.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    near = chunked.repartition(parts, "host", "chunk").sortWithinPartitions("host", "chunk", "path", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parsed():
             for batch in batches:
-                for page_id, url, page, where in zip(batch.column("page_id"), batch.column("url"), batch.column("html"), batch.column("host"), strict=True):
+                for page_id, url, page, host, chunk in zip(*(batch.column(c) for c in ("page_id", "url", "html", "host", "chunk")), strict=True):
                     found = lines(page.as_py())
-                    yield page_id.as_py(), url.as_py(), found, [_digest(x.text) for x in found], where.as_py()
+                    yield page_id.as_py(), url.as_py(), found, [_digest(x.text) for x in found], (host.as_py(), chunk.as_py())
 
         def finished(page, neighbour):
             page_id, url, found, digests, _ = page
@@ -318,7 +325,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 rows.append(finished(waiting, page if page[4] == waiting[4] else None))
                 size += len(rows[-1][2])
                 waiting = None
-            if before and before[4] == page[4]:
+            if before is not None and before[4] == page[4]:
                 rows.append(finished(page, before))
                 size += len(rows[-1][2])
             else:
