@@ -34,6 +34,8 @@ SAMPLE = 16_000
 FEATURES, LEAST = 2_000, 3
 #: Voters, at most.  Each fires on so many toxic documents of the sample at least, and its share of toxic ones is this high.
 VOTERS, SUPPORT, PRECISION = 64, 4, 0.75
+#: So many voters are sought for each toxic document of the sample.
+COVER = 3
 #: How far a document's own label is trusted.
 LABEL_ACCURACY = 0.97
 #: How many clean documents a toxic one outweighs in the classifier's fit.
@@ -77,7 +79,7 @@ def telling_terms(sample: DataFrame) -> list[str]:
 
 
 def pick_voters(fired: list[np.ndarray], toxic: np.ndarray, k: int) -> list[int]:
-    """Which of ``k`` terms become voters: again and again the one that fires on most toxic documents that none picked yet fires on."""
+    """Which of ``k`` terms become voters: again and again the one that fires on most toxic documents that fewer than COVER picked ones fire on.  Terms that fire where a picked one does, nine times in ten, are passed over."""
     docs_of: list[list[int]] = [[] for _ in range(k)]
     for d, terms_of in enumerate(fired):
         for i in terms_of:
@@ -85,14 +87,18 @@ def pick_voters(fired: list[np.ndarray], toxic: np.ndarray, k: int) -> list[int]
     hits = {i: {d for d in docs if toxic[d]} for i, docs in enumerate(docs_of)}
     able = {i for i, docs in enumerate(docs_of) if len(hits[i]) >= SUPPORT and len(hits[i]) >= PRECISION * len(docs)}
     picked: list[int] = []
-    covered: set[int] = set()
+    times: dict[int, int] = {}
     while able and len(picked) < VOTERS:
-        best = max(sorted(able), key=lambda i: len(hits[i] - covered) * len(hits[i]) / len(docs_of[i]))
-        if not hits[best] - covered:
+        gain = {i: sum(times.get(d, 0) < COVER for d in hits[i]) * len(hits[i]) / len(docs_of[i]) for i in able}
+        best = max(sorted(able), key=gain.__getitem__)
+        if gain[best] < 1:
             break
-        picked.append(best)
-        covered |= hits[best]
         able.discard(best)
+        if any(len(hits[best] & hits[i]) > 0.9 * len(hits[best] | hits[i]) for i in picked):
+            continue
+        picked.append(best)
+        for d in hits[best]:
+            times[d] = times.get(d, 0) + 1
     return picked
 
 
@@ -149,31 +155,54 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(margin, -20, 20)))
 
 
-def fit_label_model(n: int, both: np.ndarray, prior: float, start_toxic: np.ndarray, start_clean: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Fit rates to the joint firings ``both`` of ``n`` documents, from those on the labelled sample.
+def blocks_of(joint: np.ndarray, expected: np.ndarray) -> list[list[int]]:
+    """Voters in blocks that fire together at least a quarter as often as independent ones would, as those of one language do; voters of different blocks exclude each other."""
+    k, left, out = len(joint), set(range(len(joint))), []
+    linked = joint >= 0.25 * expected
+    while left:
+        block, todo = [], [min(left)]
+        left.discard(todo[0])
+        while todo:
+            i = todo.pop()
+            block.append(i)
+            near = [j for j in range(k) if j in left and linked[i, j]]
+            left.difference_update(near)
+            todo += near
+        out.append(sorted(block))
+    return out
+
+
+def fit_label_model(n: int, both: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int = 200) -> LabelModel:
+    """Fit firing rates to the joint firings ``both`` of ``n`` documents, from those on the labelled sample (firings on ``toxic`` and on ``clean`` documents).
 
-    Given the class, voters are taken as independent but for pairs whose joint
-    firings exceed what their rates give by far; those pairs are correlated and
-    take no part in the fit.  A voter's weight is one over the number of voters
-    it is correlated with, itself included, each counted by the strength.
+    A voter knows the toxic documents of its block alone.  Given those, voters
+    of a block are taken as independent but for pairs whose joint firings exceed
+    what their rates give by far; those pairs are correlated and take no part in
+    the fit.  A voter's weight is one over the number of voters it is correlated
+    with, itself included, each counted by the strength.
     """
     k = len(both)
+    prior = min(max(len(toxic) / max(len(toxic) + len(clean), 1), 1e-3), 0.5)
+    smooth = lambda part: (part.sum(axis=0) + 0.05) / (len(part) + 1)
     rate, joint = np.diag(both) / max(n, 1), both / max(n, 1)
-    a, b = np.clip(start_toxic, 1e-3, 0.999), np.clip(start_clean, 1e-6, 0.5)
-    off = ~np.eye(k, dtype=bool)
-    model = prior * np.outer(a, a) + (1 - prior) * np.outer(b, b)
-    spread = np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate))) + 1e-12
-    strength = np.clip((joint - model) / spread, 0, 1) * off
-    strength[strength < 0.25] = 0
-    free = off & (strength == 0)
-    for _ in range(rounds):
-        # one step of least squares on the independent pairs, the single rates held by the clean side
-        residual = np.where(free, joint - prior * np.outer(a, a) - (1 - prior) * np.outer(b, b), 0.0)
-        scale = prior * (np.where(free, a[None, :] ** 2, 0).sum(axis=1)) + 1e-9
-        a = np.clip(a + 0.5 * (residual @ a) / scale, 1e-3, 0.999)
-        b = np.clip((rate - prior * a) / (1 - prior), 1e-6, 0.5)
-    floor = 1.0 / max(n, 1)
-    return LabelModel(prior, a, np.maximum(b, floor), 1 / (1 + strength.sum(axis=1)))
+    on_toxic, on_clean, strength = np.clip(smooth(toxic), 1e-3, 0.999), np.clip(smooth(clean), 1e-6, 0.5), np.zeros((k, k))
+    for block in blocks_of(joint, prior * np.outer(on_toxic, on_toxic)):
+        share = prior * (toxic[:, block].any(axis=1).sum() + 0.5) / (len(toxic) + 1)  # of documents the block's toxic ones
+        a, b = np.clip(on_toxic[block] * prior / share, 1e-3, 0.999), on_clean[block]
+        own_rate, own = rate[block], joint[np.ix_(block, block)]
+        off = ~np.eye(len(block), dtype=bool)
+        spread = np.sqrt(np.outer(own_rate * (1 - own_rate), own_rate * (1 - own_rate))) + 1e-12
+        excess = np.clip((own - share * np.outer(a, a) - (1 - share) * np.outer(b, b)) / spread, 0, 1) * off
+        excess[excess < 0.25] = 0
+        free = off & (excess == 0)
+        for _ in range(rounds if free.any() else 0):
+            # one step of least squares on the independent pairs, the single rates held by the clean side
+            residual = np.where(free, own - share * np.outer(a, a) - (1 - share) * np.outer(b, b), 0.0)
+            a = np.clip(a + 0.5 * (residual @ a) / (share * np.where(free, a[None, :] ** 2, 0).sum(axis=1) + 1e-9), 1e-3, 0.999)
+            b = np.clip((own_rate - share * a) / (1 - share), 1e-6, 0.5)
+        on_toxic[block], on_clean[block] = a * share / prior, b
+        strength[np.ix_(block, block)] = excess
+    return LabelModel(prior, np.maximum(on_toxic, 1e-4), np.maximum(on_clean, 1.0 / max(n, 1)), 1 / (1 + strength.sum(axis=1)))
 
 
 # --- classifier --------------------------------------------------------------------
@@ -204,7 +233,7 @@ class Classifier:
         return out
 
 
-def fit_classifier(features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, names: list[str], rounds: int = 150, l2: float = 0.3) -> Classifier:
+def fit_classifier(features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, names: list[str], rounds: int = 300, l2: float = 0.3) -> Classifier:
     """Logistic regression on presence features with soft labels and weighted rows, by adaptive gradient steps over all rows."""
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     place = np.concatenate([np.empty(0, np.int64), *features])
@@ -258,8 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     fired = np.zeros((len(features), len(voters)))
     for row, f in enumerate(features):
         fired[row] = np.isin(voters, f)
-    smooth = lambda part: (part.sum(axis=0) + 0.05) / (len(part) + 1)
-    model = fit_label_model(n, both, min(max(float(y.mean()), 1e-3), 0.5), smooth(fired[y == 1]), smooth(fired[y == 0]))
+    model = fit_label_model(n, both, fired[y == 1], fired[y == 0])
     voted = model.posterior(fired)
     own = np.where(y == 1, 1, -1) * math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
     target = 1 / (1 + np.exp(-np.clip(np.log(voted / (1 - voted)) + own, -30, 30)))
