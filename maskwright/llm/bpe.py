@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text indexed at once, which bounds the index.
 BLOCK = 2_000_000
-#: Pieces whose tokens a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 500_000, 64
+#: Pieces that a worker remembers in each of two generations, and the longest that it does.
+REMEMBERED, LONGEST = 200_000, 64
+#: Stands between pieces; no byte of UTF-8.
+WALL = b"\xff"
 
 
 def byte_symbols() -> list[str]:
@@ -36,6 +39,9 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+Piece = tuple[int, str, bytes]
+
+
 class Tokenizer:
     """Encodes and decodes with the vocabulary in ``path``, a tokenizers file of a byte-level BPE without normalizer."""
 
@@ -50,11 +56,20 @@ class Tokenizer:
         to_byte = {c: b for b, c in enumerate(symbols)}
         self.token_bytes: dict[int, bytes] = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items() if all(c in to_byte for c in t)}
         self.base = 1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
-        #: rank and merged symbol by pair, a pair (a, b) being a * base + b
-        self.merges: dict[int, tuple[int, int]] = {}
+        #: rank by pair, a pair (a, b) being a * base + b; and both symbols and the merged one by rank
+        self.ranks: dict[int, int] = {}
+        self.merges: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a] * self.base + vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a] * self.base + vocab[b]] = rank
+            self.merges.append((vocab[a], vocab[b], vocab[a + b]))
+        #: rank by pair of bytes, -1 for none
+        self.byte_ranks = np.full(65536, -1, np.int32)
+        for i, a in enumerate(self.byte_ids):
+            for j, b in enumerate(self.byte_ids):
+                self.byte_ranks[i * 256 + j] = self.ranks.get(a * self.base + b, -1)
+        self.byte_ranks.reshape(256, 256)[255, :] = self.byte_ranks.reshape(256, 256)[:, 255] = -1
+        self.symbols = np.array([*self.byte_ids[:255], -1], np.int64)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take white space or whole words are not supported")
@@ -62,7 +77,8 @@ class Tokenizer:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if longest_first else lambda t: [t]
         self.find = regex.compile(PATTERN).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, Piece] = {}
+        self.old: dict[str, Piece] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of ``text``; added tokens are pieces of their own."""
@@ -74,77 +90,83 @@ class Tokenizer:
                 out += self.find(part)
         return out
 
-    def index_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+    def index_pieces(self, pieces: list[str]) -> list[list[int]]:
         """The tokens of each piece, by the pair occurrence index."""
-        sym: list[int] = []
-        starts: list[int] = []
-        for piece in pieces:
-            starts.append(len(sym))
-            sym += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-            sym.append(-1)  # a wall
-        n = len(sym)
+        if not pieces:
+            return []
+        parts = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        data = np.frombuffer(WALL.join(parts) + WALL, np.uint8)
+        n = len(data)
+        sym = self.symbols[data].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get, base = self.merges.get, self.base
-        lists: dict[int, list[int]] = {}
-        made: dict[int, tuple[int, int, int]] = {}
-        for i in range(n - 1):
-            a, b = sym[i], sym[i + 1]
-            if a >= 0 and b >= 0 and (m := get(a * base + b)):
-                rank = m[0]
-                if rank in lists:
-                    lists[rank].append(i)
-                else:
-                    lists[rank] = [i]
-                    made[rank] = (a, b, m[1])
-        heap = list(lists)
-        heapq.heapify(heap)
+        # the index of the pairs of bytes: places sorted by rank, ties from left to right
+        first = self.byte_ranks[data[:-1].astype(np.int64) * 256 + data[1:]] if n > 1 else np.empty(0, np.int32)
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        starts = np.flatnonzero(np.diff(first[at], prepend=-1))
+        heap = first[at[starts]].tolist()  # ascending, so a heap
+        lists = dict(zip(heap, (x.tolist() for x in np.split(at, starts[1:])), strict=True)) if heap else {}
+
+        get, base, merges = self.ranks.get, self.base, self.merges
         push, pop = heapq.heappush, heapq.heappop
         while heap:
             rank = pop(heap)
-            a, b, new = made.pop(rank)
-            for i in sorted(lists.pop(rank)):
+            a, b, new = merges[rank]
+            places = lists.pop(rank)
+            if a == b:  # those that overlap merge from left to right
+                places.sort()
+            right, left = new * base, new
+            for i in places:
                 if sym[i] != a or sym[j := after[i]] != b:
                     continue  # merged meanwhile
                 sym[i], sym[j] = new, -2
                 after[i] = k = after[j]
                 before[k] = i
-                c = sym[k]
-                if c >= 0 and (m := get(new * base + c)):
-                    r = m[0]
+                if (c := sym[k]) >= 0 and (r := get(right + c)) is not None:
                     if r in lists:
                         lists[r].append(i)
                     else:
                         lists[r] = [i]
-                        made[r] = (new, c, m[1])
                         push(heap, r)
                 h = before[i]
-                c = sym[h] if h >= 0 else -1
-                if c >= 0 and (m := get(c * base + new)):
-                    r = m[0]
+                if h >= 0 and (c := sym[h]) >= 0 and (r := get(c * base + left)) is not None:
                     if r in lists:
                         lists[r].append(h)
                     else:
                         lists[r] = [h]
-                        made[r] = (c, new, m[1])
                         push(heap, r)
-        ends = [*starts[1:], n]
-        return [tuple(s for s in sym[a : b - 1] if s >= 0) for a, b in zip(starts, ends, strict=True)]
+        out, at_byte = [], 0
+        for part in parts:
+            end = at_byte + len(part)
+            out.append([s for s in sym[at_byte:end] if s >= 0])
+            at_byte = end + 1
+        return out
 
-    def encode_block(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """The tokens of each piece of each text."""
+    def encode_block(self, texts: list[str]) -> list[list[Piece]]:
+        """Each text's pieces in order.
+
+        Pieces met before are remembered in two generations: what is used again
+        moves to the young one, and when that is full the old one is forgotten.
+        """
         split = [self.pieces(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        known.update((t, (i,)) for t, i in self.added.items())
-        new = list({p for ps in split for p in ps if p not in known})
-        fresh = dict(zip(new, self.index_pieces(new), strict=True)) if new else {}
-        known.update((p, t) for p, t in fresh.items() if len(p) <= LONGEST)
-        get = {**known, **fresh}.__getitem__ if any(len(p) > LONGEST for p in new) else known.__getitem__
+        needed = set().union(*split)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        young.update((p, old[p]) for p in needed if p in old and p not in young)
+        young.update((t, self.piece([i])) for t, i in self.added.items())
+        new = [p for p in needed if p not in young]
+        fresh = dict(zip(new, map(self.piece, self.index_pieces(new)), strict=True))
+        young.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
+        get = {**young, **fresh}.__getitem__ if any(len(p) > LONGEST for p in new) else young.__getitem__
         return [list(map(get, ps)) for ps in split]
 
+    def piece(self, ids: list[int]) -> Piece:
+        """What is remembered of a piece: how many tokens, their ids as text, and the bytes that they decode to."""
+        return len(ids), ",".join(map(str, ids)), b"".join([self.token_bytes[i] for i in ids])
+
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.encode_block([text])[0] for i in piece]
+        return [int(i) for _, ids, _ in self.encode_block([text])[0] for i in ids.split(",")]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ``ids``; special tokens stay, unknown ids give nothing, broken UTF-8 becomes U+FFFD."""
@@ -176,24 +198,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        shown: dict[tuple[int, ...], tuple[int, str, bytes]] = {}
         for batch in batches:
             rows: list[tuple[int, str, str]] = []
             for block in blocks(t.as_py() or "" for t in batch.column("text")):
                 for pieces in tok.encode_block(block):
-                    if len(shown) > REMEMBERED:
-                        shown.clear()
-                    ids, count, raw = [], 0, []
-                    for tokens in pieces:
-                        if (s := shown.get(tokens)) is None:
-                            s = (len(tokens), ",".join(map(str, tokens)), b"".join([tok.token_bytes[i] for i in tokens]))
-                            if len(tokens) <= LONGEST:
-                                shown[tokens] = s
-                        count += s[0]
-                        ids.append(s[1])
-                        raw.append(s[2])
+                    counts, ids, raw = zip(*pieces, strict=True) if pieces else ((), (), ())
                     decoded = b"".join(raw).decode("utf-8", "replace")
-                    rows.append((count, hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    rows.append((sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             counts, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
