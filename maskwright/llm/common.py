@@ -18,9 +18,15 @@ BROADCAST_LIMIT = 32 << 20
 _shipped: set[str] = set()
 
 
+#: Rows and bytes of documents that go to a Python worker at once; Spark's 10,000 rows of long texts would take much memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once a session, as ``--py-files`` would."""
+    """Give the executors this package, once a session, as ``--py-files`` would, and set the size of batches for documents."""
     context = spark.sparkContext
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent.parent

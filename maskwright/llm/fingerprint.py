@@ -189,8 +189,8 @@ SPACES, WIDE_SPACES = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", r"\x{85}\x{1680}\x{2028}
 
 def canonical(text: Column) -> Column:
     """NFKC, then case folded by way of upper case, then NFKC where that has undone it; runs of white space become one space and none at the ends."""
-    # the same steps twice, the second time on the folded text, so that the plan holds them once
-    folded = F.aggregate(F.array(F.lit(False), F.lit(True)), text, lambda s, fold: nfkc(F.when(fold, F.lower(F.upper(s))).otherwise(s)))
+    # the same steps twice, the second time on the folded text, so that the plan holds them once; the inner name keeps upper, which Catalyst would leave out before lower
+    folded = F.aggregate(F.array(F.lit(False), F.lit(True)), text, lambda s, fold: nfkc(F.when(fold, _let(F.upper(s), F.lower)).otherwise(s)))
     for c in SPACES:
         folded = F.replace(folded, F.lit(c), F.lit(" "))
     spaced = _let(folded, lambda s: F.when(F.octet_length(s) > F.char_length(s), F.regexp_replace(s, f"[{WIDE_SPACES}]", " ")).otherwise(s))

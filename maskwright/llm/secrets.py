@@ -185,8 +185,8 @@ def discoveries(candidates: Column, limits: list[float]) -> Column:
 def tested(docs: DataFrame, *keep: str) -> DataFrame:
     """``docs`` with columns ``base`` and ``candidates``; null texts count as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    with_base = docs.select(*keep, text.alias("_text"), base_spans(text).alias("base"))
-    return with_base.select(*keep, "base", candidate_spans(F.col("_text"), F.col("base")).alias("candidates"))
+    with_base = docs.select(*keep, text.alias("__text"), base_spans(text).alias("base"))
+    return with_base.select(*keep, "base", candidate_spans(F.col("__text"), F.col("base")).alias("candidates"))
 
 
 def shown(spans: Column) -> Column:
@@ -219,9 +219,9 @@ def redact(docs: DataFrame) -> DataFrame:
     calibrated = staged(tested(docs.select("text")).where(F.size("candidates") > 0).select("candidates"), "candidates")
     limits = discovery_limits(calibrated)
     base = base_spans(F.coalesce(F.col("text"), F.lit("")))
-    with_base = docs.withColumn("_base", base)
-    spans = F.array_sort(F.concat("_base", discoveries(candidate_spans(F.coalesce(F.col("text"), F.lit("")), F.col("_base")), limits)))
-    spanned = with_base.withColumn("_spans", spans)
+    with_base = docs.withColumn("__base", base)
+    spans = F.array_sort(F.concat("__base", discoveries(candidate_spans(F.coalesce(F.col("text"), F.lit("")), F.col("__base")), limits)))
+    spanned = with_base.withColumn("__spans", spans)
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -229,13 +229,13 @@ def redact(docs: DataFrame) -> DataFrame:
         new = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.array_append(acc["out"], F.concat(gap, F.lit(REDACTED)))).otherwise(acc["out"]).alias("out"))
 
-    walked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
+    walked = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
     rest = F.substring(text, walked["at"] + 1, F.char_length(text))
-    clean = F.when(F.size("_spans") > 0, F.concat(F.concat_ws("", walked["out"]), rest)).otherwise(text)
+    clean = F.when(F.size("__spans") > 0, F.concat(F.concat_ws("", walked["out"]), rest)).otherwise(text)
     done = spanned.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.size("__spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 
-OP5_BASE_SQL = None  # places of matches and the battery have no counterpart in DuckDB's functions
+
