@@ -27,8 +27,10 @@ winnowing selects in both, so shared selected shingles find all such passages.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -44,7 +46,7 @@ MISSED = 1e-3
 #: Members of a band value up to which all its pairs are verified at once.
 PAIRED = 64
 #: Comparisons of those that are not linked to a pivot, in a group, from which another pivot is taken first.
-FINISHED = 400_000
+FINISHED = 4_000_000
 #: Words of documents brought together at once.
 BLOCK_WORDS = 1 << 17
 MIX, SEED = np.uint64(0x9E3779B97F4A7C15), 7
@@ -209,29 +211,62 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, distance double")
 
 
-def shingle_table(texts: DataFrame) -> DataFrame:
-    """``id, shingle``, one row for each different shingle of ``texts(id, paragraph)``."""
+def sketch_size(paragraphs: int) -> int:
+    """Counters for the shingles of so many paragraphs: a power of two from 2^16 to 2^22, which bounds what is broadcast to 16 MB."""
+    return 1 << min(22, max(16, (64 * paragraphs - 1).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How many of ``texts(id, paragraph)`` have a shingle that falls on each of ``size`` counters, all shingles counted."""
+    block = 4096
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int32)
         for batch in batches:
-            ids, found = [], []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("paragraph"), strict=True):
-                words = (text.as_py() or "").encode().lower().split()
-                found.append(np.unique(shingles(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))))
-                ids.append(np.full(len(found[-1]), i, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64))], ["id", "shingle"])
+            for text in batch.column("paragraph"):
+                total += np.bincount((_distinct(text.as_py()) % np.uint64(size)).astype(np.int64), minlength=size).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size + 1, block, dtype=np.int32)), pa.array(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size // block, dtype=np.int32)), lists], ["block", "n"])
+
+    def added(key, pdf):
+        return pd.DataFrame({"block": [key[0]], "n": [np.sum(np.stack(pdf["n"].to_numpy()), axis=0)]})
+
+    parts = texts.mapInArrow(count, "block int, n array<int>").groupBy("block").applyInPandas(added, "block int, n array<int>").collect()
+    out = np.zeros(size, np.int32)
+    for r in parts:
+        out[r["block"] * block : (r["block"] + 1) * block] = r["n"]
+    return out
+
+
+def _distinct(paragraph: str | None) -> np.ndarray:
+    """Hashes of the different shingles."""
+    words = (paragraph or "").encode().lower().split()
+    return np.unique(shingles(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))))
+
 
-    return staged(texts.mapInArrow(run, "id bigint, shingle bigint"), "shingles")
+def by_rarest(texts: DataFrame, similarity: float) -> DataFrame:
+    """``key, id, rare, size, own``: each of ``texts(id, paragraph)`` under each of its rarest shingles, so many that any two similar ones meet.
 
+    size counts its shingles, own those that no other has.  Rarity is judged by
+    counters that shingles may share: as any order of shingles does, this one
+    makes similar members meet, and own is never too great.
+    """
+    size = sketch_size(texts.count())
+    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, list[int], int, int]] = []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("paragraph"), strict=True):
+                found = _distinct(text.as_py())
+                n = counts.value[(found % np.uint64(size)).astype(np.int64)]
+                order = np.lexsort((found, n))[: len(found) - int(np.ceil(len(found) * (similarity - 1e-9))) + 1]
+                rows.append((i, found[order][n[order] > 1].view(np.int64).tolist(), len(found), int((n == 1).sum())))
+            ids, rare, sizes, own = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(own, pa.int64())], ["id", "rare", "size", "own"])
 
-def by_rarest(table: DataFrame, similarity: float) -> DataFrame:
-    """``key, id, rare``: each member of ``table(id, shingle)`` under each of its rarest shingles, ``rare``, so many that any two similar members meet."""
-    counted = table.join(table.groupBy("shingle").agg(F.count("*").alias("n")), "shingle")
-    ordered = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))  # the shingles of one paragraph
-    most = (F.size("s") - F.ceil(F.size("s") * (similarity - 1e-9)) + 1).cast("int")
-    rare = F.filter(F.slice("s", F.lit(1), most), lambda x: x["n"] > 1)["shingle"]
-    return ordered.select("id", rare.alias("rare")).select(F.explode("rare").alias("key"), "id", "rare")
+    traits = staged(texts.mapInArrow(run, "id bigint, rare array<bigint>, size bigint, own bigint"), "traits")
+    return traits.select(F.explode("rare").alias("key"), "id", "rare", "size", "own")
 
 
 def _may(a, b, similarity: float):
@@ -240,30 +275,23 @@ def _may(a, b, similarity: float):
     return most >= (similarity - 1e-9) * (a["size"] + b["size"] - most)
 
 
-def hopeful(crowded: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``crowded(key, id, ...)`` that can be similar to another member, with ``size`` and ``own``, how many shingles they share with no other.
-
-    Groups are judged by their few different pairs of size and own shingles.
-    """
-    every = table.join(crowded.select("id").distinct(), "id", "left_semi")
-    single = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    sizes = every.groupBy("id").agg(F.count("*").alias("size")).join(single, "id", "left").select("id", "size", F.coalesce("own", F.lit(0)).alias("own"))
-    rated = crowded.join(staged(sizes, "own"), "id")
-    kinds = rated.groupBy("key", "size", "own").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(F.struct("size", "own", "n")).alias("kinds"))
+def hopeful(crowded: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``crowded(key, id, size, own, ...)`` that can be similar to another member.  Groups are judged by their few different pairs of size and own shingles."""
+    kinds = crowded.groupBy("key", "size", "own").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(F.struct("size", "own", "n")).alias("kinds"))
     own = {"size": F.col("size"), "own": F.col("own")}
     another = lambda k: (k["size"] != own["size"]) | (k["own"] != own["own"]) | (k["n"] > 1)
-    return rated.join(kinds, "key").where(F.exists("kinds", lambda k: another(k) & _may(own, k, similarity))).drop("kinds")
+    return crowded.join(kinds, "key").where(F.exists("kinds", lambda k: another(k) & _may(own, k, similarity))).drop("kinds")
 
 
-def in_crowds(crowded: DataFrame, table: DataFrame, texts: DataFrame, similarity: float) -> list[DataFrame]:
-    """Links within the large groups of ``crowded(key, id, rare)``."""
-    far, found = 1 - similarity, []
+def in_crowds(crowded: DataFrame, texts: DataFrame, similarity: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links, and pairs to verify, within the large groups of ``crowded(key, id, rare, size, own)``."""
+    far, links, pairs = 1 - similarity, [], []
     while not crowded.isEmpty():
-        hope = staged(hopeful(crowded, table, similarity), "hopeful")
+        hope = staged(hopeful(crowded, similarity), "hopeful")
         pivots = hope.groupBy("key").agg(F.min(F.struct("own", "id")).alias("p")).select("key", F.col("p.id").alias("pivot"))
         rest = staged(hope.join(pivots, "key").where("id <> pivot"), "rest")
         checked = staged(verified(rest.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts), "verified")
-        found.append(checked.where(F.col("distance") <= far + 1e-12).select("a", "b"))
+        links.append(checked.where(F.col("distance") <= far + 1e-12).select("a", "b"))
         rated = rest.join(checked.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"]).withColumn("out", F.col("distance") > far + 1e-12)
         rated = staged(rated.select("key", "id", "rare", "size", "own", "distance", "out"), "rated")
         sizes = rated.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("out"), 1)).alias("left"), F.min(F.when(F.col("out"), F.col("distance"))).alias("least")).where("left > 0")
@@ -275,40 +303,33 @@ def in_crowds(crowded: DataFrame, table: DataFrame, texts: DataFrame, similarity
         once = (x["id"] != y["id"]) & (~y["out"] | (x["id"] < y["id"]))
         near = (F.abs(x["distance"] - y["distance"]) <= far + 1e-12) & _may(x, y, similarity)
         here = F.get(F.array_intersect(x["rare"], y["rare"]), F.lit(0)) == x["key"]  # of all groups where both are
-        pairs = a.join(b, (x["key"] == y["key"]) & once & near & here).select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
-        found.append(links_of(pairs, texts, far))
+        pairs.append(a.join(b, (x["key"] == y["key"]) & once & near & here).select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
         # of the others: who is not linked to the pivot, and who may be linked to one of those
         many = judged.where((F.col("left") * F.col("n") > FINISHED) & (F.col("distance") >= F.col("least") - far - 1e-12))
-        crowded = staged(many.select("key", "id", "rare"), "crowded")
-    return found
+        crowded = staged(many.select("key", "id", "rare", "size", "own"), "crowded")
+    return links, pairs
 
 
 def similar(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` that join what the similar pairs within the groups of ``members(key, id)`` join."""
-    far, found = 1 - similarity, []
+    far, links, pairs = 1 - similarity, [], []
 
     def split(grouped: DataFrame, name: str) -> DataFrame:
         """Small groups are paired out; the rows of the large ones are returned."""
         sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         sized = staged(grouped.join(sizes, "key"), name)
         few = sized.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        pairs = few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, PAIRED)).alias("b"))
-        found.append(links_of(pairs, texts, far))
+        pairs.append(few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, PAIRED)).alias("b")))
         return sized.where(F.col("n") > PAIRED).drop("n")
 
     crowded = split(members, "members")
     if not crowded.isEmpty():
-        table = shingle_table(texts.join(crowded.select("id").distinct(), "id", "left_semi"))
-        found += in_crowds(split(staged(by_rarest(table, similarity), "rarest"), "rare"), table, texts, similarity)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def links_of(pairs: DataFrame, texts: DataFrame, far: float) -> DataFrame:
-    """The pairs at most ``far`` apart."""
-    return staged(verified(pairs.distinct(), texts), "verified").where(F.col("distance") <= far + 1e-12).select("a", "b")
+        rare = by_rarest(texts.join(crowded.select("id").distinct(), "id", "left_semi"), similarity)
+        more_links, more_pairs = in_crowds(split(rare, "rare"), texts, similarity)
+        links, pairs = links + more_links, pairs + more_pairs
+    once = reduce(DataFrame.unionByName, pairs).distinct()
+    links.append(staged(verified(once, texts), "verified").where(F.col("distance") <= far + 1e-12).select("a", "b"))
+    return reduce(DataFrame.unionByName, links).distinct()
 
 
 def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def edited(rng, ws, edits):
     return ws
 
 
-@pytest.mark.parametrize(("paired", "finished"), [(64, 400_000), (2, 400_000), (2, 20)])
+@pytest.mark.parametrize(("paired", "finished"), [(64, 4_000_000), (2, 4_000_000), (2, 20)])
 def test_against_brute_force(spark, make_docs, odd, monkeypatch, paired, finished):
     """The pivots of large groups remove the same paragraphs as verifying all pairs."""
     monkeypatch.setattr(P, "PAIRED", paired)
