@@ -301,9 +301,14 @@ def in_crowds(crowded: DataFrame, texts: DataFrame, similarity: float) -> tuple[
         a, b = few.where("out").alias("a"), few.alias("b")
         x, y = ({c: F.col(f"{t}.{c}") for c in ("key", "id", "rare", "size", "own", "distance", "out")} for t in "ab")
         once = (x["id"] != y["id"]) & (~y["out"] | (x["id"] < y["id"]))
+        common = F.array_intersect(x["rare"], y["rare"])
         near = (F.abs(x["distance"] - y["distance"]) <= far + 1e-12) & _may(x, y, similarity)
-        here = F.get(F.array_intersect(x["rare"], y["rare"]), F.lit(0)) == x["key"]  # of all groups where both are
-        pairs.append(a.join(b, (x["key"] == y["key"]) & once & near & here).select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+        here = F.get(common, F.lit(0)) == x["key"]  # of all groups where both are
+        # either lacks those rare shingles of the other that come before the last common one and are not common
+        lacking = {t: F.array_position(side["rare"], F.element_at(common, -1)) - F.size(common) for t, side in (("x", x), ("y", y))}
+        meet = F.least(x["size"] - x["own"] - lacking["x"], y["size"] - y["own"] - lacking["y"])
+        enough = meet >= (similarity - 1e-9) * (x["size"] + y["size"] - meet)
+        pairs.append(a.join(b, (x["key"] == y["key"]) & once & near & here & enough).select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
         # of the others: who is not linked to the pivot, and who may be linked to one of those
         many = judged.where((F.col("left") * F.col("n") > FINISHED) & (F.col("distance") >= F.col("least") - far - 1e-12))
         crowded = staged(many.select("key", "id", "rare", "size", "own"), "crowded")
