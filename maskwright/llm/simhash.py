@@ -14,6 +14,9 @@ The members of such groups are linked in another exact way: two fingerprints
 are within two bits if and only if some 64-bit value is within one bit of both,
 so each member is dealt to its 65 such values, at most 65 fingerprints meet at
 any of them, and all that meet are linked.  Nothing is capped or dropped.
+
+All that is op8's.  The pipeline's stage, :func:`keep_one`, owes an exact Jaccard
+similarity, and takes its candidates and links from :mod:`paragraphs`.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import components, staged
+from maskwright.llm.paragraphs import MIX, SIMILARITY, WIDTH, _mixed, shingles, similar, tune
 
 BITS = 64
 SEED = 42
@@ -36,6 +41,12 @@ SEED = 42
 GROUP = 48
 #: Shingles hashed at once, which bounds memory on very long texts.
 SLAB = 1 << 16
+#: The chance that the pipeline's stage misses a pair of just SIMILARITY, its MinHash bands, and their hashes.
+MISSED = 1e-5
+BANDS, ROWS = tune(SIMILARITY, MISSED)
+_rng = np.random.default_rng(SEED)
+FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADDENDS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -236,13 +247,68 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return prints.join(near_duplicates(prints), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# --- the pipeline's stage -----------------------------------------------------------
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs(doc_id, text)`` as doc_id, the digest of its words and the band values of its five-word shingles; a text of fewer words has none."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            digests, values = [], []
+            for text in batch.column("text"):
+                words = (text.as_py() or "").encode().lower().split()
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                if len(words) < WIDTH:
+                    values.append([])
+                    continue
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh3_64_intdigest(w)
+                values.append(band_values(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
+                if len(known) > 1_000_000:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "h", "bands"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, h binary, bands array<bigint>")
+
+
+def band_values(hashes: np.ndarray) -> np.ndarray:
+    """The band values of a text's word hashes, WIDTH or more."""
+    every = np.unique(shingles(hashes))
+    least = np.array([(every * f + a).min() for f, a in zip(FACTORS, ADDENDS, strict=True)], np.uint64).reshape(BANDS, ROWS)
+    out = np.zeros(BANDS, np.uint64)
+    for row in range(ROWS):
+        out = out * MIX + least[:, row]
+    return _mixed(out + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """The least doc_id of each component of ``docs(doc_id, text)``, one row a document: linked are texts of equal words and those whose five-word shingles have an exact Jaccard similarity of SIMILARITY or more.
+
+    Such pairs differ by too many fingerprint bits for thresholds that part
+    anything, so candidates come from MinHash bands, which miss a pair of just
+    SIMILARITY with a chance below MISSED, and each is verified on its words.
+    """
+    classes = staged(_signed(docs).groupBy("h").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("first.*").withColumn("id", F.monotonically_increasing_id()), "classes")
+    values = classes.select("id", F.explode("bands").alias("key"))
+    met = values.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = staged(values.join(met, "key"), "candidates")
+    wanted = members.select("id").distinct().join(classes.select("id", "doc_id"), "id")
+    texts = staged(docs.join(wanted, "doc_id").select("id", F.col("text").alias("paragraph")), "texts")
+    roots = components(similar(members, texts)).withColumnsRenamed({"node": "id"})
+    rooted = classes.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
+    return rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component the document of the smallest doc_id stays, with the columns it has.
+    """Pipeline stage: of each component of :func:`near_copies` the document of the smallest doc_id stays, with the columns it has.
 
     A repeated doc_id stays once.  Documents without an id cannot be told apart
     and stay as they are.
     """
-    prints = staged(docs.where("doc_id is not null").select("doc_id", fingerprints(docs).alias("fp")), "prints")
-    stay = near_duplicates(prints).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    one = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    one = staged(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), "once")
+    stay = near_copies(one.select("doc_id", "text"))
+    return one.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
