@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import small, staged
+from maskwright.llm.common import staged
 from maskwright.llm.urls import url_parts
 
 # HTML's elements by role.
@@ -51,8 +51,6 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Lines compared in one alignment at most by the full table; beyond that the ends that agree are cut and the rest is aligned through lines that occur once in both.
 TABLE = 400
-#: Pages of a host from which it is dealt in chunks, and the pages of a chunk.
-LARGE, CHUNK = 1000, 128
 
 
 @dataclass
@@ -291,30 +289,35 @@ def _digest(text: str) -> int:
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, n_shared`` of every row of ``pages(page_id, url, html)``; n_shared counts the lines found in the neighbour too.
 
-    Rows are shuffled once, dealt by host; a host of more than LARGE pages is
-    dealt in chunks of about CHUNK by a hash of the path.  A task holds two pages
-    at a time.  A page is compared with the one before it by path, the first of
-    a host or chunk with the one after it.  Null html is an empty page; a page
+    Pages are ordered by host, path and page_id and cut into ranges; the page at
+    either end of a range is copied into the next one, so that a page is compared
+    with the one before it, the first of a host with the one after it, wherever
+    the cuts fall.  The bounds come from the keys alone, so the pages are shuffled
+    once.  A task holds two pages at a time.  Null html is an empty page; a page
     alone on its host shares nothing.
     """
     host, path, _ = url_parts(F.coalesce("url", F.lit("")))
-    sizes = pages.select(host.alias("_host")).groupBy("_host").agg(F.count("*").alias("n")).where(F.col("n") > LARGE)
-    large = staged(sizes.select("_host", F.ceil(F.col("n") / CHUNK).alias("chunks")), "hosts")
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
-    dealt = keyed.join(small(large, large.count(), 96), F.col("host") == F.col("_host"), "left")
-    chunked = dealt.withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("path"), F.col("chunks")), F.lit(0).cast("bigint"))).drop("_host", "chunks")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = chunked.repartition(parts, "host", "chunk").sortWithinPartitions("host", "chunk", "path", "page_id")
+    key = F.struct("host", "path", "page_id")
+    ranges = keyed.select("host", "path", "page_id").repartitionByRange(parts, "host", "path", "page_id")
+    ends = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    bounds = staged(ends.agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("bounds")), "bounds")  # one row of a range's two ends each
+    placed = keyed.join(F.broadcast(bounds), how="cross").withColumn("chunk", F.size(F.filter("bounds", lambda b: b["high"] < key)))
+    here = lambda k, end: (F.get("bounds", k))[end] == key
+    copies = F.array(F.struct(F.col("chunk"), F.lit(False).alias("copy")), F.when(here(F.col("chunk"), "high"), F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("copy"))), F.when(here(F.col("chunk"), "low"), F.struct((F.col("chunk") - 1).alias("chunk"), F.lit(True).alias("copy"))))
+    dealt = placed.select("page_id", "url", "html", "host", "path", F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("x")).select("page_id", "url", "html", "host", "path", "x.*")
+    near = dealt.repartition(parts, "chunk").sortWithinPartitions("chunk", "host", "path", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parsed():
             for batch in batches:
-                for page_id, url, page, host, chunk in zip(*(batch.column(c) for c in ("page_id", "url", "html", "host", "chunk")), strict=True):
+                for page_id, url, page, host, chunk, copy in zip(*(batch.column(c) for c in ("page_id", "url", "html", "host", "chunk", "copy")), strict=True):
                     found = lines(page.as_py())
-                    yield page_id.as_py(), url.as_py(), found, [_digest(x.text) for x in found], (host.as_py(), chunk.as_py())
+                    yield page_id.as_py(), url.as_py(), found, [_digest(x.text) for x in found], (host.as_py(), chunk.as_py()), copy.as_py()
 
         def finished(page, neighbour):
-            page_id, url, found, digests, _ = page
+            page_id, url, found, digests, *_ = page
             shared = common_lines(digests, neighbour[3]) if neighbour else set()
             text = "\n\n".join(kept(found, shared))
             return page_id, url, text, len(text), len(shared)
@@ -325,6 +328,9 @@ def extracted(pages: DataFrame) -> DataFrame:
                 rows.append(finished(waiting, page if page[4] == waiting[4] else None))
                 size += len(rows[-1][2])
                 waiting = None
+            if page[5]:  # it has its row in another range
+                before = page
+                continue
             if before is not None and before[4] == page[4]:
                 rows.append(finished(page, before))
                 size += len(rows[-1][2])
