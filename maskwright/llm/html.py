@@ -1,44 +1,51 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are sorted by URL path, so that a page's neighbours are those
-with the nearest paths.  The text lines of a page are aligned with
-a neighbour's by their longest common subsequence, and lines that both share
-are boilerplate and go.
-
-Differencing alone gives wrong results in two ways, which the markup settles.
-Boilerplate that differs from page to page (adverts, lists of links) is known by
-its element; and a line inside the element that holds the article belongs to the
-article even where a neighbour repeats it, so a shared line goes only where no
-such element claims it.
+Pages are paired by URL path within each host: of the pages before and after it
+in the order of paths, a page is compared with the one that shares the longer
+beginning of its path.  Their text lines are aligned by a longest common
+subsequence, and the lines that both share are boilerplate and go.
+
+Markup bears on that in two ways.  A line inside an article or main element
+belongs to the article even where a neighbour repeats it, so those elements veto
+the deletion.  And boilerplate that differs from page to page, which no neighbour
+can show, is known by its element: menus, footers, sidebars, forms, adverts,
+comments.  Inside an article a mere name that may mean such a thing (``related``,
+``discussion``) counts only where the neighbour shares the line too.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
+from os.path import commonprefix
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from maskwright.llm.common import staged
 from maskwright.llm.urls import url_parts
 
 # HTML's elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas select xmp noembed noframes".split())
-NEVER = frozenset("nav header footer aside form button dialog menu head fieldset".split())
+RAW = frozenset("script style textarea title iframe template svg select".split())
+NEVER = frozenset("nav header footer aside form button dialog menu head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-#: Words of a class, id, role or label that name something other than the article.
+#: Words of a class, id, role or label that may name something other than the article.
 OTHER = re.compile(
     r"(?:^|[\s_-])(?<!with-)(?<!has-)(?<!no-)(?:ad|ads|advert|adverts|advertisement|advertising|adbox|banner|sponsor|sponsored|promo|promoted|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|sidebar|side-bar|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|commentlist|reply|replies|respond|disqus|discussion|widget|toolbar|pagination|pager|skip|search|masthead|copyright|toc|tags|contentinfo|complementary|alert)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Whole class names or ids that name an advert or readers' comments, within an article too.
+SURELY = re.compile(r"(?:^|\s)(?:ads?|advert|adverts|advertisement|advertising|sponsored|comments?|commentlist|disqus)(?:[-_](?:slot|box|unit|banner|block|container|wrapper|thread|list|section|area|form|item|body|\d+))*(?:$|\s)", re.I)
 #: Those that name the article.
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|article-body|main-content|post-content|entry-content)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(
@@ -49,8 +56,16 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: Lines compared in one alignment at most by the full table; beyond that the ends that agree are cut and the rest is aligned through lines that occur once in both.
-TABLE = 400
+#: Cells of an alignment, in bits, whose rows are kept at once; a larger one is halved first.
+CELLS = 1 << 26
+#: A range of neighbouring pages holds about so many bytes of HTML, and a task about four ranges.
+RANGE_BYTES = 8 << 20
+#: Ranges at most; beyond that they grow.  Their bounds go to every task.
+RANGES = 1 << 15
+#: Characters of a host and of a path that a bound keeps.
+BOUND = 256
+#: Lines of links that follow one another from so many on are a list of links.
+LINKS = 3
 
 
 @dataclass
@@ -58,8 +73,8 @@ class Line:
     text: str
     #: 2 inside an article element, 1 inside a main element or one whose class says so, 0 elsewhere.
     main: int
-    #: Inside an element that is never the article's.
-    other: bool
+    #: 2 inside an element that is never the article's, 1 inside one of an article whose name may mean so.
+    other: int
     #: Share of characters inside links.
     linked: float = 0.0
 
@@ -68,29 +83,28 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
-def _role(tag: str, attrs: dict[str, str], depth: int) -> tuple[int, bool]:
-    """How strongly an element is the article, and whether it is something else."""
+def _role(tag: str, attrs: dict[str, str], depth: int) -> tuple[int, int]:
+    """How strongly an element is the article, and how surely it is something else; ``depth`` is how strongly its parents are the article."""
     if tag in ("html", "body"):
-        return 0, False
+        return 0, 0
+    named = " ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""), attrs.get("aria-label", ""))).strip() if attrs else ""
+    if attrs and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style", ""))):
+        return 0, 2
+    surely = bool(named) and any(SURELY.search(attrs.get(k, "")) for k in ("class", "id"))
     if tag == "article":
-        return (0, True) if OTHER.search(" ".join((attrs.get("class", ""), attrs.get("id", "")))) and re.search(r"comment|reply", " ".join((attrs.get("class", ""), attrs.get("id", ""))), re.I) else (2, False)
+        return (0, 2) if surely else (2, 0)
     if tag == "main":
-        return 1, False
+        return 1, 0
     if tag == "header" and depth == 2:  # an article's own header holds its title
-        return 0, False
-    if tag in NEVER:
-        return 0, True
-    if not attrs:
-        return 0, False
-    named = " ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""), attrs.get("aria-label", "")))
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDDEN.search(attrs.get("style", "")):
-        return 0, True
-    if named.strip():
+        return 0, 0
+    if tag in NEVER or surely and tag not in HEADINGS:
+        return 0, 2
+    if named:
         if OTHER.search(named) and tag not in HEADINGS:
-            return 0, True
+            return 0, 1 if depth else 2
         if attrs.get("role") == "main" or MAIN.search(named):
-            return 1, False
-    return 0, False
+            return 1, 0
+    return 0, 0
 
 
 def lines(page: str) -> list[Line]:
@@ -100,9 +114,9 @@ def lines(page: str) -> list[Line]:
     its element, a stray one nothing; what is never closed ends with the page.
     """
     out: list[Line] = []
-    stack: list[tuple[str, int, int]] = []  # tag, main so far, elements of other kinds open
+    stack: list[tuple[str, int, int, int]] = []  # tag, main so far, elements surely and maybe of other kinds open
     text: list[str] = []
-    linked = links = main = other = muted = 0
+    linked = links = main = other = maybe = muted = 0
     at, low = 0, None
 
     def flush() -> None:
@@ -110,7 +124,7 @@ def lines(page: str) -> list[Line]:
         if text:
             folded = " ".join("".join(text).split())
             if folded:
-                out.append(Line(folded, main, other > 0, min(1.0, linked / len(folded))))
+                out.append(Line(folded, main, 2 if other else 1 if maybe else 0, min(1.0, linked / len(folded))))
             text, linked = [], 0
 
     def write(s: str) -> None:
@@ -122,16 +136,16 @@ def lines(page: str) -> list[Line]:
                 linked += len(s.strip())
 
     def pop_to(index: int) -> None:
-        nonlocal main, other, links, muted
+        nonlocal main, other, maybe, links, muted
         while len(stack) > index:
-            tag, was_main, was_other = stack.pop()
+            tag, was_main, was_other, was_maybe = stack.pop()
             if tag in BLOCK:
                 flush()
             if tag == "a":
                 links -= 1
             if other > was_other and tag not in BLOCK:
                 muted -= 1
-            main, other = was_main, was_other
+            main, other, maybe = was_main, was_other, was_maybe
 
     find = TOKEN.finditer(page)
     for m in find:
@@ -179,9 +193,9 @@ def lines(page: str) -> list[Line]:
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
             continue
         gain, is_other = _role(tag, _attributes(rest), main)
-        stack.append((tag, main, other))
-        main, other = max(main, gain), other + is_other
-        muted += is_other and tag not in BLOCK  # a button, say, within a paragraph
+        stack.append((tag, main, other, maybe))
+        main, other, maybe = max(main, gain), other + (is_other == 2), maybe + (is_other == 1)
+        muted += is_other == 2 and tag not in BLOCK  # a button, say, within a paragraph
         if tag == "a":
             links += 1
     write(page[at:])
@@ -193,9 +207,10 @@ def lines(page: str) -> list[Line]:
 def common_lines(a: list[int], b: list[int]) -> set[int]:
     """Places in ``a`` of a longest common subsequence of ``a`` and ``b``.
 
-    What agrees at both ends is cut first.  If more than TABLE lines are left on
-    both sides, they are cut at the lines that occur once on either side, in
-    their longest increasing order, and the stretches between are aligned.
+    What agrees at both ends is cut first.  The rest is aligned by bit-parallel
+    rows (Hyyro), one whole number of len(b) bits for each line of ``a``.  Where
+    the rows would take more than CELLS bits, ``a`` is halved where the lengths
+    from both sides add up to the most (Hirschberg), so memory stays bounded.
     """
     out: set[int] = set()
     todo = [(0, len(a), 0, len(b))]
@@ -209,152 +224,209 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
             out.add(i_end)
         if i == i_end or j == j_end:
             continue
-        if min(i_end - i, j_end - j) > TABLE and (cuts := _unique(a, b, i, i_end, j, j_end)):
-            for x, y in cuts:
-                todo.append((i, x, j, y))
-                out.add(x)
-                i, j = x + 1, y + 1
-            todo.append((i, i_end, j, j_end))
+        if i_end - i == 1 or (i_end - i) * (j_end - j) <= CELLS:
+            out |= {i + x for x in _aligned(a[i:i_end], b[j:j_end])}
             continue
-        out |= {i + x for x in _table(a[i:i_end], b[j:j_end])}
+        half = (i + i_end) // 2
+        before = _lengths(a[i:half], b[j:j_end])
+        after = _lengths(a[half:i_end][::-1], b[j:j_end][::-1])[::-1]
+        cut = j + max(range(j_end - j + 1), key=lambda k: before[k] + after[k])
+        todo += [(i, half, j, cut), (half, i_end, cut, j_end)]
     return out
 
 
-def _unique(a: list[int], b: list[int], i: int, i_end: int, j: int, j_end: int) -> list[tuple[int, int]]:
-    from bisect import bisect_left
-    from collections import Counter
-
-    once_a, once_b = Counter(a[i:i_end]), Counter(b[j:j_end])
-    place = {b[y]: y for y in range(j, j_end) if once_b[b[y]] == 1}
-    pairs = [(x, place[a[x]]) for x in range(i, i_end) if once_a[a[x]] == 1 and a[x] in place]
-    tails: list[int] = []
-    chain: list[list[tuple[int, int, int]]] = []  # by length: place in a, in b, index of its predecessor
-    for x, y in pairs:
-        k = bisect_left(tails, y)
-        if k == len(tails):
-            tails.append(y)
-            chain.append([])
-        tails[k] = y
-        chain[k].append((x, y, len(chain[k - 1]) - 1 if k else -1))
-    out, at = [], len(chain[-1]) - 1 if chain else -1
-    for k in range(len(chain) - 1, -1, -1):
-        x, y, at = chain[k][at]
-        out.append((x, y))
-    return out[::-1]
-
-
-def _table(a: list[int], b: list[int]) -> list[int]:
-    """A longest common subsequence through the lists of equal places (Hunt and Szymanski), which suits lines, few of which are equal."""
-    from bisect import bisect_left
-
-    where: dict[int, list[int]] = {}
-    for y in range(len(b) - 1, -1, -1):
-        where.setdefault(b[y], []).append(y)
-    tails: list[int] = []
-    nodes: list[tuple] = []
-    for x, line in enumerate(a):
-        for y in where.get(line, ()):
-            k = bisect_left(tails, y)
-            node = (x, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(y)
-                nodes.append(node)
-            else:
-                tails[k], nodes[k] = y, node
-    out, node = [], nodes[-1] if nodes else None
-    while node:
-        out.append(node[0])
-        node = node[1]
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each line of ``a`` a number of len(b) bits: bit y is zero if the common subsequence of the lines so far and b[: y + 1] is longer than that with b[:y]."""
+    where: dict[int, int] = {}
+    for y, line in enumerate(b):
+        where[line] = where.get(line, 0) | 1 << y
+    every = row = (1 << len(b)) - 1
+    for line in a:
+        hit = row & where.get(line, 0)
+        row = (row + hit | row - hit) & every
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """Lengths of the longest common subsequences of ``a`` and each beginning of ``b``."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    out = [0]
+    for bit in reversed(format(row, f"0{len(b)}b")):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    rows, out, y = list(_rows(a, b)), [], len(b)
+    x = len(a)
+    while x and y:
+        if rows[x - 1] >> (y - 1) & 1:
+            y -= 1
+        elif x > 1 and not rows[x - 2] >> (y - 1) & 1:
+            x -= 1
+        else:
+            x, y = x - 1, y - 1
+            out.append(x)
     return out
 
 
 def kept(found: list[Line], shared: set[int]) -> list[str]:
-    """The lines of the main text.
+    """The lines of the main text: those in no element of another kind, that are not shared with the neighbour unless an article or main element holds them, and that belong to no list of links outside of such elements."""
+    lists: set[int] = set()
+    run: list[int] = []
+    for i, x in enumerate([*found, Line("", 0, 0)]):
+        if x.main == 0 and x.linked >= 0.8:
+            run.append(i)
+            continue
+        if len(run) >= LINKS:
+            lists.update(run)
+        run = []
+    return [x.text for i, x in enumerate(found) if x.other < 2 and not (x.other and i in shared) and (x.main or i not in shared and i not in lists)]
 
-    Within an article element all lines but those of other elements; if there is
-    none, within a main element likewise; else what is left once the lines
-    shared with the neighbour and lists of links are gone.
-    """
-    own = [(i, x) for i, x in enumerate(found) if not x.other]
-    strongest = max((x.main for _, x in own), default=0)
-    if strongest:
-        return [x.text for _, x in own if x.main >= strongest]
-    return [x.text for i, x in own if i not in shared and x.linked < 0.8]
+
+def nearer(path: str, before: str | None, after: str | None) -> int:
+    """Which of two neighbours, 0 or 1, has a path with the longer common beginning; the one before if they are alike."""
+    begun = [-1 if p is None else len(commonprefix((path, p))) for p in (before, after)]
+    return int(begun[1] > begun[0])
 
 
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
+@dataclass
+class Page:
+    host: str
+    path: str
+    lines: list[Line]
+    digests: list[int]
+    #: page_id and url of the rows that are this page: several where neighbours are alike in all lines.
+    rows: list[tuple]
+
+
+def differenced(pages: Iterable[Page]) -> Iterator[tuple]:
+    """Rows (page_id, url, text, n_chars, n_shared, n_cut) of pages in order of host and path; pages without rows are guests, which only take part.
+
+    Neighbours that are alike in all lines are one page here, as copies show no
+    boilerplate.  Three pages are held at a time.
+    """
+
+    def finished(page: Page, before: Page | None, after: Page | None) -> Iterator[tuple]:
+        near = [p for p in (before, after) if p is not None and p.host == page.host]
+        if len(near) == 2:
+            near = [near[nearer(page.path, near[0].path, near[1].path)]]
+        shared = common_lines(page.digests, near[0].digests) if near else set()
+        text = kept(page.lines, shared)
+        cut = len(kept(page.lines, set())) - len(text)
+        whole = "\n\n".join(text)
+        for page_id, url in page.rows:
+            yield page_id, url, whole, len(whole), len(shared), cut
+
+    before = held = None
+    for page in pages:
+        if held is not None and held.host == page.host and held.digests == page.digests:
+            held.rows += page.rows
+            continue
+        if held is not None:
+            yield from finished(held, before, page)
+        before, held = held, page
+    if held is not None:
+        yield from finished(held, before, None)
+
+
+def _order(page_id) -> tuple:
+    """A key that sorts ids as Spark does, null first."""
+    return (0,) if page_id is None else (1, page_id)
+
+
+def _bounds(keys: DataFrame, n_bytes: int) -> tuple[list[tuple], int]:
+    """The least keys of ranges of ``keys(host, path, page_id)`` but the first, and how many tasks to use.
+
+    RANGES bounds at most, of BOUND characters of host and path; where either is
+    longer, the bound is its beginning alone.
+    """
+    least = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(max(4 * least, n_bytes // RANGE_BYTES), RANGES)
+    low = keys.repartitionByRange(n, "host", "path", "page_id").groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct("host", "path", "page_id")).alias("low"))
+    short = F.struct(F.left("low.host", F.lit(BOUND + 1)).alias("host"), F.left("low.path", F.lit(BOUND + 1)).alias("path"), F.col("low.page_id").alias("page_id"))
+    rows = low.select(short.alias("low"), "range").orderBy("range").collect()
+    bounds = []
+    for r in rows[1:]:
+        host, path, page_id = r["low"]
+        bounds.append((host[:BOUND],) if len(host) > BOUND else (host, path[:BOUND]) if len(path) > BOUND else (host, path, _order(page_id)))
+    return bounds, max(least, n // 4)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars, n_shared`` of every row of ``pages(page_id, url, html)``; n_shared counts the lines found in the neighbour too.
-
-    Pages are ordered by host, path and page_id and cut into ranges; the page at
-    either end of a range is copied into the next one, so that a page is compared
-    with the one before it, the first of a host with the one after it, wherever
-    the cuts fall.  The bounds come from the keys alone, so the pages are shuffled
-    once.  A task holds two pages at a time.  Null html is an empty page; a page
-    alone on its host shares nothing.
+    """``page_id, url, text, n_chars, n_shared, n_cut`` of every row of ``pages(page_id, url, html)``: n_shared lines are the nearest page's too, and n_cut lines go for that reason alone.
+
+    Pages are ordered by host, path and page_id and cut into ranges of about
+    RANGE_BYTES; the page at either end of a range is copied into the next one,
+    so that a page meets both its neighbours wherever the cuts fall, on hosts of
+    any size.  The bounds come from the keys alone, so the pages are shuffled
+    once.  Null html is an empty page, a null url one without host and path; a
+    page alone on its host shares nothing; repeated rows have the same text.  Rows
+    of a page whose copies fill a range and more see no neighbour beyond them.
     """
     host, path, _ = url_parts(F.coalesce("url", F.lit("")))
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = keyed.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    keys = keyed.select("host", "path", "page_id")
+    bounds, tasks = _bounds(keys, n_bytes)
+
+    @F.arrow_udf("int")
+    def place(hosts: pa.Array, paths: pa.Array, page_ids: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds, (h.as_py(), p.as_py(), _order(i.as_py()))) for h, p, i in zip(hosts, paths, page_ids, strict=True)], pa.int32())
+
+    # the page at either end of each range, known by a digest: one that collides is copied needlessly, and its order tells it apart
     key = F.struct("host", "path", "page_id")
-    ranges = keyed.select("host", "path", "page_id").repartitionByRange(parts, "host", "path", "page_id")
-    ends = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    bounds = staged(ends.agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("bounds")), "bounds")  # one row of a range's two ends each
-    placed = keyed.join(F.broadcast(bounds), how="cross").withColumn("chunk", F.size(F.filter("bounds", lambda b: b["high"] < key)))
-    here = lambda k, end: (F.get("bounds", k))[end] == key
-    copies = F.array(F.struct(F.col("chunk"), F.lit(False).alias("copy")), F.when(here(F.col("chunk"), "high"), F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("copy"))), F.when(here(F.col("chunk"), "low"), F.struct((F.col("chunk") - 1).alias("chunk"), F.lit(True).alias("copy"))))
-    dealt = placed.select("page_id", "url", "html", "host", "path", F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("x")).select("page_id", "url", "html", "host", "path", "x.*")
-    near = dealt.repartition(parts, "chunk").sortWithinPartitions("chunk", "host", "path", "page_id")
+    ends = keys.withColumn("chunk", place("host", "path", "page_id")).groupBy("chunk").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    found = ends.select("chunk", *(F.xxhash64(f"{e}.host", f"{e}.path", f"{e}.page_id").alias(e) for e in ("low", "high"))).orderBy("chunk").collect()
+    before = {r["chunk"]: at["chunk"] for at, r in zip(found, found[1:], strict=False)}
+    after = {at["chunk"]: r["chunk"] for at, r in zip(found, found[1:], strict=False)}
+    lows, highs = {r["chunk"]: r["low"] for r in found if r["chunk"] in before}, {r["chunk"]: r["high"] for r in found if r["chunk"] in after}
+
+    @F.arrow_udf("array<int>")
+    def guest_in(chunks: pa.Array, digests: pa.Array) -> pa.Array:
+        out = []
+        for k, d in zip(chunks.to_pylist(), digests.to_pylist(), strict=True):
+            out.append([c[k] for c, e in ((before, lows), (after, highs)) if e.get(k) == d])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    placed = keyed.withColumn("chunk", place("host", "path", "page_id")).withColumn("guests", guest_in("chunk", F.xxhash64("host", "path", "page_id")))
+    at = F.concat(F.array(F.struct("chunk", F.lit(False).alias("guest"))), F.transform("guests", lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("guest"))))
+    dealt = placed.select("page_id", "url", "html", "host", "path", F.explode(at).alias("at")).select("page_id", "url", "html", "host", "path", "at.*")
+    near = dealt.repartition(tasks, "chunk").sortWithinPartitions("chunk", "host", "path", "page_id")
+    ids = to_arrow_type(pages.schema["page_id"].dataType)
+    schema = pa.schema([("page_id", ids), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64()), ("n_cut", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parsed():
+        def parsed() -> Iterator[tuple[int, Page]]:
             for batch in batches:
-                for page_id, url, page, host, chunk, copy in zip(*(batch.column(c) for c in ("page_id", "url", "html", "host", "chunk", "copy")), strict=True):
+                for page_id, url, page, host, path, chunk, guest in zip(*(batch.column(c) for c in ("page_id", "url", "html", "host", "path", "chunk", "guest")), strict=True):
                     found = lines(page.as_py())
-                    yield page_id.as_py(), url.as_py(), found, [_digest(x.text) for x in found], (host.as_py(), chunk.as_py()), copy.as_py()
-
-        def finished(page, neighbour):
-            page_id, url, found, digests, *_ = page
-            shared = common_lines(digests, neighbour[3]) if neighbour else set()
-            text = "\n\n".join(kept(found, shared))
-            return page_id, url, text, len(text), len(shared)
-
-        rows, size, before, waiting = [], 0, None, None
-        for page in parsed():
-            if waiting:  # the first of its host
-                rows.append(finished(waiting, page if page[4] == waiting[4] else None))
-                size += len(rows[-1][2])
-                waiting = None
-            if page[5]:  # it has its row in another range
-                before = page
-                continue
-            if before is not None and before[4] == page[4]:
-                rows.append(finished(page, before))
-                size += len(rows[-1][2])
-            else:
-                waiting = page
-            before = page
-            if size > 4 << 20 or len(rows) > 5000:
-                yield batch_of(rows)
-                rows, size = [], 0
-        if waiting:
-            rows.append(finished(waiting, None))
+                    yield chunk.as_py(), Page(host.as_py(), path.as_py(), found, [_digest(x.text) for x in found], [] if guest.as_py() else [(page_id.as_py(), url.as_py())])
+
+        rows, size = [], 0
+        for _, own in groupby(parsed(), key=itemgetter(0)):
+            for row in differenced(page for _, page in own):
+                rows.append(row)
+                size += len(row[2])
+                if size > 4 << 20 or len(rows) > 5000:
+                    yield batch_of(rows)
+                    rows, size = [], 0
         yield batch_of(rows)
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    schema = pa.schema([("page_id", ids), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64())])
-
     def batch_of(rows) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return near.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint, n_shared bigint")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return near.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint, n_shared bigint, n_cut bigint")
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:
-    """The main text of every page."""
-    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).drop("n_shared")
+    """The main text of every page, how many of its lines the nearest page shares, and how many go for that reason alone."""
+    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
