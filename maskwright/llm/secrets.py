@@ -11,11 +11,17 @@ tests the string against independent uniform symbols of that alphabet:
 * serial correlation of neighbouring symbols.
 
 A string that fails none of them looks random.  That alone would flag short
-strings, on which the tests have little power.  So each string also gets the
-p-value that an ordinary word of its length is as unlike words as it is, by the
-log-likelihood ratio of uniform symbols to those of ordinary words, and
-Benjamini-Hochberg's procedure, run over all candidates of the corpus within
-bands of length, controls the share of false discoveries.
+strings, on which the tests have little power.  So the same three statistics are
+also held against an ordinary string of that length over that alphabet, whose
+symbols come at the frequencies of letters in words: how far each lies from its
+mean there, towards randomness, weighted by how far random strings of that length
+lie on average.  The combined score gives a p-value against "ordinary", which
+grows stronger with length as the tests do, and Benjamini-Hochberg's procedure,
+run over all candidates of the corpus within bands of length, controls the share
+of false discoveries among strings that look random.
+
+Every step takes time in proportion to the text: matches are walked once, and
+what a lambda needs is computed before it.
 """
 
 from __future__ import annotations
@@ -52,12 +58,18 @@ CAPITAL, DIGIT, SIGN = 0.06, 0.02, 0.01
 
 #: A string counts as random while no test of the battery, corrected for their number, falls below this.
 UNIFORM_LEAST = 1e-4
+#: How the three scores go together in ordinary strings, at most: counts with runs, counts with correlation, runs with correlation.
+TOGETHER = (0.5, 0.5, 0.9)
+#: Share of an ordinary word's letters that hexadecimal has, at most; words of such letters alone are the rarer the longer they are.
+HEX_SHARE = 0.4
 #: Share of false discoveries allowed among the strings found, per band of length.
 FALSE_DISCOVERIES = 0.001
 #: Bands of length begin here.
 BANDS = (20, 32, 48, 96)
 #: p-values are counted in steps of 1/20 of a power of ten, so that any corpus gives at most this many counts a band.
 STEP, STEPS = 20, 1200
+#: Elements that a scan of an array takes at once: appending copies what is there, so runs are kept short.
+RUN = 64
 
 
 def _word_shares() -> dict[str, float]:
@@ -71,7 +83,45 @@ def _word_shares() -> dict[str, float]:
 
 
 SHARES = _word_shares()
-SYMBOLS = "".join(SHARES)
+
+
+def _moments(symbols: str) -> dict[str, float]:
+    """Of a symbol of ordinary strings over ``symbols``: the chances that two and that three are equal, that it is in the lower half, and its place's mean and variance, from the middle."""
+    total = sum(SHARES[c] for c in symbols)
+    p = [SHARES[c] / total for c in symbols]
+    middle = (len(p) - 1) / 2
+    mean = sum(x * (i - middle) for i, x in enumerate(p))
+    return {"k": float(len(p)), "two": sum(x**2 for x in p), "three": sum(x**3 for x in p), "low": sum(p[: len(p) // 2]), "mean": mean, "variance": sum(x * (i - middle - mean) ** 2 for i, x in enumerate(p))}
+
+
+MOMENTS = [_moments(symbols) for _, _, symbols in ALPHABETS]
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, zero: Column, step, shown, kind: str) -> Column:
+    """``shown(state, item)``, of the SQL type ``kind``, for each of ``items``, where ``step(state, item)`` is the state at the next one.
+
+    Items are taken in runs of RUN, each gathered by itself, which keeps the
+    time in proportion to their number for all arrays that fit in memory.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def within(state: Column, run: Column) -> Column:
+        return F.aggregate(run, F.struct(state.alias("s"), none.alias("out")), lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.array_append(acc["out"], shown(acc["s"], x)).alias("out")))
+
+    def over(all_items: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / RUN).cast("int")), lambda r: F.slice(all_items, r * RUN + 1, F.lit(RUN)))
+        first = F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(runs, first, lambda acc, run: _let(within(acc["s"], run), lambda x: F.struct(x["s"].alias("s"), F.array_append(acc["out"], x["out"]).alias("out"))))["out"])
+
+    return _let(items, lambda x: F.when(F.size(x) > 0, over(x)).otherwise(none))
+
+
+SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
 def _spans(text: Column, pattern: str, kind: int, least: tuple[int, int] | None = None) -> Column:
@@ -80,21 +130,17 @@ def _spans(text: Column, pattern: str, kind: int, least: tuple[int, int] | None
     The text between matches comes from a split by the same pattern, so that the
     running lengths give the places.  ``least`` is a group and its least length.
     """
-    gaps, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(least[0])) if least else found
-    span = lambda start, i: F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), (start + F.char_length(F.get(found, i))).cast("int").alias("end"), F.get(inner, i).alias("value"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    indexes = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    walked = F.aggregate(
-        indexes,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.char_length(F.get(gaps, i)) + F.char_length(F.get(found, i))).cast("int").alias("at"),
-            F.array_append(acc["out"], span(acc["at"] + F.char_length(F.get(gaps, i)), i)).alias("out"),
-        ),
-    )["out"]
+    group = least[0] if least else 0
+    parts = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("inner"))
+
+    def placed(x: Column) -> Column:
+        sizes = F.transform(x["found"], lambda m, i: F.struct(F.char_length(F.get(x["gaps"], i)).alias("gap"), F.char_length(m).alias("size"), F.get(x["inner"], i).alias("value")))
+        span = lambda at, m: F.struct((at + m["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + m["gap"] + m["size"]).alias("end"), m["value"].alias("value"))
+        return _scan(sizes, F.lit(0), lambda at, m: at + m["gap"] + m["size"], span, SPAN)
+
+    walked = _let(parts, placed)
     kept = F.filter(walked, lambda s: F.char_length(s["value"]) >= least[1]) if least else walked
-    return F.when(F.rlike(text, F.lit(pattern)), kept).otherwise(none)
+    return F.when(F.rlike(text, F.lit(pattern)), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _tail(z: Column) -> Column:
@@ -103,36 +149,65 @@ def _tail(z: Column) -> Column:
     return F.least(F.lit(1.0), F.lit(4 / math.sqrt(2 * math.pi)) * F.exp(-a * a / 2) / (a + F.sqrt(a * a + 8 / math.pi)))
 
 
+def _power(z: Column) -> Column:
+    """The negative power of ten of the upper tail of the standard normal beyond ``z``, without underflow; 0 up to the middle."""
+    return F.when(z <= 0, 0.0).otherwise((z * z / 2 + F.log((z + F.sqrt(z * z + 8 / math.pi)) / 2) + math.log(math.sqrt(2 * math.pi) / 1)) / math.log(10))
+
+
 def _battery(value: Column) -> Column:
-    """A struct (encoding, uniform, words): the battery's least p-value, corrected, and the p-value of an ordinary word, as its negative power of ten."""
-    alphabet, name = F.lit(ALPHABETS[-1][2]), F.lit(ALPHABETS[-1][0])
-    for what, pattern, symbols in reversed(ALPHABETS[:-1]):
-        fits = value.rlike(pattern)
-        alphabet, name = F.when(fits, symbols).otherwise(alphabet), F.when(fits, what).otherwise(name)
+    """A struct (encoding, uniform, ordinary): the battery's least p-value, corrected, and the p-value against an ordinary string, as its negative power of ten."""
+    which = F.lit(len(ALPHABETS) - 1)
+    for i, (_, pattern, _) in reversed(list(enumerate(ALPHABETS[:-1]))):
+        which = F.when(value.rlike(pattern), i).otherwise(which)
+    # where signs of both base 64 alphabets occur, they stand for each other
     body = F.regexp_replace(value, "=", "")
-    n, k = F.char_length(body).cast("double"), F.char_length(alphabet).cast("double")
-    symbols = F.split(body, "")
-    codes = F.transform(symbols, lambda c: F.instr(alphabet, c) - 1)
-    counts = F.transform(F.array_distinct(symbols), lambda c: F.char_length(body) - F.char_length(F.replace(body, c, F.lit(""))))
-    squares = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c)
-    chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    pairs = F.arrays_zip(F.slice(codes, 1, F.size(codes) - 1).alias("a"), F.slice(codes, 2, F.size(codes) - 1).alias("b"))
-    half = F.floor(k / 2)
-    turns = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.when((p["a"] < half) == (p["b"] < half), 0.0).otherwise(1.0))
-    runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    mean, variance = (k - 1) / 2, (k * k - 1) / 12
-    serial = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["a"] - mean) * (p["b"] - mean)) / (variance * F.sqrt(n - 1))
-    uniform = F.least(F.lit(1.0), 3 * F.least(_tail(chi), _tail(runs), _tail(serial)))
-
-    # log(1/k / share of the symbol) summed, against its mean and spread in ordinary words
-    logs = F.expr(f"array({','.join(f'{-math.log(s):.6f}D' for s in SHARES.values())})")
-    m = sum(s * -math.log(s) for s in SHARES.values())
-    v = sum(s * math.log(s) ** 2 for s in SHARES.values()) - m * m
-    unlike = F.aggregate(symbols, F.lit(0.0), lambda acc, c: acc + F.get(logs, F.instr(F.lit(SYMBOLS), c) - 1))
-    z = (unlike - n * m) / F.sqrt(n * v)
-    # -log10 of the upper tail, without underflow
-    power = F.when(z <= 0, 0.0).otherwise((z * z / 2 + F.log((z + F.sqrt(z * z + 8 / math.pi)) / 2) + math.log(math.sqrt(2 * math.pi) / 1)) / math.log(10))
-    return F.struct(name.alias("encoding"), uniform.alias("uniform"), F.greatest(F.lit(0.0), power).alias("words"))
+    both = lambda w: F.when(w == len(ALPHABETS) - 1, F.translate(body, "-_", "+/")).otherwise(body)
+    return _let(which, lambda w: _let(F.struct(w.alias("w"), F.get(F.lit([a for _, _, a in ALPHABETS]), w).alias("alphabet"), both(w).alias("body")), _tested))
+
+
+def _tested(x: Column) -> Column:
+    """The battery's struct for ``x(w, alphabet, body)``."""
+    n, zero = F.char_length(x["body"]).cast("double"), F.lit(0.0)
+    of = lambda name: F.get(F.lit([m[name] for m in MOMENTS]), x["w"])
+    half, middle = F.floor(of("k") / 2).cast("int"), (of("k") - 1) / 2
+
+    def step(acc: Column, code: Column) -> Column:
+        first = acc["before"] < 0
+        turned = F.when(first | ((acc["before"] < acc["half"]) == (code < acc["half"])), acc["turns"]).otherwise(acc["turns"] + 1)
+        moved = F.when(first, acc["product"]).otherwise(acc["product"] + (acc["before"] - acc["middle"]) * (code - acc["middle"]))
+        return F.struct(code.alias("before"), acc["half"].alias("half"), acc["middle"].alias("middle"), turned.alias("turns"), moved.alias("product"))
+
+    def walked(symbols: Column) -> Column:
+        counts = F.transform(F.array_distinct(symbols), lambda c: n - F.char_length(F.replace(x["body"], c, F.lit(""))))
+        start = F.struct(F.lit(-1).alias("before"), half.alias("half"), middle.alias("middle"), zero.alias("turns"), zero.alias("product"))
+        walk = F.aggregate(F.transform(symbols, lambda c: F.instr(x["alphabet"], c) - 1), start, step)
+        return F.struct(F.aggregate(counts, zero, lambda acc, c: acc + c * c).alias("squares"), walk.alias("walk"))
+
+    def judged(s: Column) -> Column:
+        k, squares, turns, product = s["k"], s["squares"], s["turns"], s["product"]
+        # against uniform symbols: counts, runs, neighbours
+        chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+        runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        serial = product / ((k * k - 1) / 12 * F.sqrt(n - 1))
+        uniform = F.least(F.lit(1.0), 3 * F.least(_tail(chi), _tail(runs), _tail(serial)))
+        # against ordinary ones: scores towards randomness, and how far random strings lie
+        pairs = n * (n - 1) / 2
+        spread = 2 * F.sqrt(pairs * s["two"] * (1 - s["two"]) + n * (n - 1) * (n - 2) * (s["three"] - s["two"] * s["two"]))
+        one = s["low"] * (1 - s["low"])
+        spread_turns = F.sqrt((n - 1) * 2 * one * (1 - 2 * one) + 2 * (n - 2) * one * (1 - 4 * one))
+        mean2, var = s["mean"] * s["mean"], s["variance"]
+        spread_product = F.sqrt((n - 1) * ((var + mean2) * (var + mean2) - mean2 * mean2) + 2 * (n - 2) * mean2 * var)
+        scores = ((n + 2 * pairs * s["two"] - squares) / spread, (turns - (n - 1) * 2 * one) / spread_turns, ((n - 1) * mean2 - product) / spread_product)
+        far = [F.greatest(zero, f) for f in (2 * pairs * (s["two"] - 1 / k) / spread, (n - 1) * (0.5 - 2 * one) / spread_turns, (n - 1) * mean2 / spread_product)]
+        a, b, c = far
+        size = F.sqrt(a * a + b * b + c * c + 2 * (a * b * TOGETHER[0] + a * c * TOGETHER[1] + b * c * TOGETHER[2]))
+        power = _power(F.try_divide(sum((f * z for f, z in zip(far, scores, strict=True)), zero), size)) + F.when(x["w"] < 2, n * -math.log10(HEX_SHARE)).otherwise(zero)
+        return F.struct(F.get(F.lit([name for name, _, _ in ALPHABETS]), x["w"]).alias("encoding"), uniform.alias("uniform"), F.coalesce(power, zero).alias("ordinary"))
+
+    def with_moments(s: Column) -> Column:
+        return F.struct(s["squares"].alias("squares"), s["walk"]["turns"].alias("turns"), s["walk"]["product"].alias("product"), *(of(name).alias(name) for name in MOMENTS[0]))
+
+    return _let(F.split(x["body"], ""), lambda symbols: _let(walked(symbols), lambda s: _let(with_moments(s), judged)))
 
 
 def base_spans(text: Column) -> Column:
@@ -140,9 +215,19 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_spans(text, ASSIGN, 0, (2, ASSIGN_LEAST)), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
 
 
+def _touches(s: Column, starts: Column, ends: Column) -> Column:
+    """Whether span ``s`` overlaps one of those that begin at ``starts``, in order; ``ends`` holds the greatest end so far.  By bisection."""
+    steps = F.lit([1 << b for b in reversed(range(31))])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((step <= F.size(starts) - at) & (F.get(starts, at + step - 1) < s["end"]), at + step).otherwise(at))
+    return _let(place, lambda n: (n > 0) & (F.get(ends, n - 1) > s["start"]))
+
+
 def candidate_spans(text: Column, base: Column) -> Column:
-    """Other long strings of encoding characters, with the battery's results.  Strings of digits alone, of one case of letters alone, and those that touch a base span are none."""
-    free = F.filter(_spans(text, CANDIDATE, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    """Other long strings of encoding characters, with the battery's results.  Strings of digits alone, of one case of letters alone, and those that touch a base span are none.  ``base`` is in order of start."""
+    mixed = F.filter(_spans(text, CANDIDATE, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    ends = lambda spans: _scan(spans, F.lit(0), lambda top, b: F.greatest(top, b["end"]), lambda top, b: F.greatest(top, b["end"]), "int")
+    apart = lambda found: _let(F.struct(F.transform(base, lambda b: b["start"]).alias("starts"), ends(base).alias("ends")), lambda x: F.filter(found, lambda s: ~_touches(s, x["starts"], x["ends"])))
+    free = _let(mixed, lambda found: F.when((F.size(found) > 0) & (F.size(base) > 0), apart(found)).otherwise(found))
     return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), _battery(s["value"]).alias("test")))
 
 
@@ -160,7 +245,7 @@ def discovery_limits(candidates: DataFrame, column: str = "candidates") -> list[
     without discoveries gets infinity.
     """
     one = candidates.select(F.explode(column).alias("s"))
-    step = F.least(F.floor(F.col("s.test.words") * STEP), F.lit(STEPS)).cast("int")
+    step = F.least(F.floor(F.col("s.test.ordinary") * STEP), F.lit(STEPS)).cast("int")
     looks = F.col("s.test.uniform") >= UNIFORM_LEAST
     counts = one.groupBy(_band(F.col("s")).alias("band"), F.when(looks, step).otherwise(0).alias("step")).agg(F.count("*").alias("n")).collect()  # a bounded number of steps
     limits = []
@@ -178,7 +263,7 @@ def discovery_limits(candidates: DataFrame, column: str = "candidates") -> list[
 def discoveries(candidates: Column, limits: list[float]) -> Column:
     """Those of ``candidates`` that look random and reach the limit of their band."""
     bound = F.expr(f"array({','.join('double(' + repr(str(x)) + ')' for x in limits)})")
-    kept = F.filter(candidates, lambda s: (s["test"]["uniform"] >= UNIFORM_LEAST) & (s["test"]["words"] >= F.get(bound, _band(s))))
+    kept = F.filter(candidates, lambda s: (s["test"]["uniform"] >= UNIFORM_LEAST) & (s["test"]["ordinary"] >= F.get(bound, _band(s))))
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
 
@@ -215,27 +300,23 @@ REDACTED = "[SECRET]"
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: every span, overlapping ones as one, becomes ``[SECRET]``; n_chars follows.  Texts without secrets, null ones too, stay as they are."""
+    """Pipeline stage: every span, overlapping ones as one, becomes ``[SECRET]``; n_chars follows.  Texts without secrets, null ones too, stay as they are, and so do all other columns, whatever their names."""
     calibrated = staged(tested(docs.select("text")).where(F.size("candidates") > 0).select("candidates"), "candidates")
     limits = discovery_limits(calibrated)
-    base = base_spans(F.coalesce(F.col("text"), F.lit("")))
-    with_base = docs.withColumn("__base", base)
-    spans = F.array_sort(F.concat("__base", discoveries(candidate_spans(F.coalesce(F.col("text"), F.lit("")), F.col("__base")), limits)))
-    spanned = with_base.withColumn("__spans", spans)
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.array_append(acc["out"], F.concat(gap, F.lit(REDACTED)))).otherwise(acc["out"]).alias("out"))
-
-    walked = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    rest = F.substring(text, walked["at"] + 1, F.char_length(text))
-    clean = F.when(F.size("__spans") > 0, F.concat(F.concat_ws("", walked["out"]), rest)).otherwise(text)
-    done = spanned.withColumn("text", clean)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    with_base = docs.select(F.struct(*docs.columns).alias("row"), text.alias("whole"), base_spans(text).alias("base"))
+    found = F.array_sort(F.concat("base", discoveries(candidate_spans(F.col("whole"), F.col("base")), limits)))
+    spanned = with_base.select("row", "whole", found.alias("spans"))
+
+    def clean(chars: Column) -> Column:
+        piece = lambda at, s: F.when(s["start"] >= at, F.concat(F.array_join(F.slice(chars, at + 1, s["start"] - at), ""), F.lit(REDACTED))).otherwise("")
+        rest = lambda at: F.array_join(F.slice(chars, at + 1, F.greatest(F.size(chars) - at, F.lit(0))), "")
+        end = F.aggregate("spans", F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+        return F.concat(F.array_join(_scan(F.col("spans"), F.lit(0), lambda at, s: F.greatest(at, s["end"]), piece, "string"), ""), _let(end, rest))
+
+    has = F.size("spans") > 0
+    done = spanned.select("row", has.alias("has"), F.when(has, _let(F.regexp_extract_all("whole", F.lit("(?s)."), F.lit(0)), clean)).otherwise(F.col("row.text")).alias("cleaned"))
+    out = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("__spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
-
-
-
+        out["n_chars"] = F.when(F.col("has"), F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return done.select(*(out.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
