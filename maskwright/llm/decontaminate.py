@@ -1,12 +1,18 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-Only DataFrame functions are used.  Words are counted over all documents; each
-window of a benchmark item is then looked up from its rarest word.  The index
-stores a posting for every occurrence of such a word: document, position, and
-the words around it, so the lists of the window's other words can be
-intersected, offset by offset and from the next rarest on, where the posting
-lies, without a shuffle of the corpus.  A window all of whose words lie around
-the posting, in any order, is a proximity match.
+Only DataFrame functions are used.  Words are counted over all documents, which
+orders the terms of each window of a benchmark item from the rarest on.  One scan
+of the documents writes the index: posting lists, a term's positions in a
+document, for the terms of the benchmark, wherever the rarest term of a window
+has its second rarest within reach.  A search begins with the postings of each
+window's rarest term, joins the list of the second rarest and then those of the
+others, and intersects the lists less each term's offset in the window: what is
+left are the places of the phrase.  A window all of whose terms have a position
+within reach of the rarest one's is a proximity match.
+
+The scan asks two bit tables which words may begin a list; the tables grow with
+the benchmark, up to 16 MB, and only sieve.  Documents are
+known by id and text, so equal rows share their postings.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import small, staged
+from maskwright.llm.common import keyed_join, small, staged
 
 #: Characters that part words, once A-Z are lower-cased.
 PARTING = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,99 +50,128 @@ def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
 
 @dataclass
 class Index:
-    """``documents``: key, doc_id, n_words, one row a document; ``postings``: the rows of the index; ``anchored``: the windows with their terms in order of rarity."""
+    """``documents``: doc_id, id_key, text_key, n_words, a row for each row of documents; ``postings``: id_key, text_key, term, positions; ``windows``: window_id, items, length, and ``terms``, structs (n, at, term) in order of rarity."""
 
     documents: DataFrame
     postings: DataFrame
-    anchored: DataFrame
+    windows: DataFrame
+    width: int
 
 
-def _bit(table: Column, size: int, h: Column) -> Column:
-    """Whether the bit that hash ``h`` has in ``table``, an array of longs with ``size`` bits, is set."""
-    slot = F.pmod(h, F.lit(size))
-    word = F.element_at(table, (F.shiftright(slot, 5) + 1).cast("int"))
-    return F.call_function("shiftright", word, F.pmod(slot, F.lit(32)).cast("int")).bitwiseAND(F.lit(1)) == 1
+#: Bits of a sieve for each of its entries, and bits at least and at most; 64 to a long, so 16 MB at most.
+BITS_EACH, BITS_LEAST, BITS_MOST = 32, 1 << 16, 1 << 27
+DOCUMENT = ["id_key", "text_key"]
 
 
-def _sieve(terms: DataFrame, n: int) -> tuple[Column, int]:
-    """A bit table of ``terms(term)`` as a constant array: 32 bits a term between 2^16 and 2^21 bits, 32 to an entry.  It only sieves; matches are held against the words."""
-    size = 1 << min(21, max(16, (32 * n - 1).bit_length()))
-    slots = terms.select(F.pmod(F.xxhash64("term"), F.lit(size)).alias("s")).distinct()
-    rows = slots.groupBy(F.shiftright("s", 5).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("s", F.lit(32)).cast("int"))).alias("v")).collect()
-    table = [0] * (size // 32)  # at most 2^16 entries, however many terms
+def _sieve(entries: DataFrame) -> tuple[Column, int]:
+    """A bit table of the hashes ``entries(h)`` as a constant array of longs, and its size in bits.  It only sieves; matches are held against the words."""
+    size = 1 << (BITS_EACH * max(1, entries.count()) - 1).bit_length()
+    size = min(max(size, BITS_LEAST), BITS_MOST)
+    slot = F.pmod("h", F.lit(size))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int"))
+    rows = entries.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.bit_or(bit).alias("v")).collect()
+    table = [0] * (size // 64)  # BITS_MOST / 64 longs at most, however many entries
     for r in rows:
         table[r["i"]] = r["v"]
     return F.expr(f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)"), size
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> Index:
-    """Count the windows' words over all of ``docs(doc_id, text)`` and store the postings of each window's rarest word.
+def _bit(sieve: tuple[Column, int], h: Column) -> Column:
+    """Whether the bit of hash ``h`` is set."""
+    slot = F.pmod(h, F.lit(sieve[1]))
+    word = F.get(sieve[0], F.shiftright(slot, 6).cast("int"))
+    return F.call_function("shiftright", word, F.pmod(slot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    Rows may repeat a doc_id or lack one: a document is a pair of doc_id and
-    text, and equal pairs share their postings.
-    """
+
+def _document(docs: DataFrame) -> list[Column]:
+    """doc_id and what a document is known by: its id as text, told apart from none, and a hash of its text."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    return [F.col("doc_id"), key.alias("id_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")]
+
+
+def ordered_windows(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """The windows of ``benchmark`` with their terms in order of rarity: how often each stands in all of ``docs``, and its place."""
     wins = staged(windows(benchmark, width), "windows")
     terms = staged(wins.select(F.explode("words").alias("term")).distinct(), "terms")
-    n_terms, n_wins = terms.count(), wins.count()
     tokens = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    counted = tokens.join(small(terms, n_terms, 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counted = tokens.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     freq = staged(terms.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")), "frequencies")
+    placed = wins.withColumn("window_id", F.monotonically_increasing_id())
+    placed = staged(placed, "numbered")
+    each = keyed_join(placed.select("window_id", F.posexplode("words").alias("at", "term")), freq, "term")
+    order = each.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("terms"))
+    return staged(order.join(placed, "window_id").select("window_id", "items", F.size("words").alias("length"), "terms"), "ordered")
+
 
-    placed = wins.select("words", F.posexplode("words").alias("at", "term")).join(small(freq, n_terms, 80), "term")
-    order = placed.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("order"))
-    anchored = staged(order.join(wins, "words").select("words", "items", F.col("order")[0]["term"].alias("term"), F.col("order")[0]["at"].alias("at"), F.coalesce(F.try_element_at("order", F.lit(2)), F.col("order")[0]).alias("next")).withColumn("window_id", F.monotonically_increasing_id()), "anchored")
-    anchors = staged(anchored.select("term").distinct(), "anchors")
-    n_anchors = anchors.count()
-    sieve, size = _sieve(anchors, n_anchors)
+def build_index(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> Index:
+    """Count the windows' words over all of ``docs(doc_id, text)`` and store the posting lists that the windows may need."""
+    wins = ordered_windows(docs, benchmark, width)
+    rarest, second = F.col("terms")[0]["term"], F.coalesce(F.try_element_at("terms", F.lit(2)), F.col("terms")[0])["term"]
+    pairs = _sieve(staged(wins.select(F.xxhash64(rarest, second).alias("h")).distinct(), "pairs"))
+    anchors = _sieve(staged(wins.select(F.xxhash64(rarest).alias("h")).distinct(), "anchors"))
+    vocabulary = _sieve(staged(wins.select(F.explode("terms.term").alias("t")).select(F.xxhash64("t").alias("h")).distinct(), "vocabulary"))
 
     n = F.size("w")
-    around = F.transform(
-        F.filter(F.sequence(F.lit(0), n - 1), lambda i: _bit(sieve, size, F.xxhash64(F.element_at("w", i + 1)))),
-        lambda i: F.struct(F.element_at("w", i + 1).alias("term"), i.alias("pos"), F.greatest(i - width + 1, F.lit(0)).alias("from"), F.slice("w", F.greatest(i - width + 2, F.lit(1)), 2 * width - 1).alias("near")),
-    )
-    sieved = F.when(n > 0, around).otherwise(F.array().cast("array<struct<term:string,pos:int,from:int,near:array<string>>>"))
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
-    rows = texts.select("doc_id", "text_key", n.alias("n_words"), F.posexplode_outer(sieved).alias("k", "p"))
-    stored = staged(rows.select("doc_id", "text_key", "n_words", "k", "p.*"), "index")
-    documents = stored.where("k is null or k = 0").select("doc_id", "text_key", "n_words")
-    postings = stored.where("k is not null").select("doc_id", "text_key", "n_words", "term", "pos", "from", "near")
-    return Index(documents, postings, anchored)
+    word = lambda i: F.element_at("w", i + 1)
+    reach = lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i + width - 1, n - 1))
+    places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: _bit(anchors, F.xxhash64(word(i))))
+    likely = F.filter(places, lambda i: F.exists(reach(i), lambda o: _bit(pairs, F.xxhash64(word(i), word(o)))))
+    around = F.array_distinct(F.flatten(F.transform(likely, reach)))
+    posted = F.filter(F.transform(around, lambda i: F.struct(word(i).alias("term"), i.alias("pos"))), lambda p: _bit(vocabulary, F.xxhash64(p["term"])))
+    posted = F.when(n > 0, posted).otherwise(F.array().cast("array<struct<term:string,pos:int>>"))
+    texts = docs.select(*_document(docs), words(F.col("text")).alias("w"))
+    stored = staged(texts.select("doc_id", *DOCUMENT, n.alias("n_words"), posted.alias("posted")), "index")
+    lists = stored.select(*DOCUMENT, F.explode("posted").alias("p")).groupBy(*DOCUMENT, F.col("p.term").alias("term")).agg(F.array_sort(F.collect_set("p.pos")).alias("positions"))
+    return Index(stored.select("doc_id", *DOCUMENT, "n_words"), staged(lists, "postings"), wins, width)
 
 
 def search(index: Index) -> DataFrame:
-    """Matches ``(doc_id, text_key, window_id, items, start, length, exact)``: every exact occurrence, and proximity matches (exact false) whose words all lie around a posting."""
-    n = index.anchored.count()
-    met = index.postings.join(small(index.anchored, n, 1024), "term")
-    length, start = F.size("words"), F.col("pos") - F.col("at")
-    local = start - F.col("from")
-    inside = (start >= 0) & (start + length <= F.col("n_words"))
-    # the rarest remaining word first, then the whole window
-    second = F.get("near", local + F.col("next.at")) == F.col("next.term")
-    exact = inside & F.coalesce(second, F.lit(False)) & (F.slice("near", F.greatest(local, F.lit(0)) + 1, length) == F.col("words"))
-    found = met.select("doc_id", "text_key", "window_id", "items", start.alias("start"), length.alias("length"), F.coalesce(exact, F.lit(False)).alias("exact"), F.array_contains("near", F.col("next.term")).alias("close"), "near", "words")
-    return found.where(F.col("exact") | (F.col("close") & (F.size(F.array_except("words", "near")) == 0))).drop("close", "near", "words")
+    """Matches ``(id_key, text_key, window_id, starts, near)``: the places of the whole phrase in a document, if any, and whether all terms lie within reach of the rarest."""
+    by_first = index.windows.groupBy(F.col("terms")[0]["term"].alias("term")).agg(F.collect_list(F.struct("window_id", F.col("terms")[0]["at"].alias("at"))).alias("windows"))
+    first = keyed_join(index.postings, staged(by_first, "first"), "term").select(*DOCUMENT, F.col("positions").alias("own"), F.explode("windows").alias("x"))
+    rest = staged(index.windows.select("window_id", F.slice("terms", 2, index.width).alias("others")), "rest")
+    begun = keyed_join(first.select(*DOCUMENT, "own", "x.*"), rest, "window_id")
+    within = lambda p, places: F.exists(places, lambda q: F.abs(q - p) < index.width)
+
+    # the second rarest term: only rows with that within reach go on
+    alone = begun.where(F.size("others") == 0).select(*DOCUMENT, "window_id", "at", "own", "others", F.array().cast("array<struct<at:int,positions:array<int>>>").alias("lists"))
+    some = begun.where(F.size("others") > 0).withColumn("term", F.col("others")[0]["term"])
+    met = some.join(index.postings, [*DOCUMENT, "term"]).withColumn("own", F.filter("own", lambda p: within(p, F.col("positions")))).where(F.size("own") > 0)
+    two = staged(met.select(*DOCUMENT, "window_id", "at", "own", "others", F.array(F.struct(F.col("others")[0]["at"].alias("at"), "positions")).alias("lists")), "two")
+
+    # the lists of all other terms
+    more = two.where(F.size("others") > 1).select(*DOCUMENT, "window_id", F.explode(F.slice("others", 2, index.width)).alias("o")).select(*DOCUMENT, "window_id", F.col("o.at").alias("o_at"), F.col("o.term").alias("term"))
+    found = more.join(index.postings, [*DOCUMENT, "term"]).groupBy(*DOCUMENT, "window_id").agg(F.collect_list(F.struct(F.col("o_at").alias("at"), "positions")).alias("more"))
+    longer = two.where(F.size("others") > 1).join(found, [*DOCUMENT, "window_id"]).where(F.size("more") == F.size("others") - 1)
+    whole = longer.select(*DOCUMENT, "window_id", "at", "own", F.concat("lists", "more").alias("lists"))
+    whole = whole.unionByName(two.where(F.size("others") == 1).drop("others")).unionByName(alone.drop("others"))
+
+    begin = F.transform("own", lambda p: p - F.col("at"))
+    starts = F.aggregate("lists", begin, lambda acc, x: F.array_intersect(acc, F.transform(x["positions"], lambda q: q - x["at"])))
+    near = F.exists("own", lambda p: F.forall("lists", lambda x: within(p, x["positions"])))
+    return whole.select(*DOCUMENT, "window_id", starts.alias("starts"), near.alias("near")).where("near")  # a phrase lies within reach too
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """One row per document of ``docs(doc_id, text)``: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
+    """One row per document of ``docs(doc_id, text)``: doc_id, id_key, text_key, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
 
-    n_hit counts the words inside any exact occurrence of a window.  Null and
-    empty texts have no words and are clean; an empty benchmark leaves all clean.
+    n_hit counts the words inside any exact occurrence of a window, n_items the
+    items with one, n_near_items those with a proximity match, exact ones among
+    them.  Null and empty texts have no words and are clean; an empty benchmark
+    leaves all clean; repeated rows and ids have a row each.
     """
     index = build_index(docs, benchmark, width)
     found = staged(search(index), "matches")
-    key = ["doc_id", "text_key"]
-    hit = found.where("exact").select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
-    item = found.select(*key, F.explode("items").alias("item"), "exact").groupBy(*key, "item").agg(F.max("exact").alias("exact"))
-    items = item.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("ids"), F.count("*").alias("n_near_items"))
-    out = index.documents
-    for side in (hit, items):
-        side = side.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-        out = out.join(side, out["doc_id"].eqNullSafe(side["_id"]) & (out["text_key"] == side["_key"]), "left").drop("_id", "_key")
+    named = keyed_join(found, index.windows.select("window_id", "items", "length"), "window_id")
+    hit = named.select(*DOCUMENT, "length", F.explode("starts").alias("s")).select(*DOCUMENT, F.explode(F.sequence(F.col("s"), F.col("s") + F.col("length") - 1)).alias("p")).distinct().groupBy(*DOCUMENT).agg(F.count("*").alias("n_hit"))
+    item = named.select(*DOCUMENT, F.explode("items").alias("item"), (F.size("starts") > 0).alias("exact")).groupBy(*DOCUMENT, "item").agg(F.max("exact").alias("exact"))
+    items = item.groupBy(*DOCUMENT).agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("ids"), F.count("*").alias("n_near_items"))
+    facts = staged(items.join(hit, DOCUMENT, "left"), "facts")
+    out = keyed_join(index.documents, facts, DOCUMENT, "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
-        "text_key",
+        *DOCUMENT,
         F.col("n_words").cast("bigint").alias("n_words"),
         n_hit.cast("bigint").alias("n_hit"),
         F.size(ids).cast("bigint").alias("n_items"),
@@ -150,15 +185,14 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Contamination of every document by every benchmark item, windows of ten words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, benchmark).drop("text_key", "n_near_items")
+    return contamination(docs, benchmark).drop(*DOCUMENT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pipeline stage: documents with a hit go; the rest stays, columns as they are."""
-    bad = staged(contamination(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), "text_key").distinct(), "bad")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    n = bad.count()
-    return keyed.join(small(bad, n, 32), keyed["doc_id"].eqNullSafe(bad["bad_id"]) & (keyed["_text_key"] == bad["text_key"]), "left_anti").select(*docs.columns)
+    """Pipeline stage: documents with a hit go; the rest stays, columns as they are, whatever their names."""
+    bad = staged(contamination(docs.select("doc_id", "text"), benchmark).where("contaminated").select(*DOCUMENT).distinct().withColumn("bad", F.lit(True)), "bad")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *_document(docs)[1:])
+    return keyed_join(keyed, bad, DOCUMENT, "left").where("bad is null").select("row.*")
 
 
 OP3_SQL = r"""
@@ -173,8 +207,13 @@ WITH d AS (
   SELECT doc_id, n, s, w[s + 1 : s + n] AS g FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS s FROM d, lens WHERE len(w) >= n)
 ), hits AS (SELECT p.doc_id, p.s, p.n, item_id FROM places p JOIN win USING (g)
 ), pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS q FROM hits) GROUP BY doc_id
-), it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+), it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id
+), tokens AS (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), freq AS (SELECT word, count(*) AS n FROM tokens GROUP BY word
+), rare AS (SELECT g, arg_min(t, (coalesce(n, 0), i)) AS anchor FROM (SELECT g, unnest(g) AS t, generate_subscripts(g, 1) AS i FROM (SELECT DISTINCT g FROM win)) LEFT JOIN freq ON word = t GROUP BY g
+), close AS (SELECT DISTINCT doc_id, g FROM tokens JOIN rare ON word = anchor WHERE list_has_all(w[greatest(p - 9, 1) : p + 9], g)
+), nears AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM close JOIN win USING (g) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nears USING (doc_id)
 """

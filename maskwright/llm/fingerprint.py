@@ -238,7 +238,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     across = staged(next_ids(ids).where(F.floor(F.col("next_id") / IDS) != F.floor(F.col("doc_id") / IDS)).select(F.col("next_id").alias("doc_id"), block.alias("block")), "across")
     if across.isEmpty():  # one block: its last row is followed by its own first one
         across = ids.groupBy().agg(F.min("doc_id").alias("doc_id"), F.min(block).alias("block")).where("doc_id is not null")
-    guests = docs.join(small(across, across.count(), 32), "doc_id").select("block", "doc_id", "text", F.lit(True).alias("guest"))
+    guests = docs.join(small(across), "doc_id").select("block", "doc_id", "text", F.lit(True).alias("guest"))
     rows = docs.where("doc_id is not null").select(block.alias("block"), "doc_id", "text", F.lit(False).alias("guest")).unionByName(guests)
     keyed = rows.withColumn("fp", digest(canonical(F.col("text"))))
     w = Window.partitionBy("block").orderBy("guest", "doc_id", F.xxhash64("text"))
@@ -260,7 +260,7 @@ def collided(docs: DataFrame, fps: DataFrame) -> DataFrame:
     """
     shared = staged(fps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared")
     both = docs.select(_let(canonical(F.col("text")), lambda c: F.struct(c.alias("c"), digest(c).alias("fp"))).alias("x")).select("x.*")
-    members = both.join(small(shared, shared.count(), 80), "fp", "left_semi")
+    members = both.join(small(shared), "fp", "left_semi")
     return members.groupBy("fp").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("fp")
 
 

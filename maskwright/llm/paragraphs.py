@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import components, small, staged
+from maskwright.llm.common import components, keyed_join, staged
 
 MIN_WORDS, WIDTH, SIMILARITY = 20, 5, 0.8
 #: Passages of so many words that repeat are found for certain, by shingles of SHINGLE words.
@@ -196,7 +196,7 @@ def _jaccard(a: frozenset, b: frozenset) -> float:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with ``distance``, one less the exact similarity; ``texts(id, paragraph)``."""
-    both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
+    both = keyed_join(keyed_join(pairs, texts.toDF("a", "left"), "a"), texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sets = None, frozenset()
@@ -280,7 +280,7 @@ def hopeful(crowded: DataFrame, similarity: float) -> DataFrame:
     kinds = crowded.groupBy("key", "size", "own").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(F.struct("size", "own", "n")).alias("kinds"))
     own = {"size": F.col("size"), "own": F.col("own")}
     another = lambda k: (k["size"] != own["size"]) | (k["own"] != own["own"]) | (k["n"] > 1)
-    return crowded.join(kinds, "key").where(F.exists("kinds", lambda k: another(k) & _may(own, k, similarity))).drop("kinds")
+    return keyed_join(crowded, staged(kinds, "kinds"), "key").where(F.exists("kinds", lambda k: another(k) & _may(own, k, similarity))).drop("kinds")
 
 
 def in_crowds(crowded: DataFrame, texts: DataFrame, similarity: float) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -289,13 +289,14 @@ def in_crowds(crowded: DataFrame, texts: DataFrame, similarity: float) -> tuple[
     while not crowded.isEmpty():
         hope = staged(hopeful(crowded, similarity), "hopeful")
         pivots = hope.groupBy("key").agg(F.min(F.struct("own", "id")).alias("p")).select("key", F.col("p.id").alias("pivot"))
-        rest = staged(hope.join(pivots, "key").where("id <> pivot"), "rest")
-        checked = staged(verified(rest.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), texts), "verified")
+        rest = staged(keyed_join(hope, staged(pivots, "pivots"), "key").where("id <> pivot"), "rest")
+        met = staged(rest.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "met")
+        checked = staged(verified(met, texts), "verified")
         links.append(checked.where(F.col("distance") <= far + 1e-12).select("a", "b"))
         rated = rest.join(checked.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"]).withColumn("out", F.col("distance") > far + 1e-12)
         rated = staged(rated.select("key", "id", "rare", "size", "own", "distance", "out"), "rated")
         sizes = rated.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("out"), 1)).alias("left"), F.min(F.when(F.col("out"), F.col("distance"))).alias("least")).where("left > 0")
-        judged = staged(rated.join(sizes, "key"), "judged")
+        judged = staged(keyed_join(rated, staged(sizes, "left"), "key"), "judged")
 
         few = judged.where(F.col("left") * F.col("n") <= FINISHED)
         a, b = few.where("out").alias("a"), few.alias("b")
@@ -322,7 +323,7 @@ def similar(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
     def split(grouped: DataFrame, name: str) -> DataFrame:
         """Small groups are paired out; the rows of the large ones are returned."""
         sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        sized = staged(grouped.join(sizes, "key"), name)
+        sized = staged(keyed_join(grouped, staged(sizes, "sizes"), "key"), name)
         few = sized.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
         pairs.append(few.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("i") + 2, PAIRED)).alias("b")))
         return sized.where(F.col("n") > PAIRED).drop("n")
@@ -332,7 +333,7 @@ def similar(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
         rare = by_rarest(texts.join(crowded.select("id").distinct(), "id", "left_semi"), similarity)
         more_links, more_pairs = in_crowds(split(rare, "rare"), texts, similarity)
         links, pairs = links + more_links, pairs + more_pairs
-    once = reduce(DataFrame.unionByName, pairs).distinct()
+    once = staged(reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
     links.append(staged(verified(once, texts), "verified").where(F.col("distance") <= far + 1e-12).select("a", "b"))
     return reduce(DataFrame.unionByName, links).distinct()
 
@@ -345,7 +346,7 @@ def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     values = classes.select("id", F.explode("bands").alias("key"))
     crowded = values.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = staged(values.join(crowded, "key"), "candidates")
+    members = staged(keyed_join(values, staged(crowded, "crowded"), "key"), "candidates")
     wanted = members.select("id").distinct().join(classes.select("id", "doc_id", "line"), "id")
     by_doc = wanted.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))  # paragraphs of one document
     cut = docs.select("doc_id", "text").join(by_doc, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
@@ -353,7 +354,7 @@ def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
     roots = components(similar(members, texts)).withColumnsRenamed({"node": "id"})
     rooted = staged(classes.join(roots, "id", "left").select("h", "n", "doc_id", "line", F.coalesce("root", "id").alias("root")), "rooted")
     whole = rooted.groupBy("root").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "line")).alias("keep")).where("n > 1")
-    return rooted.join(whole.select("root", "keep"), "root").select("h", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
+    return keyed_join(rooted, staged(whole.select("root", "keep"), "whole"), "root").select("h", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -369,13 +370,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = staged(described(docs.where("doc_id is not null")), "described")
     found = staged(clusters(docs, rows), "clusters")
     each = rows.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", F.col("p.line").alias("line"), F.col("p.h").alias("h"))
-    met = each.join(found, "h")
+    met = keyed_join(each, found, "h")
     gone = (F.col("doc_id") != F.col("keep_doc")) | (F.col("line") != F.col("keep_line"))
     in_paragraphs = met.groupBy("doc_id").agg(F.count("*").alias("n_repeated"), F.array_sort(F.collect_set(F.when(gone, F.col("line")))).alias("removed"), F.array_sort(F.collect_set("keep_doc")).alias("paragraph_docs"))
 
     prints = rows.select("doc_id", F.explode("prints").alias("print"))
     shared = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") != F.col("last")).select("print", "first")
-    in_passages = prints.join(shared, "print").groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.array_sort(F.collect_set("first")).alias("passage_docs"))
+    in_passages = keyed_join(prints, staged(shared, "shared"), "print").groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.array_sort(F.collect_set("first")).alias("passage_docs"))
     both = in_paragraphs.join(in_passages, "doc_id", "full_outer")
     sizes = rows.groupBy("doc_id").agg(F.max(F.size("paragraphs")).cast("bigint").alias("n_paragraphs"))
     none, no_lines, no_docs = F.lit(0).cast("bigint"), F.array().cast("array<int>"), F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")
@@ -391,12 +392,12 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the removals of :func:`repeated` cut from their texts; documents without any stay as they are."""
-    cuts = repeated(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), "removed")
-    joined = docs.join(small(cuts, cuts.count(), 64), docs["doc_id"] == F.col("_id"), "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("removed", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("removed").isNotNull(), left).otherwise(F.col("text"))).select(*docs.columns)
+    """``docs`` with the removals of :func:`repeated` cut from their texts; documents without any stay as they are, and so do all other columns, whatever their names."""
+    cuts = staged(repeated(docs.select("doc_id", "text")).where(F.size("removed") > 0).select("doc_id", "removed"), "cuts")
+    joined = keyed_join(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), cuts, "doc_id", "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNotNull(), left).otherwise(F.col("text"))
+    return joined.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op7_paragraphs(spark, sf_dir: str) -> DataFrame:

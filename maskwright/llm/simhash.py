@@ -11,9 +11,11 @@ within its threshold, and candidates are verified on all 64 bits.
 
 A value that very many fingerprints share would bring the square of its group.
 The members of such groups are linked in another exact way: two fingerprints
-are within two bits if and only if some 64-bit value is within one bit of both,
-so each member is dealt to its 65 such values, at most 65 fingerprints meet at
-any of them, and all that meet are linked.  Nothing is capped or dropped.
+are within k bits if and only if some 64-bit value, a midpoint, is within k / 2
+bits of one, rounded down, and k / 2 of the other, rounded up.  So each member is
+dealt to all values that near, 65 for two bits, as many fingerprints meet at any
+of them at most, and all that meet one of the closer ones are linked to it.
+Nothing is capped or dropped, whatever the threshold; its cost grows with it.
 
 All that is op8's.  The pipeline's stage, :func:`keep_one`, owes an exact Jaccard
 similarity, and takes its candidates and links from :mod:`paragraphs`.
@@ -32,12 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import components, staged
+from maskwright.llm.common import components, keyed_join, staged
 from maskwright.llm.paragraphs import MIX, SIMILARITY, WIDTH, _mixed, shingles, similar, tune
 
 BITS = 64
 SEED = 42
-#: Fingerprints in a partition's value beyond which its members go to midpoints.
+#: Fingerprints in a partition's value beyond which its members go to midpoints, for two bits.
 GROUP = 48
 #: Shingles hashed at once, which bounds memory on very long texts.
 SLAB = 1 << 16
@@ -166,6 +168,11 @@ def _masks(group: tuple[int, ...], threshold: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(threshold + 1) for c in combinations(group, k)], np.uint64)
 
 
+def crowd(max_bits: int) -> int:
+    """Members of a group from which midpoints cost less than its pairs: GROUP, as many times over as a fingerprint has more midpoints than for two bits."""
+    return max(2, GROUP * variants(BITS, max_bits - max_bits // 2) // variants(BITS, 1))
+
+
 # --- links ----------------------------------------------------------------------
 
 
@@ -173,11 +180,11 @@ def links(prints: DataFrame, chosen: list[tuple[list[int], int]], max_bits: int
     """Links ``(a, b)`` between the distinct fingerprints ``prints(fp)``.
 
     In groups of ordinary size every pair within ``max_bits`` bits appears.  The
-    members of larger groups are each linked to the least of those at the same
-    midpoint, which joins the same components.
+    members of larger groups are each linked to the least of the closer ones at
+    the same midpoint, which joins the same components.
     """
-    if max_bits != 2:
-        raise ValueError("midpoints within one bit of both ends hold for two bits")
+    close, far_off = max_bits // 2, max_bits - max_bits // 2
+    most = crowd(max_bits)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -191,7 +198,7 @@ def links(prints: DataFrame, chosen: list[tuple[list[int], int]], max_bits: int
 
     probes = staged(prints.select("fp").mapInPandas(probe, "part int, key bigint, fp bigint, own boolean"), "probes")
     sizes = probes.groupBy("part", "key").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("part", "key", "n")
-    met = staged(probes.join(sizes, ["part", "key"]), "met")
+    met = staged(keyed_join(probes, staged(sizes, "sizes"), ["part", "key"]), "met")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -203,18 +210,20 @@ def links(prints: DataFrame, chosen: list[tuple[list[int], int]], max_bits: int
                 b.append(fps[j])
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    groups = met.where(F.col("n") <= GROUP).groupBy("part", "key").agg(F.collect_list(F.struct("fp", "own")).alias("m"))
+    groups = met.where(F.col("n") <= most).groupBy("part", "key").agg(F.collect_list(F.struct("fp", "own")).alias("m"))
     near = groups.select(F.col("m.fp").alias("fps"), F.col("m.own").alias("owns")).mapInPandas(verify, "a bigint, b bigint")
 
     def midpoints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(BITS, dtype=np.uint64)])
+        flips = _masks(tuple(range(BITS)), far_off)
+        near_by = np.arange(len(flips)) < variants(BITS, close)  # those of fewer bits come first
+        step = max(1, (1 << 18) // len(flips))
         for pdf in batches:
-            for at in range(0, len(pdf), 4096):
-                fps = pdf["fp"].to_numpy(np.int64)[at : at + 4096]
-                yield pd.DataFrame({"mid": (fps.view(np.uint64)[:, None] ^ flips[None, :]).ravel().view(np.int64), "fp": np.repeat(fps, BITS + 1)})
+            for at in range(0, len(pdf), step):
+                fps = pdf["fp"].to_numpy(np.int64)[at : at + step]
+                yield pd.DataFrame({"mid": (fps.view(np.uint64)[:, None] ^ flips[None, :]).ravel().view(np.int64), "fp": np.repeat(fps, len(flips)), "close": np.tile(near_by, len(fps))})
 
-    mids = met.where(F.col("n") > GROUP).select("fp").distinct().mapInPandas(midpoints, "mid bigint, fp bigint")
-    meet = mids.groupBy("mid").agg(F.collect_set("fp").alias("fps"), F.min("fp").alias("a")).where(F.size("fps") > 1)  # 65 at most
+    mids = met.where(F.col("n") > most).select("fp").distinct().mapInPandas(midpoints, "mid bigint, fp bigint, close boolean")
+    meet = mids.groupBy("mid").agg(F.collect_set("fp").alias("fps"), F.min(F.when(F.col("close"), F.col("fp"))).alias("a")).where((F.size("fps") > 1) & F.col("a").isNotNull())  # one fingerprint a change of bits at most
     far = meet.select("a", F.explode("fps").alias("b")).where("a <> b").distinct()
     return near.unionByName(far)
 
@@ -236,15 +245,15 @@ def near_duplicates(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     found = links(classes, plan(n, both, max_bits), max_bits)
     roots = components(found).withColumnsRenamed({"node": "fp"})
     rooted = staged(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    least = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    return keyed_join(rooted, least, "root").select("fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component (``doc_id``, ``fingerprint`` as 16 hexadecimal digits, ``component_id``)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     prints = staged(docs.select("doc_id", fingerprints(docs).alias("fp")), "prints")
-    return prints.join(near_duplicates(prints), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return keyed_join(prints, staged(near_duplicates(prints), "grouped"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # --- the pipeline's stage -----------------------------------------------------------
@@ -295,9 +304,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     classes = staged(_signed(docs).groupBy("h").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("first.*").withColumn("id", F.monotonically_increasing_id()), "classes")
     values = classes.select("id", F.explode("bands").alias("key"))
     met = values.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = staged(values.join(met, "key"), "candidates")
-    wanted = members.select("id").distinct().join(classes.select("id", "doc_id"), "id")
-    texts = staged(docs.join(wanted, "doc_id").select("id", F.col("text").alias("paragraph")), "texts")
+    members = staged(keyed_join(values, staged(met, "met"), "key"), "candidates")
+    wanted = staged(members.select("id").distinct().join(classes.select("id", "doc_id"), "id"), "wanted")
+    texts = staged(keyed_join(docs, wanted, "doc_id").select("id", F.col("text").alias("paragraph")), "texts")
     roots = components(similar(members, texts)).withColumnsRenamed({"node": "id"})
     rooted = classes.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
     return rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
@@ -309,6 +318,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A repeated doc_id stays once.  Documents without an id cannot be told apart
     and stay as they are.
     """
-    one = staged(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), "once")
-    stay = near_copies(one.select("doc_id", "text"))
-    return one.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    repeated = staged(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("again")), "repeated")
+    one = docs.where("doc_id is not null")
+    if not repeated.isEmpty():
+        marked = keyed_join(one.select(F.struct(*docs.columns).alias("row"), "doc_id"), repeated, "doc_id", "left")
+        some = marked.where("again").select("row.*").dropDuplicates(["doc_id"])
+        one = staged(marked.where("again is null").select("row.*").unionByName(some), "once")
+    stay = staged(near_copies(one.select("doc_id", "text")).withColumn("stays", F.lit(True)), "stay")
+    kept = keyed_join(one.select(F.struct(*docs.columns).alias("row"), "doc_id"), stay, "doc_id", "left").where("stays").select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))

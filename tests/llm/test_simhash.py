@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from maskwright.llm import common
 from maskwright.llm import simhash as S
 from maskwright.llm.common import components, staged
 
@@ -101,6 +102,46 @@ def test_components_of_a_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("max_bits", [0, 1, 3, 4])
+@pytest.mark.parametrize("crowd", [None, 2])
+def test_other_thresholds_against_brute_force(spark, monkeypatch, max_bits, crowd):
+    """Any threshold, in small groups and by midpoints."""
+    if crowd:
+        monkeypatch.setattr(S, "crowd", lambda max_bits: crowd)
+    rng = random.Random(max_bits)
+    fps, f = [], 0
+    for _ in range(40):
+        f ^= sum(1 << b for b in rng.sample(range(40), rng.choice([0, 1, max_bits, max_bits + 1, 12])))
+        fps.append(f)
+    df = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "doc_id bigint, fp bigint")
+    got = {r["doc_id"]: r["component_id"] for r in df.join(S.near_duplicates(df, max_bits), "fp").collect()}
+    assert got == brute(list(range(len(fps))), fps, max_bits)
+
+
+def test_components_of_a_star_over_many_partitions(spark, monkeypatch):
+    """A hub of 100,000 edges, and nothing that may be broadcast but the rows of hot keys."""
+    n = 100_000
+    star = spark.range(1, n + 1, numPartitions=8).selectExpr("id as a", "0L as b").unionByName(spark.createDataFrame([(n + 5, n + 6)], "a bigint, b bigint"))
+    monkeypatch.setattr(common, "BROADCAST_LIMIT", 0)
+    roots = components(star)
+    assert roots.count() == n + 3 and roots.where(f"root <> 0 and node <= {n}").isEmpty() and roots.where(f"node > {n} and root <> {n + 5}").isEmpty()
+
+
+@pytest.mark.parametrize("hot_limit", [8 << 20, 0])
+def test_keyed_join_on_every_path(spark, monkeypatch, hot_limit):
+    left = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(120)] + [(None, -1)], "k int, v int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in (0, 1, 95, 96, 500)], "k int, w string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+        assert sorted(map(tuple, common.keyed_join(left, right, "k", how).collect()), key=str) == want
+        monkeypatch.setattr(common, "BROADCAST_LIMIT", 0)
+        monkeypatch.setattr(common, "HOT_LIMIT", hot_limit)
+        for rows in (10, 10_000):
+            monkeypatch.setattr(common, "HOT_ROWS", rows)
+            assert sorted(map(tuple, common.keyed_join(left, right, "k", how).collect()), key=str) == want
+        monkeypatch.undo()
+
+
 def test_stage_keeps_one_of_each_group(spark, make_docs):
     text = " ".join(f"w{i}" for i in range(300))
     docs = make_docs([(5, text), (3, text), (9, text + " more"), (4, "something else altogether here"), (None, text), (3, text)])
