@@ -1,14 +1,17 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (words) and patterns (beginnings of words), mined
-from labelled documents.  A voter fires on a document or abstains.  Over all
-documents open to training their joint firings are counted, pair by pair, and a
-generative label model estimates each voter's accuracy, how often it fires on
-toxic and on clean documents, and which voters are correlated beyond that; a
-correlated group counts as its share of independent votes.  The model's
-posterior, in which a document's own label is one more vote, is the training
-label of a linear classifier over words and beginnings of words, which scores
-every text.
+from labelled documents: those that speak for toxic ones, those that speak for
+clean ones, and one more that votes clean where none of the former fires.  A
+voter fires on a document or abstains.  Over all documents open to training their
+joint firings are counted, pair by pair, and a generative label model estimates
+each voter's accuracy, how often it fires on toxic and on clean documents, and
+which voters are correlated beyond that; a correlated group counts as its share
+of independent votes.  Labels serve to find voters and to estimate their
+accuracies, no more: the model's posterior, from the votes alone, is the training
+label of every document that the linear classifier is fitted on, most of them
+without a label of their own.  The classifier, over words and beginnings of
+words, scores every text.
 """
 
 from __future__ import annotations
@@ -28,16 +31,16 @@ from maskwright.llm.common import staged
 WORD = re.compile(r"[^\W_]+")
 #: Beginnings of words that count as features, in characters.
 BEGINNINGS = (3, 4, 5, 6)
-#: Labelled documents that the voters and the classifier are fitted on, at most: those of the least hashes of ids.
-SAMPLE = 16_000
+#: Labelled documents that the voters are found on, at most, and documents without a label that the classifier is fitted on beside them: those of the least hashes of ids.
+SAMPLE, UNLABELLED = 16_000, 16_000
 #: Terms that the classifier weighs, at most: those that depend most on the label by chi-squared.  From each of LEAST documents on.
 FEATURES, LEAST = 2_000, 3
 #: Voters, at most.  Each fires on so many toxic documents of the sample at least, and its share of toxic ones is this high.
 VOTERS, SUPPORT, PRECISION = 64, 4, 0.75
 #: So many voters are sought for each toxic document of the sample.
 COVER = 3
-#: How far a document's own label is trusted.
-LABEL_ACCURACY = 0.97
+#: Voters for clean documents, at most.  Each fires where so many toxic documents would be by chance, and on a tenth of them at most.
+CLEAN_VOTERS, CLEAN_EXPECTED, CLEAN_SHARE = 16, 12, 0.1
 #: How many clean documents a toxic one outweighs in the classifier's fit.
 TOXIC_WEIGHT = 3.0
 THRESHOLD = 0.3
@@ -102,6 +105,17 @@ def pick_voters(fired: list[np.ndarray], toxic: np.ndarray, k: int) -> list[int]
     return picked
 
 
+def pick_clean_voters(fired: list[np.ndarray], toxic: np.ndarray, k: int) -> list[int]:
+    """Which of ``k`` terms vote clean: those that fire on the most documents of which far fewer are toxic than by chance."""
+    n, of_toxic = np.zeros(k), np.zeros(k)
+    for d, terms_of in enumerate(fired):
+        n[terms_of] += 1
+        of_toxic[terms_of] += toxic[d]
+    chance = n * (toxic.mean() if len(toxic) else 0.0)
+    able = np.flatnonzero((chance >= CLEAN_EXPECTED) & (of_toxic <= CLEAN_SHARE * chance))
+    return [int(i) for i in able[np.lexsort((able, of_toxic[able] - chance[able]))][:CLEAN_VOTERS]]
+
+
 def firings(texts: pd.Series, voters: list[str]) -> np.ndarray:
     """Which voters (columns) fire on which texts (rows)."""
     at = {v: i for i, v in enumerate(voters)}
@@ -119,22 +133,22 @@ def firings(texts: pd.Series, voters: list[str]) -> np.ndarray:
     return out
 
 
-def joint_counts(docs: DataFrame, voters: list[str]) -> tuple[int, np.ndarray]:
-    """Over all of ``docs(text)``: how many there are, and how often each two voters fire together."""
+def joint_counts(docs: DataFrame, voters: list[str], n_toxic: int) -> tuple[int, int, np.ndarray]:
+    """Over all of ``docs(text)``: how many there are, on how many none of the first ``n_toxic`` voters fires, and how often each two voters fire together."""
     k = len(voters)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((k, k)), 0
+        total, n, silent = np.zeros((k, k)), 0, 0
         for pdf in batches:
             x = firings(pdf["text"], voters).astype(np.float32)
-            total, n = total + x.T @ x, n + len(x)
-        yield pd.DataFrame({"cell": np.arange(k * k + 1), "n": np.append(total.ravel(), n).astype(np.int64)})
+            total, n, silent = total + x.T @ x, n + len(x), silent + int((x[:, :n_toxic].sum(axis=1) == 0).sum())
+        yield pd.DataFrame({"cell": np.arange(k * k + 2), "n": np.append(total.ravel(), [silent, n]).astype(np.int64)})
 
     cells = docs.select("text").mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros(k * k + 1)
+    flat = np.zeros(k * k + 2)
     for r in cells:
         flat[r["cell"]] = r["n"]
-    return int(flat[-1]), flat[:-1].reshape(k, k)
+    return int(flat[-1]), int(flat[-2]), flat[:-2].reshape(k, k)
 
 
 # --- label model -------------------------------------------------------------------
@@ -142,16 +156,19 @@ def joint_counts(docs: DataFrame, voters: list[str]) -> tuple[int, np.ndarray]:
 
 @dataclass
 class LabelModel:
-    """Firing rates of the voters on toxic and clean documents, the share of toxic ones, and the weight of each voter's vote within its correlated group."""
+    """Firing rates of the voters on toxic and clean documents, the share of toxic ones, the weight of each voter's vote within its correlated group, and the logarithm of odds that silence of all toxic voters, the first ``n_toxic``, gives."""
 
     prior: float
     on_toxic: np.ndarray
     on_clean: np.ndarray
     weight: np.ndarray
+    n_toxic: int
+    silence: float = 0.0
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
-        """Of documents by the votes of those that fire; the others abstain and leave the prior."""
-        margin = math.log(self.prior / (1 - self.prior)) + fired @ (np.log(self.on_toxic / self.on_clean) * self.weight)
+        """Of documents by the votes of those that fire, and by silence; without toxic voters the prior is left."""
+        silent = fired[:, : self.n_toxic].sum(axis=1) == 0
+        margin = math.log(self.prior / (1 - self.prior)) + fired @ (np.log(self.on_toxic / self.on_clean) * self.weight) + silent * self.silence
         return 1 / (1 + np.exp(-np.clip(margin, -20, 20)))
 
 
@@ -172,9 +189,14 @@ def blocks_of(joint: np.ndarray, expected: np.ndarray) -> list[list[int]]:
     return out
 
 
-def fit_label_model(n: int, both: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int = 200) -> LabelModel:
+def fit_label_model(n: int, both: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int = 200, n_toxic: int | None = None, silent: int | None = None) -> LabelModel:
     """Fit firing rates to the joint firings ``both`` of ``n`` documents, from those on the labelled sample (firings on ``toxic`` and on ``clean`` documents).
 
+    The first ``n_toxic`` voters speak for toxic documents, on ``silent`` of all
+    documents none of those fires; the others speak for clean ones, and their
+    rates are the sample's on toxic documents and, by the rate over all, what is
+    left for clean ones.
+
     A voter knows the toxic documents of its block alone.  Given those, voters
     of a block are taken as independent but for pairs whose joint firings exceed
     what their rates give by far; those pairs are correlated and take no part in
@@ -186,7 +208,8 @@ def fit_label_model(n: int, both: np.ndarray, toxic: np.ndarray, clean: np.ndarr
     smooth = lambda part: (part.sum(axis=0) + 0.05) / (len(part) + 1)
     rate, joint = np.diag(both) / max(n, 1), both / max(n, 1)
     on_toxic, on_clean, strength = np.clip(smooth(toxic), 1e-3, 0.999), np.clip(smooth(clean), 1e-6, 0.5), np.zeros((k, k))
-    for block in blocks_of(joint, prior * np.outer(on_toxic, on_toxic)):
+    n_toxic = k if n_toxic is None else n_toxic
+    for block in blocks_of(joint[:n_toxic, :n_toxic], prior * np.outer(on_toxic[:n_toxic], on_toxic[:n_toxic])):
         share = prior * (toxic[:, block].any(axis=1).sum() + 0.5) / (len(toxic) + 1)  # of documents the block's toxic ones
         a, b = np.clip(on_toxic[block] * prior / share, 1e-3, 0.999), on_clean[block]
         own_rate, own = rate[block], joint[np.ix_(block, block)]
@@ -202,7 +225,17 @@ def fit_label_model(n: int, both: np.ndarray, toxic: np.ndarray, clean: np.ndarr
             b = np.clip((own_rate - share * a) / (1 - share), 1e-6, 0.5)
         on_toxic[block], on_clean[block] = a * share / prior, b
         strength[np.ix_(block, block)] = excess
-    return LabelModel(prior, np.maximum(on_toxic, 1e-4), np.maximum(on_clean, 1.0 / max(n, 1)), 1 / (1 + strength.sum(axis=1)))
+    late = np.arange(n_toxic, k)
+    on_clean[late] = np.clip((rate[late] - prior * on_toxic[late]) / (1 - prior), 1e-6, 0.999)
+    spread = np.sqrt(rate[late] * (1 - rate[late])) + 1e-12
+    together = np.clip((joint[np.ix_(late, late)] - np.outer(rate[late], rate[late])) / np.outer(spread, spread), 0, 1) * ~np.eye(len(late), dtype=bool)
+    strength[np.ix_(late, late)] = np.where(together < 0.1, 0, together)
+    quiet = 0.0
+    if silent is not None and n_toxic and len(toxic):
+        on = ((toxic[:, :n_toxic].sum(axis=1) == 0).sum() + 0.5) / (len(toxic) + 1)
+        off = min(max((silent / max(n, 1) - prior * on) / (1 - prior), 1e-3), 0.999)
+        quiet = min(0.0, math.log(on / off))
+    return LabelModel(prior, np.maximum(on_toxic, 1e-4), np.maximum(on_clean, 1.0 / max(n, 1)), 1 / (1 + strength.sum(axis=1)), n_toxic, quiet)
 
 
 # --- classifier --------------------------------------------------------------------
@@ -233,7 +266,7 @@ class Classifier:
         return out
 
 
-def fit_classifier(features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, names: list[str], rounds: int = 300, l2: float = 0.3) -> Classifier:
+def fit_classifier(features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, names: list[str], rounds: int = 300, l2: float = 0.1) -> Classifier:
     """Logistic regression on presence features with soft labels and weighted rows, by adaptive gradient steps over all rows."""
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     place = np.concatenate([np.empty(0, np.int64), *features])
@@ -257,41 +290,48 @@ UNLEARNT = Classifier(-4.0, {})
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Fit voters, label model and classifier on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, held-out rows aside.
 
-    A document labelled twice counts as toxic if it is so once.  Without a toxic
-    and a clean example every text scores low.
+    A document labelled twice counts as toxic if it is so once.  Where no term is
+    telling enough to vote, the labels themselves are the training labels; without
+    a toxic and a clean example every text scores low.
     """
     open_labels = labels.where("toxic is not null and doc_id is not null").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = staged(open_labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "sample_ids")
+    open_docs = docs.select("doc_id", "text").where("doc_id is not null").where(~is_held_out(F.col("doc_id")))
+    # candidates without a label: as many more as may turn out to have one
+    others = open_docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE + UNLABELLED)
+    others = others.join(open_labels, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
+    ids = staged(chosen.unionByName(others.withColumn("toxic", F.lit(None).cast("int"))), "training_ids")
 
     @F.pandas_udf("array<string>")
     def all_terms(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted(document_terms(t)) for t in texts])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # SAMPLE ids at most
-    sample = staged(rows.select("doc_id", "toxic", all_terms("text").alias("terms")), "sample")
+    rows = open_docs.join(F.broadcast(ids), "doc_id")  # SAMPLE + UNLABELLED ids at most
+    sample = staged(rows.where("toxic is not null").select("doc_id", "toxic", all_terms("text").alias("terms")), "sample")
     names = telling_terms(sample)
     if not names:
         return UNLEARNT
     at = {t: i for i, t in enumerate(names)}
 
     @F.pandas_udf("array<int>")
-    def places(lists: pd.Series) -> pd.Series:
-        return pd.Series([[at[t] for t in ts if t in at] for ts in lists])
-
-    found = sample.select("toxic", places("terms").alias("f")).collect()  # a few numbers for each of SAMPLE rows at most
-    features, y = [np.array(r["f"], np.int64) for r in found], np.array([r["toxic"] for r in found], float)
-    voters = pick_voters(features, y > 0, len(names))
+    def places(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(at[t] for t in document_terms(text) if t in at) for text in texts])
+
+    found = staged(rows.select("doc_id", "toxic", places("text").alias("f")), "features").orderBy("doc_id", "f").collect()  # a few numbers for each of SAMPLE + UNLABELLED documents at most
+    features = [np.array(r["f"], np.int64) for r in found]
+    own = np.array([np.nan if r["toxic"] is None else r["toxic"] for r in found], float)
+    known = ~np.isnan(own)
+    labelled, y = [f for f, k in zip(features, known, strict=True) if k], own[known]
+    voters = pick_voters(labelled, y > 0, len(names))
     if not voters:
-        return UNLEARNT
-    n, both = joint_counts(docs.where(~is_held_out(F.col("doc_id"))), [names[v] for v in voters])
-    fired = np.zeros((len(features), len(voters)))
-    for row, f in enumerate(features):
-        fired[row] = np.isin(voters, f)
-    model = fit_label_model(n, both, fired[y == 1], fired[y == 0])
-    voted = model.posterior(fired)
-    own = np.where(y == 1, 1, -1) * math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    target = 1 / (1 + np.exp(-np.clip(np.log(voted / (1 - voted)) + own, -30, 30)))
-    return fit_classifier(features, target, np.where(y == 1, TOXIC_WEIGHT, 1.0), names)
+        return fit_classifier(labelled, y, np.where(y == 1, TOXIC_WEIGHT, 1.0), names)
+    n_toxic = len(voters)
+    voters += [v for v in pick_clean_voters(labelled, y, len(names)) if v not in voters]
+    n, silent, both = joint_counts(docs.where(~is_held_out(F.col("doc_id"))), [names[v] for v in voters], n_toxic)
+    fired = np.stack([np.isin(voters, f) for f in features]).astype(float)
+    model = fit_label_model(n, both, fired[known][y == 1], fired[known][y == 0], n_toxic=n_toxic, silent=silent)
+    target = model.posterior(fired)
+    return fit_classifier(features, target, 1 + (TOXIC_WEIGHT - 1) * target, names)
 
 
 def scored(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -313,6 +353,6 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pipeline stage: documents that score THRESHOLD or more go; the rest stays, columns as they are."""
+    """Pipeline stage: documents that score THRESHOLD or more go; the rest stays, columns as they are, whatever their names."""
     model = learn(docs.select("doc_id", "text"), labels)
-    return scored(docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs, model).where(F.col("score") < THRESHOLD).drop("score").toDF(*docs.columns)
+    return scored(docs.select(F.struct(*docs.columns).alias("row"), "text"), model).where(F.col("score") < THRESHOLD).select("row.*")

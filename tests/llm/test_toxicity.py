@@ -79,6 +79,52 @@ def test_label_model_recovers_rates():
     assert ((posterior > 0.5) == y).mean() > 0.92
 
 
+def test_few_labels_and_the_votes(spark):
+    """With most labels gone the label model's posteriors of documents without one keep the classifier's ranking, which the labels alone do not."""
+    rng = random.Random(8)
+    slurs = ["idiot", "scum", "moron", "loser", "clown", "pest", "vermin", "filth", "creep", "oaf"]
+    rows = []
+    for i in range(4000):
+        toxic = rng.random() < 0.15
+        ws = rng.choices(VOCAB, k=rng.randint(5, 40)) + (rng.sample(slurs, 3) if toxic else rng.sample(slurs, 1) if rng.random() < 0.01 else [])
+        rows.append((i, " ".join(ws), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows if i < 400], "doc_id bigint, toxic int")
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2 and r[0] >= 400]
+    y = np.array([t for *_, t in held])
+    scores = X.learn(docs, labels).scores([t for _, t, _ in held])
+    order = np.argsort(np.argsort(scores, kind="stable")) + 1
+    auc = (order[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    right = (scores >= X.THRESHOLD) == y
+    assert auc > 0.97 and right.mean() > 0.95
+
+
+def test_labels_alone_where_no_term_votes(spark, monkeypatch):
+    monkeypatch.setattr(X, "SUPPORT", 10**6)
+    rows = corpus(300)
+    model = X.learn(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int"))
+    assert model is not X.UNLEARNT and model.scores(["idiot scum moron"])[0] > model.scores(["worta kein"])[0]
+
+
+def test_clean_voters_and_silence():
+    rng = np.random.default_rng(2)
+    y = rng.random(6000) < 0.2
+    fired = [np.flatnonzero([rng.random() < (0.6 if t else 0.01), rng.random() < (0.01 if t else 0.5), rng.random() < 0.5]) for t in y]
+    assert X.pick_clean_voters(fired, y.astype(float), 3) == [1]
+    x = np.stack([np.isin([0, 1], f) for f in fired]).astype(float)
+    model = X.fit_label_model(len(x), x.T @ x, x[y], x[~y], n_toxic=1, silent=int((x[:, 0] == 0).sum()))
+    p = model.posterior(np.array([[1.0, 0.0], [0.0, 0.0], [0.0, 1.0]]))
+    assert p[0] > 0.9 > 0.2 > p[1] > p[2]
+
+
+def test_ties_and_repeated_ids(spark):
+    """Terms that tell alike come in the order of their names, and a repeated doc_id changes no score of another order of rows."""
+    rows = corpus(200) + corpus(200)[:40]
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int")
+    models = [X.learn(spark.createDataFrame([r[:2] for r in some], "doc_id bigint, text string"), labels) for some in (rows, rows[::-1])]
+    assert models[0].weights.keys() == models[1].weights.keys() and np.allclose(models[0].scores([r[1] for r in rows]), models[1].scores([r[1] for r in rows]))
+
+
 def test_query(spark, folder, learnt):
     _, docs, labels, _ = learnt
     rows = X.op9_toxicity(spark, folder(documents=docs, labels=labels)).collect()
