@@ -23,11 +23,11 @@ MASKED = (r"@(?:" + "|".join(d.replace(".", r"\.") for d in DOMAINS) + r"|y\.co)
 
 @dataclass(frozen=True)
 class Limits:
-    """What a comparison accepts, in per cent, and what it looks at."""
+    """What a comparison accepts, in per cent, and what it looks at: all rows, or a sample of so many."""
 
     null_delta: float = 0.0
     orphans: float = 0.0
-    sample: int = 1000
+    sample: int | None = None
     whitelist: tuple[str, ...] = MASKED
     exceptions: dict = field(default_factory=dict)
     fail_on_warning: bool = False
@@ -35,7 +35,7 @@ class Limits:
     def __post_init__(self):
         if not (0 <= self.null_delta <= 100 and 0 <= self.orphans <= 100):
             raise DataValidationError("percentages lie between 0 and 100")
-        if self.sample < 1:
+        if self.sample is not None and self.sample < 1:
             raise DataValidationError("a sample has one row at least")
 
 
@@ -111,10 +111,16 @@ def compared_orphans(before: DataFrame, after: DataFrame, limits: Limits | None
     return both.where(delta != 0).select(severity.alias("severity"), F.lit("FK_ORPHANS").alias("code"), F.col("child_table").alias("table_name"), F.lit("").alias("column_name"), message.alias("message"), delta.alias("delta"))
 
 
-def residual(table: str, df: DataFrame, columns: Sequence[str], limits: Limits | None = None, order: str | None = None) -> DataFrame:
-    """Issues for personal data of RESIDUAL's kinds left in a sample of ``columns``, masked values aside: one for each column and kind."""
+def residual(table: str, df: DataFrame, columns: Sequence[str], limits: Limits | None = None) -> DataFrame:
+    """Issues for personal data of RESIDUAL's kinds left in ``columns``, masked values aside: one for each column and kind.
+
+    All rows are looked at, in one scan.  Where the limits name a sample, that
+    many rows are, those of the least hashes of their values, whatever their order.
+    """
     limits = limits or Limits()
-    sample = df.orderBy(order if order else F.rand(0)).limit(limits.sample).select(*columns)
+    sample = df.select(*columns)
+    if limits.sample is not None:
+        sample = sample.orderBy(F.xxhash64(*columns)).limit(limits.sample)
     passed = lambda c: (*limits.whitelist, *limits.exceptions.get(f"{table}.{c}", ()))
     kinds = F.array(*(F.struct(F.lit(c).alias("column_name"), found_kinds(F.col(c).cast("string"), RESIDUAL, passed(c)).alias("kinds")) for c in columns))
     each = sample.select(F.explode(kinds).alias("x")).select("x.*")
@@ -135,6 +141,48 @@ def severity_summary(issues: DataFrame) -> DataFrame:
     return issues.agg(count("error"), count("warning"), count("info"))
 
 
+def issues_by(issues: DataFrame, *by: str) -> DataFrame:
+    """How many issues there are by ``by`` (column_name, table_name, severity, code), and their severities."""
+    return issues.groupBy(*by).agg(F.count("*").alias("issues"), F.array_sort(F.collect_set("severity")).alias("severities"))
+
+
+def null_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """By column how the nulls changed between two snapshots, and by how many per cent of what they were; 100 where there were none."""
+    nulls = lambda s, name: s.where("metric = 'null_count'").select("table_name", "column_name", F.col("value").alias(name))
+    both = nulls(before, "pre").join(nulls(after, "post"), ["table_name", "column_name"])
+    delta = F.col("post") - F.col("pre")
+    percent = F.when(F.col("pre") == 0, F.when(F.col("post") == 0, 0.0).otherwise(100.0)).otherwise(100.0 * F.abs(delta) / F.col("pre"))
+    return both.select("table_name", "column_name", delta.alias("delta"), percent.alias("percent"))
+
+
+def precision_losses(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """Rows whose ``column`` would change, or become null, as ``kind``."""
+    as_kind = F.col(column).try_cast(kind)
+    exact = F.col(column).cast("decimal(38,10)")
+    return df.where(F.col(column).isNotNull() & (as_kind.isNull() | (as_kind.cast("decimal(38,10)") != exact)))
+
+
+def constraints_there(spark, frames: dict[str, DataFrame], foreign_keys: Sequence[ForeignKey]) -> DataFrame:
+    """By constraint whether its tables and columns are there, with types that compare."""
+
+    def there(fk: ForeignKey) -> bool:
+        child, parent = frames.get(fk.child), frames.get(fk.parent)
+        if child is None or parent is None or not set(fk.child_columns) <= set(child.columns) or not set(fk.parent_columns) <= set(parent.columns):
+            return False
+        return all(child.schema[c].dataType == parent.schema[p].dataType for c, p in zip(fk.child_columns, fk.parent_columns, strict=True))
+
+    return spark.createDataFrame([(fk.name, there(fk)) for fk in foreign_keys], "constraint_name string, there boolean")
+
+
+def counted(table: str, df: DataFrame, limit: int = 100_000_000, fraction: float = 0.01) -> DataFrame:
+    """table_name, row_count and estimated: the count, or above ``limit`` rows, as the optimizer's statistics tell, that of a sample of the partitions' rows, scaled up."""
+    known = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
+    if known.isDefined() and int(str(known.get())) > limit:
+        counts = df.sample(fraction, seed=0).agg((F.count("*") / F.lit(fraction)).cast("bigint").alias("row_count"))
+        return counts.select(F.lit(table).alias("table_name"), "row_count", F.lit(True).alias("estimated"))
+    return df.agg(F.count("*").alias("row_count")).select(F.lit(table).alias("table_name"), "row_count", F.lit(False).alias("estimated"))
+
+
 @dataclass
 class Report:
     """The outcome of a comparison: PASS, WARNING or FAIL, with its issues (the first hundred; they are few or all alike)."""

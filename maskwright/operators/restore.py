@@ -11,6 +11,10 @@ from maskwright.errors import Code, RestoreError
 from maskwright.operators.mapping import decrypted
 
 
+#: Tasks over which rows without a value are spread.
+SPREAD = 1024
+
+
 def originals(mapping: DataFrame, key: str) -> DataFrame:
     """``column_name, masked_value, original`` of the entries that can be restored, and ``status`` of all: ok, null, or unrestorable."""
     original = F.when(~F.col("is_null"), decrypted(F.col("original_value_encrypted"), key))
@@ -41,7 +45,10 @@ def restored(df: DataFrame, mapping: DataFrame, columns: Sequence[str], key: str
     single = ok.groupBy("column_name", "masked_value").agg(F.min("original").alias("original"), F.countDistinct("original").alias("n")).where("n = 1").drop("n")
     for c in columns:
         own = single.where(F.col("column_name") == c).select(F.col("masked_value").alias("__m"), F.col("original").alias("__o"))
-        df = df.join(own, F.col(c) == F.col("__m"), "left").withColumn(c, F.coalesce("__o", c)).drop("__m", "__o")
+        # rows without a value find nothing: they are spread instead of meeting in one task
+        spread = F.concat(F.lit("\u0000"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("string"))
+        keyed = df.withColumn("__k", F.coalesce(F.col(c).cast("string"), spread))
+        df = keyed.join(own, F.col("__k") == F.col("__m"), "left").withColumn(c, F.coalesce("__o", c)).drop("__k", "__m", "__o")
     return df
 
 

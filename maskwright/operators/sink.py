@@ -10,24 +10,42 @@ from pyspark.sql import functions as F
 from maskwright.errors import Code, UpdateError
 
 
-def update_by_key(target: DataFrame, updates: DataFrame, key: Sequence[str], computed: Sequence[str] = ()) -> DataFrame:
-    """``target`` with the values of ``updates(key..., columns...)`` where they are not null; computed columns keep theirs.
-
-    A repeated key in ``updates`` is an error of the data: one of its rows is
-    not chosen silently, but each would repeat the target's row, so keys are
-    made single first by the greatest values.
+def update_by_key(target: DataFrame, updates: DataFrame, key: Sequence[str], computed: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """``target`` with the values of ``updates(key..., columns...)``, null among them; computed columns keep theirs.
+
+    Of the rows of ``updates`` that repeat a key the one of the greatest ``order``
+    wins, as a whole; if several share that, the greatest of their values.
+    Without an ``order``, rows of one key that differ are an error when the result
+    is read, and rows that are all alike count once.  Keys that the target lacks
+    and null keys change nothing.
     """
     if not key:
         raise UpdateError("an update needs a key", Code.PRIMARY_KEY_MISSING)
-    unknown = [c for c in updates.columns if c not in target.columns]
+    given = [c for c in updates.columns if c != order or c in target.columns]
+    unknown = [c for c in given if c not in target.columns]
     if unknown or any(k not in updates.columns for k in key):
         raise UpdateError(f"columns that are not there: {', '.join(unknown) or 'key'}")
-    changed = [c for c in updates.columns if c not in key and c not in computed]
+    changed = [c for c in given if c not in key and c not in computed]
     if not changed:
         raise UpdateError("nothing to update but computed columns")
-    single = updates.groupBy(*key).agg(*(F.max(c).alias(f"__new_{c}") for c in changed))
+    values = F.struct(*changed)
+    rows = updates.select(*key, values.alias("__new"), *([F.struct(F.col(order).alias("o"), values.alias("v")).alias("__order")] if order else []))
+    if order:
+        single = rows.groupBy(*key).agg(F.max("__order")["v"].alias("__new"))
+    else:
+        one, alike = F.max("__new"), F.min("__new").eqNullSafe(F.max("__new"))
+        single = rows.groupBy(*key).agg(F.when(alike, one).otherwise(F.raise_error(F.concat(F.lit("updates differ for key "), F.to_json(F.struct(*key)))).cast(rows.schema["__new"].dataType)).alias("__new"))
     joined = target.join(single, list(key), "left")
-    return joined.select(*(F.coalesce(f"__new_{c}", c).alias(c) if c in changed else c for c in target.columns))
+    return joined.select(*(F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)).alias(c) if c in changed else c for c in target.columns))
+
+
+def update_table(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str], computed: Sequence[str] = (), order: str | None = None) -> int:
+    """Update the Parquet table at ``path`` and return how many of its rows had an update; a failure leaves it as it was."""
+    target = spark.read.parquet(path)
+    out = update_by_key(target, updates, key, computed, order)
+    hit = target.join(updates.select(*key).distinct(), list(key), "left_semi").count()
+    staged_write(out, path, mode="overwrite")
+    return hit
 
 
 def replace_values(df: DataFrame, column: str, replacements: DataFrame) -> DataFrame:

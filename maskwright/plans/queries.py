@@ -145,14 +145,14 @@ NAME_CASES = ("Dr. Jane Roe", "John Smith Jr.", "Mary-Jane Watson", "Prof. Ana D
 
 @query(
     "name_structure",
-    f"""WITH t AS (SELECT value, list_filter(regexp_split_to_array(value, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM (SELECT unnest({names(NAME_CASES)}) AS value UNION ALL SELECT c_name FROM customer WHERE c_custkey <= 20))
+    f"""WITH t AS (SELECT value, list_filter(regexp_split_to_array(value, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w FROM (SELECT unnest({names(NAME_CASES)}) AS value UNION ALL SELECT c_name FROM customer))
     SELECT value, len(w) > 1 AND list_contains({names(maskers.NAME_PREFIXES)}, trim(lower(w[1]), '.')) AS has_prefix,
            len(w) > 1 AND list_contains({names(maskers.NAME_SUFFIXES)}, trim(lower(w[len(w)]), '.')) AS has_suffix,
            regexp_matches(value, '[A-Za-zÀ-ſ]+-[A-Za-zÀ-ſ]+') AS is_hyphenated, len(w)::INTEGER AS word_count FROM t""",
 )
 def name_structure(spark, sf_dir):
     cases = spark.createDataFrame([(n,) for n in NAME_CASES], "value string")
-    own = read(spark, sf_dir, "customer", "c_custkey", "c_name").where("c_custkey <= 20").select(F.col("c_name").alias("value"))
+    own = read(spark, sf_dir, "customer", "c_name").select(F.col("c_name").alias("value"))
     return cases.unionByName(own).select("value", maskers.name_structure(F.col("value")).alias("x")).select("value", "x.*")
 
 
@@ -239,16 +239,16 @@ def pii_redact(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", F.sha2(patterns.redact(F.col("text")), 256).alias("redacted_sha256"))
 
 
-@query("pii_redact_nested", f"SELECT conv_id, list(struct_pack(turn := turn, said := {_sql_redact('text')}) ORDER BY turn)::VARCHAR AS turns FROM (SELECT conv_id, turn, left(text, 40) || ' 10.0.0.' || turn AS text FROM conversations) GROUP BY conv_id")
+@query("pii_redact_nested", f"SELECT conv_id, list(struct_pack(turn := turn, said := {_sql_redact('text')}) ORDER BY turn)::VARCHAR AS turns FROM (SELECT conv_id, turn, text || ' 10.0.0.' || turn AS text FROM conversations) GROUP BY conv_id")
 def pii_redact_nested(spark, sf_dir):
     df = read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    said = F.concat(F.left("text", F.lit(40)), F.lit(" 10.0.0."), F.col("turn").cast("string"))
+    said = F.concat("text", F.lit(" 10.0.0."), F.col("turn").cast("string"))
     turns = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("turns"))
     clean = turns.select("conv_id", patterns.redact_nested(F.col("turns"), turns.schema["turns"].dataType).alias("turns"))
     return clean.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("turns", lambda t: F.concat(F.lit("{'turn': "), t["turn"].cast("string"), F.lit(", 'said': "), F.lit("\u0001"), t["said"], F.lit("\u0001}"))), ", "), F.lit("]")).alias("turns"))
 
 
-ORACLES["pii_redact_nested"] = f"SELECT conv_id, '[' || string_agg('{{''turn'': ' || turn || ', ''said'': ' || chr(1) || {_sql_redact('text')} || chr(1) || '}}', ', ' ORDER BY turn) || ']' AS turns FROM (SELECT conv_id, turn, left(text, 40) || ' 10.0.0.' || turn AS text FROM conversations) GROUP BY conv_id"
+ORACLES["pii_redact_nested"] = f"SELECT conv_id, '[' || string_agg('{{''turn'': ' || turn || ', ''said'': ' || chr(1) || {_sql_redact('text')} || chr(1) || '}}', ', ' ORDER BY turn) || ']' AS turns FROM (SELECT conv_id, turn, text || ' 10.0.0.' || turn AS text FROM conversations) GROUP BY conv_id"
 
 WHITELIST = (r"mail[0-9]+\.example\.com",)
 
@@ -410,15 +410,55 @@ def orphan_compare(spark, sf_dir):
     return integrity.compared_orphans(counts(customer), counts(customer.where("c_custkey % 7 <> 0")))
 
 
-@query("residual_scan", f"SELECT 'error' AS severity, 'PII_PATTERN_DETECTED' AS code, 'documents' AS table_name, 'text' AS column_name, kind || ' pattern in ' || count(*) || ' values' AS message, count(*)::BIGINT AS delta FROM (SELECT unnest([{', '.join(f'CASE WHEN {sql_has(k)} THEN {quoted(k)} END' for k in patterns.RESIDUAL)}]) AS kind FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 1000) WHERE NOT regexp_matches(text, {quoted('(?i)' + integrity.MASKED[0])}) AND NOT regexp_matches(text, {quoted('(?i)' + integrity.MASKED[1])})) WHERE kind IS NOT NULL GROUP BY kind")
+@query("residual_scan", f"SELECT 'error' AS severity, 'PII_PATTERN_DETECTED' AS code, 'documents' AS table_name, 'text' AS column_name, kind || ' pattern in ' || count(*) || ' values' AS message, count(*)::BIGINT AS delta FROM (SELECT unnest([{', '.join(f'CASE WHEN {sql_has(k)} THEN {quoted(k)} END' for k in patterns.RESIDUAL)}]) AS kind FROM documents WHERE NOT regexp_matches(text, {quoted('(?i)' + integrity.MASKED[0])}) AND NOT regexp_matches(text, {quoted('(?i)' + integrity.MASKED[1])})) WHERE kind IS NOT NULL GROUP BY kind")
 def residual_scan(spark, sf_dir):
-    return integrity.residual("documents", read(spark, sf_dir, "documents", "doc_id", "text"), ["text"], order="doc_id")
+    return integrity.residual("documents", read(spark, sf_dir, "documents", "text"), ["text"])
 
 
-@query("severity_summary", "SELECT 2::BIGINT AS error, 0::BIGINT AS warning, 1::BIGINT AS info")
+#: Two snapshots of supplier whose differences are of all severities.
+_changed = """WITH a AS (SELECT count(*) AS n, count(*) FILTER (s_suppkey % 7 = 0) AS nulls, max(length(s_name)) AS l FROM supplier), b AS (SELECT count(*) FILTER (s_suppkey > 3) AS n, count(*) FILTER (s_suppkey > 3 AND s_suppkey % 5 = 0) AS nulls, 30 AS l FROM supplier)"""
+
+
+def changed_supplier(spark, sf_dir) -> DataFrame:
+    df = read(spark, sf_dir, "supplier", "s_suppkey", "s_name")
+    after = df.where("s_suppkey > 3").withColumn("s_name", F.when(F.col("s_suppkey") % 5 != 0, F.rpad("s_name", 30, "x")))
+    return integrity.compared(integrity.snapshot("supplier", named(spark, sf_dir, "supplier", "s_name", "s_suppkey"), ["s_name"]), integrity.snapshot("supplier", after, ["s_name"]))
+
+
+@query("severity_summary", _changed + " SELECT (a.n <> b.n)::BIGINT AS error, (a.nulls <> b.nulls)::BIGINT AS warning, (b.l > a.l)::BIGINT AS info FROM a, b")
 def severity_summary(spark, sf_dir):
-    rows = [("error", "A"), ("info", "B"), ("error", "C")]
-    return integrity.severity_summary(spark.createDataFrame(rows, "severity string, code string"))
+    return integrity.severity_summary(changed_supplier(spark, sf_dir))
+
+
+@query("issues_by_column", _changed + " SELECT '' AS column_name, 'ROW_COUNT_MISMATCH' AS code, count(*)::BIGINT AS issues FROM a, b WHERE a.n <> b.n HAVING count(*) > 0 UNION ALL SELECT 's_name', 'NULL_COUNT_MISMATCH', count(*)::BIGINT FROM a, b WHERE a.nulls <> b.nulls HAVING count(*) > 0 UNION ALL SELECT 's_name', 'LENGTH_GREW', count(*)::BIGINT FROM a, b WHERE b.l > a.l HAVING count(*) > 0")
+def issues_by_column(spark, sf_dir):
+    return integrity.issues_by(changed_supplier(spark, sf_dir), "column_name", "code").select("column_name", "code", "issues")
+
+
+@query("null_delta", "SELECT column_name, post - pre AS delta, round(100.0 * abs(post - pre) / pre, 6)::DOUBLE AS percent FROM (SELECT 'c_name' AS column_name, count(*) FILTER (c_custkey % 7 = 0)::BIGINT AS pre, count(*) FILTER (c_custkey % 5 = 0)::BIGINT AS post FROM customer)")
+def null_delta(spark, sf_dir):
+    before = integrity.snapshot("customer", named(spark, sf_dir, "customer", "c_name", "c_custkey"), ["c_name"])
+    after = read(spark, sf_dir, "customer", "c_custkey", "c_name").withColumn("c_name", F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")))
+    return integrity.null_deltas(before, integrity.snapshot("customer", after, ["c_name"])).select("column_name", "delta", F.round("percent", 6).alias("percent"))
+
+
+@query("data_type_change", "SELECT 'error' AS severity, 'DATA_TYPE_CHANGED' AS code, 'customer' AS table_name, 'c_custkey' AS column_name, 'data_type: bigint to string' AS message, 0::BIGINT AS delta")
+def data_type_change(spark, sf_dir):
+    df = read(spark, sf_dir, "customer", "c_custkey")
+    changed = integrity.compared(integrity.snapshot("customer", df, ["c_custkey"]), integrity.snapshot("customer", df.select(F.col("c_custkey").cast("string").alias("c_custkey")), ["c_custkey"]))
+    return changed
+
+
+@query("type_precision", "SELECT c_custkey, c_acctbal::DOUBLE AS c_acctbal FROM customer WHERE c_acctbal::DECIMAL(18,4) <> round(c_acctbal::DECIMAL(18,4), 1)")
+def type_precision(spark, sf_dir):
+    return integrity.precision_losses(read(spark, sf_dir, "customer", "c_custkey", "c_acctbal"), "c_acctbal", "decimal(18,1)").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+@query("constraint_existence", "SELECT name AS constraint_name, there FROM (VALUES " + ", ".join(f"('{fk.name}', true)" for fk in FKS) + ", ('fk_gone', false), ('fk_no_column', false)) AS t(name, there)")
+def constraint_existence(spark, sf_dir):
+    frames = {t: read(spark, sf_dir, t) for t in TABLES}
+    wanted = (*FKS, ForeignKey("fk_gone", "gone", ("x",), "region", ("r_regionkey",)), ForeignKey("fk_no_column", "nation", ("nope",), "region", ("r_regionkey",)))
+    return integrity.constraints_there(spark, frames, wanted)
 
 
 @query("length_preservation", "SELECT max(length(rtrim(p_name)))::BIGINT AS max_length, max(strlen(p_name))::BIGINT AS max_bytes, 55 AS declared FROM part")
@@ -474,6 +514,47 @@ def update_composite_key(spark, sf_dir):
     return sink.update_by_key(target, target.where("turn = 0").select("conv_id", "turn", F.lit("opening").alias("role")), ["conv_id", "turn"])
 
 
+@query("update_to_null", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_name END AS s_name, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 25 ELSE s_nationkey END AS s_nationkey FROM supplier")
+def update_to_null(spark, sf_dir):
+    target = read(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    kind = target.schema["s_nationkey"].dataType
+    updates = target.where("s_suppkey % 4 = 0").select("s_suppkey", F.lit(None).cast("string").alias("s_name"), (F.col("s_suppkey") % 25).cast(kind).alias("s_nationkey"))
+    return sink.update_by_key(target, updates, ["s_suppkey"])
+
+
+@query("update_repeated_key", "SELECT c_custkey, coalesce(k, c_name) AS c_name, coalesce(p, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, arg_max('order ' || o_orderkey, o_orderkey) AS k, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def update_repeated_key(spark, sf_dir):
+    """Each customer takes the values of its last order, as one row."""
+    updates = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("c_name"), F.col("o_orderpriority").alias("c_mktsegment"), "o_orderkey")
+    return sink.update_by_key(read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment"), updates, ["c_custkey"], order="o_orderkey")
+
+
+@query("update_text_key", "SELECT p_partkey, p_name, CASE WHEN p_name IN (SELECT min(p_name) FROM part) THEN 'changed' ELSE p_brand END AS p_brand FROM part")
+def update_text_key(spark, sf_dir):
+    target = read(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand")
+    return sink.update_by_key(target, target.agg(F.min("p_name").alias("p_name")).withColumn("p_brand", F.lit("changed")), ["p_name"])
+
+
+@query("select_columns", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def select_columns(spark, sf_dir):
+    return scan.select_columns(read(spark, sf_dir, "orders"), ["o_orderkey"], ["o_custkey", "o_orderkey", "o_totalprice"])
+
+
+@query("value_counts", "SELECT 'c_name' AS column_name, count(*)::BIGINT AS rows, count(*) FILTER (c_custkey % 7 <> 0)::BIGINT AS non_null FROM customer")
+def value_counts(spark, sf_dir):
+    return scan.value_counts(named(spark, sf_dir, "customer", "c_name", "c_custkey"), ["c_name"])
+
+
+@query("parameterised_sql", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_orderkey > 10")
+def parameterised_sql(spark, sf_dir):
+    return scan.execute(spark, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = :who AND o_orderkey > :least", {"who": 7, "least": 10}, {"orders": read(spark, sf_dir, "orders")})
+
+
+@query("count_estimate", "SELECT 'orders' AS table_name, count(*)::BIGINT AS row_count, false AS estimated FROM orders")
+def count_estimate(spark, sf_dir):
+    return integrity.counted("orders", read(spark, sf_dir, "orders", "o_orderkey"))
+
+
 @query("replace_values", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE n_regionkey::VARCHAR END AS label FROM nation")
 def replace_values(spark, sf_dir):
     df = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("label"))

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,10 @@ from maskwright.sources.catalog import Catalog, normal_name
 from maskwright.sources.config import MASKER_OF, Config
 
 
+#: What may go wrong with one table without ending a run: the engine's own errors and all that Spark raises.
+TABLE_ERRORS = (EngineError, PySparkException, Py4JJavaError)
+
+
 @dataclass
 class TableProgress:
     table: str
@@ -131,26 +137,41 @@ def sanitize(spark: SparkSession, frames: dict[str, DataFrame], config: Config,
                 names = [s.column for s in specs]
                 after = spark.read.parquet(target)
                 checks.append(integrity.compared(integrity.snapshot(table, df, names), integrity.snapshot(table, after, names)))
-                checks.append(integrity.residual(table, after, names, order=catalog.key_of(table)[0]))
-        except EngineError as e:
+                checks.append(integrity.residual(table, after, names))
+        except TABLE_ERRORS as e:
             step.status, step.error = "failed", str(e)
-            report.errors.append(f"{table}: {e}")
+            report.errors.append(f"{table}: {step.error.splitlines()[0][:500]}")
         finally:
             if progress:
                 progress(step)
     if checks:
+        checks += _orphan_issues(spark, frames, catalog, {t.table: f"{base}/tables/{t.table}" for t in report.tables if t.status == "completed"})
         report.integrity = integrity.Report.of(report.operation_id, reduce(DataFrame.unionByName, checks))
     return report
 
 
-def restore_tables(spark: SparkSession, folder: str, operation_id: str, catalog: Catalog, key: str, target: str, *, tables: list[str] | None = None, dry: bool = False, strict: bool = True) -> RunReport:
-    """Write the originals of an operation's tables below ``target``, children first."""
+def _orphan_issues(spark: SparkSession, frames: dict[str, DataFrame], catalog: Catalog, written: dict[str, str]) -> list[DataFrame]:
+    """Orphans of the written tables' foreign keys, before and after, as issues."""
+    keys = [fk for fk in catalog.foreign_keys if fk.child in frames and fk.parent in frames and (fk.child in written or fk.parent in written)]
+    if not keys:
+        return []
+    now = {t: spark.read.parquet(written[t]) if t in written else df for t, df in frames.items()}
+    return [integrity.compared_orphans(integrity.orphan_counts(frames, keys), integrity.orphan_counts(now, keys))]
+
+
+def restore_tables(spark: SparkSession, folder: str, operation_id: str, catalog: Catalog, key: str, target: str, *, tables: list[str] | None = None, dry: bool = False, strict: bool = True, verify: dict[str, DataFrame] | None = None) -> RunReport:
+    """Write the originals of an operation's tables below ``target``, children first.
+
+    A table that cannot be restored is reported and the others go on.  Where
+    ``verify`` holds a table as it was before masking, what was written is held
+    against it by key; columns that differ are errors of the report's integrity.
+    """
     base = f"{folder}/{operation_id}"
     if not sink.exists(spark, f"{base}/mapping"):
         raise MappingError(f"no mapping of {operation_id}", Code.MAPPING_NOT_FOUND)
     key = mapping.load_key(key)
     wanted = {normal_name(t, catalog.schema) for t in tables} if tables else set(catalog.tables)
-    report = RunReport(operation_id, dry)
+    report, checks = RunReport(operation_id, dry), []
     for table in FkGraph(catalog.foreign_keys, catalog.tables).restore_order():
         if table not in wanted or not sink.is_complete(spark, f"{base}/tables/{table}"):
             continue
@@ -164,8 +185,13 @@ def restore_tables(spark: SparkSession, folder: str, operation_id: str, catalog:
             step.values_masked = step.rows * len(columns)
             if not dry:
                 sink.staged_write(out, f"{target}/{table}", mode="overwrite")
+                if verify and table in verify and catalog.key_of(table):
+                    differing = restore.differences(verify[table], spark.read.parquet(f"{target}/{table}"), catalog.key_of(table), columns).where("differing > 0")
+                    checks.append(differing.select(F.lit("error").alias("severity"), F.lit("RESTORE_DIFFERS").alias("code"), F.lit(table).alias("table_name"), "column_name", F.concat(F.col("differing").cast("string"), F.lit(" rows differ from the original")).alias("message"), F.col("differing").alias("delta")))
             step.status = "completed"
-        except EngineError as e:
+        except TABLE_ERRORS as e:
             step.status, step.error = "failed", str(e)
-            report.errors.append(f"{table}: {e}")
+            report.errors.append(f"{table}: {step.error.splitlines()[0][:500]}")
+    if checks:
+        report.integrity = integrity.Report.of(operation_id, reduce(DataFrame.unionByName, checks))
     return report

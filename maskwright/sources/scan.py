@@ -7,7 +7,7 @@ per partition before it merges.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from maskwright.errors import Code, SourceError
 from maskwright.sources.catalog import Catalog
 
-#: Buckets of the key's range in which rows are numbered.
-BUCKETS = 4096
+#: Buckets of about equal size in which rows are numbered.
+BUCKETS = 1024
 
 
 class Paging(str, Enum):
@@ -62,15 +62,19 @@ def offset_page(df: DataFrame, order: Sequence[str], offset: int, n: int) -> Dat
 def batch_numbers(df: DataFrame, key: str, size: int) -> DataFrame:
     """Number of the batch of ``size`` rows that each row falls in by its numeric ``key``, and the progress after it, in per cent.
 
-    The key's range is cut into BUCKETS; their counts, that many at most, give
-    each bucket's offset, and rows are numbered within buckets, so no task
-    orders the whole table.  Rows without a key come in no batch.
+    Quantiles of the key cut the rows into BUCKETS of about equal size, however
+    the keys are spread; the buckets' counts give each its offset, and rows are
+    numbered within buckets, so no task orders the whole table.  A row finds its
+    bucket by bisection.  Rows without a key come in no batch.
     """
     keyed = df.select(key).where(F.col(key).isNotNull())
-    ends = keyed.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("total")).first()
-    low, high, total = ends["low"] or 0, ends["high"] or 0, ends["total"]
-    width = max(1, -(-(int(high) - int(low) + 1) // BUCKETS))
-    bucket = F.floor((F.col(key) - int(low)) / width).cast("int")
+    kind = df.schema[key].dataType
+    ends = keyed.agg(F.percentile_approx(key, [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS).alias("cuts"), F.count("*").alias("total")).first()
+    cuts, total = sorted(set(ends["cuts"] or [])), ends["total"]
+    steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    bounds = F.array(*map(F.lit, cuts)).cast(T.ArrayType(kind))
+    below = lambda at, step: (at + step <= len(cuts)) & (F.get(bounds, at + step - 1) < F.col(key))
+    bucket = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at)) if cuts else F.lit(0)
     placed = keyed.withColumn("__bucket", bucket)
     counts = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -82,6 +86,23 @@ def batch_numbers(df: DataFrame, key: str, size: int) -> DataFrame:
     return numbered.select(key, batch.cast("bigint").alias("batch_number"), F.round(100 * done / F.lit(max(total, 1)), 2).alias("progress"))
 
 
+def extract_batches(df: DataFrame, key: Sequence[str], size: int, columns: Sequence[str] = (), after: Sequence | None = None) -> Iterator[DataFrame]:
+    """Pages of ``size`` rows in the order of ``key`` until none is left; ``after`` is the key of the last row already taken, from which to resume.
+
+    Each page is a filter on the key and a bounded top, whatever
+    :func:`paging_of` calls the key; its last row's key, one row on the driver,
+    begins the next.  A whole table is better read as one frame: pages are for
+    consumers that can take so much at a time.
+    """
+    while True:
+        page = keyset_page(df, key, after, size, columns)
+        last = page.agg(F.max(F.struct(*key)).alias("k"), F.count("*").alias("n")).first()
+        if not last["n"]:
+            return
+        yield page
+        after = [last["k"][k] for k in key]
+
+
 def sample_rows(df: DataFrame, columns: Sequence[str], n: int, by: str | None = None, seed: int = 0) -> DataFrame:
     """``n`` rows with a value in any of ``columns``: at random, or the same each time by the hash of ``by``."""
     some = df.where(F.coalesce(*(F.col(c).cast("string") for c in columns)).isNotNull())
@@ -97,6 +118,17 @@ def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name, rows and non_null of ``columns``, in one pass."""
+    one = df.agg(F.count("*").alias("__rows"), *(F.count(c).alias(f"__n_{c}") for c in columns))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("__rows").alias("rows"), F.col(f"__n_{c}").alias("non_null")) for c in columns))).alias("x")).select("x.*")
+
+
+def execute(spark: SparkSession, sql: str, args: dict | list | None = None, frames: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The result of ``sql``; ``args`` are bound to its ``:names`` or ``?`` as values, never as text, and ``{names}`` stand for ``frames``."""
+    return spark.sql(sql, args=args, **(frames or {}))
+
+
 def read_table(spark: SparkSession, path: str, kind: str = "parquet", **options) -> DataFrame:
     return spark.read.format(kind).options(**options).load(path)
 

@@ -106,6 +106,69 @@ def test_updates(spark, tmp_path):
     assert sink.is_complete(spark, path) and spark.read.parquet(path).count() == 1
 
 
+def test_updates_by_whole_rows(spark, tmp_path):
+    """A repeated key takes one whole row, or is refused; null is a value."""
+    df = spark.createDataFrame([(1, "a", "b"), (2, "c", "d"), (None, "n", "n")], "id bigint, x string, y string")
+    two = spark.createDataFrame([(1, "z", "p", 1), (1, "c", "q", 2), (2, None, "r", 1), (None, "!", "!", 9)], "id bigint, x string, y string, at int")
+    got = sorted(map(tuple, sink.update_by_key(df, two, ["id"], order="at").collect()), key=str)
+    assert got == [(1, "c", "q"), (2, None, "r"), (None, "n", "n")]
+    with pytest.raises(Exception, match="updates differ for key"):
+        sink.update_by_key(df, two.drop("at"), ["id"]).collect()
+    alike = spark.createDataFrame([(1, None, "q"), (1, None, "q")], "id bigint, x string, y string")
+    assert (1, None, "q") in set(map(tuple, sink.update_by_key(df, alike, ["id"]).collect()))
+    assert sink.update_by_key(df, alike.limit(0), ["id"]).count() == 3 and sink.update_by_key(df.limit(0), alike, ["id"]).count() == 0
+    path = str(tmp_path / "t")
+    sink.staged_write(df, path)
+    assert sink.update_table(spark, path, alike.unionByName(alike.withColumn("id", F.lit(9))), ["id"]) == 1
+
+
+def test_a_failed_table_does_not_end_the_run(spark, tmp_path):
+    frames, catalog, config, out = setup(spark, tmp_path)
+    bad = frames["dbo.people"].withColumn("name", F.when(F.col("id") == 2, F.raise_error(F.lit("cannot be read"))).otherwise(F.col("name")))
+    report = sanitize(spark, {**frames, "dbo.people": bad}, config, catalog, out, key=mapping.new_key(), operation_id="op")
+    by = {t.table: t.status for t in report.tables}
+    assert by == {"dbo.people": "failed", "dbo.orders": "completed"} and not report.successful and len(report.errors) == 1
+    assert not (tmp_path / "out/op/tables/dbo.people").exists()
+
+
+def test_restore_is_verified_and_goes_on(spark, tmp_path):
+    frames, catalog, config, out = setup(spark, tmp_path)
+    key = mapping.new_key()
+    sanitize(spark, frames, config, catalog, out, key=key, operation_id="op")
+    other = frames["dbo.people"].withColumn("name", F.when(F.col("id") == 1, F.lit("Somebody")).otherwise(F.col("name")))
+    report = restore_tables(spark, out, "op", catalog, key, str(tmp_path / "b"), verify={"dbo.people": other, "dbo.orders": frames["dbo.orders"]})
+    assert report.successful and report.integrity.status == "FAIL"
+    assert [(i["table_name"], i["column_name"], i["delta"]) for i in report.integrity.issues] == [("dbo.people", "name", 1)]
+
+
+def test_orphans_of_the_run(spark, tmp_path):
+    """A masked key column breaks its references, and the run's report says so."""
+    frames = {"dbo.p": spark.createDataFrame([(1, "k1"), (2, "k2")], "id bigint, code string"), "dbo.c": spark.createDataFrame([(1, "k1")], "id bigint, code string")}
+    catalog = Catalog.of(frames, {"dbo.p": ("id",), "dbo.c": ("id",)}, [ForeignKey("fk", "dbo.c", ("code",), "dbo.p", ("code",))])
+    config = cfg.Config((cfg.PiiColumn("dbo", "p", "code", "generic"),), validate_after=True)
+    report = sanitize(spark, frames, config, catalog, str(tmp_path / "o"), key=mapping.new_key(), operation_id="op")
+    assert any(i["code"] == "FK_ORPHANS" for i in report.integrity.issues)
+
+
+def test_pages_until_none_is_left(spark):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(25)], "id bigint, v string")
+    pages = [[r["id"] for r in p.collect()] for p in scan.extract_batches(df, ["id"], 10, ["v"])]
+    assert pages == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+    assert [r["id"] for p in scan.extract_batches(df, ["id"], 10, after=[21]) for r in p.collect()] == [22, 23, 24]
+    assert list(scan.extract_batches(df.limit(0), ["id"], 10)) == []
+    by_text = [r["v"] for p in scan.extract_batches(df, ["v"], 7) for r in p.collect()]
+    assert by_text == sorted(by_text) and len(by_text) == 25
+
+
+def test_counts_above_a_limit_are_estimates(spark, tmp_path):
+    spark.range(20_000).write.parquet(str(tmp_path / "r"))
+    spark.read.parquet(str(tmp_path / "r"))
+    exact = integrity.counted("r", spark.range(5_000)).first()
+    assert (exact["row_count"], exact["estimated"]) == (5_000, False)
+    rough = integrity.counted("r", spark.range(200_000), limit=1000, fraction=0.1).first()
+    assert rough["estimated"] and abs(rough["row_count"] - 200_000) < 10_000
+
+
 def test_foreign_keys():
     rows = [{"constraint_name": "c", "parent_table": "p", "parent_column": f"k{i}", "child_table": "q", "child_column": f"f{i}", "ordinal_position": i} for i in (2, 1)]
     fk = constraints(rows)[0]
@@ -128,10 +191,10 @@ def test_integrity(spark, tmp_path):
     report = integrity.Report.of("op", integrity.compared(before, integrity.snapshot("people", df.withColumn("mail", F.lit(None).cast("string")), ["mail"])))
     assert report.status == "WARNING" and json.loads(report.to_json())["counts"]["warning"] == 1
     assert len(report.export(tmp_path)) == 2 and "<table>" in report.to_html()
-    left = integrity.residual("people", df, ["mail", "name"], order="id").collect()
+    left = integrity.residual("people", df, ["mail", "name"]).collect()
     assert [(r["column_name"], r["severity"]) for r in left] == [("mail", "error")]
     fine = masked(df, [MaskSpec("mail", "email"), MaskSpec("name", "phone", 14)])
-    assert integrity.residual("people", fine, ["mail", "name"], order="id").isEmpty()
+    assert integrity.residual("people", fine, ["mail", "name"]).isEmpty()
     composite = ForeignKey("c", "a", ("x", "y"), "b", ("x", "y"))
     a = spark.createDataFrame([(1, 1), (1, None), (2, 2)], "x int, y int")
     assert [tuple(r) for r in integrity.orphan_rows(a, a.where("x = 1"), composite).collect()] == [(2, 2)]
