@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ BROADCAST_LIMIT = 32 << 20
 HOT_ROWS, HOT_KEYS = 1_000, 100_000
 #: Bytes of the hot keys' rows up to which they are broadcast; beyond that each is dealt out to SALTS tasks.
 HOT_LIMIT, SALTS = 8 << 20, 64
+#: Elements that a scan of an array takes at once: appending copies what is there, so runs are kept short.
+RUN = 64
 
 
 _shipped: set[str] = set()
@@ -102,6 +104,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(items: Column, zero: Column, step, shown, kind: str) -> Column:
+    """``shown(state, item)``, of the SQL type ``kind``, for each of ``items``, where ``step(state, item)`` is the state at the next one.
+
+    Items are taken in runs of RUN, each gathered by itself, which keeps the
+    time in proportion to their number for all arrays that fit in memory.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def within(state: Column, run: Column) -> Column:
+        return F.aggregate(run, F.struct(state.alias("s"), none.alias("out")), lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.array_append(acc["out"], shown(acc["s"], x)).alias("out")))
+
+    def over(all_items: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / RUN).cast("int")), lambda r: F.slice(all_items, r * RUN + 1, F.lit(RUN)))
+        first = F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(runs, first, lambda acc, run: let(within(acc["s"], run), lambda x: F.struct(x["s"].alias("s"), F.array_append(acc["out"], x["out"]).alias("out"))))["out"])
+
+    return let(items, lambda x: F.when(F.size(x) > 0, over(x)).otherwise(none))
+
+
 def table_bytes(df: DataFrame) -> int:
     """About how many bytes the rows of ``df``, best a staged table, take in memory: what varies in length is measured on every row."""
     varying = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import staged
+from maskwright.llm.common import let, scan, staged
 
 # The three base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -68,8 +68,6 @@ FALSE_DISCOVERIES = 0.001
 BANDS = (20, 32, 48, 96)
 #: p-values are counted in steps of 1/20 of a power of ten, so that any corpus gives at most this many counts a band.
 STEP, STEPS = 20, 1200
-#: Elements that a scan of an array takes at once: appending copies what is there, so runs are kept short.
-RUN = 64
 
 
 def _word_shares() -> dict[str, float]:
@@ -97,30 +95,6 @@ def _moments(symbols: str) -> dict[str, float]:
 MOMENTS = [_moments(symbols) for _, _, symbols in ALPHABETS]
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _scan(items: Column, zero: Column, step, shown, kind: str) -> Column:
-    """``shown(state, item)``, of the SQL type ``kind``, for each of ``items``, where ``step(state, item)`` is the state at the next one.
-
-    Items are taken in runs of RUN, each gathered by itself, which keeps the
-    time in proportion to their number for all arrays that fit in memory.
-    """
-    none = F.array().cast(f"array<{kind}>")
-
-    def within(state: Column, run: Column) -> Column:
-        return F.aggregate(run, F.struct(state.alias("s"), none.alias("out")), lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.array_append(acc["out"], shown(acc["s"], x)).alias("out")))
-
-    def over(all_items: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / RUN).cast("int")), lambda r: F.slice(all_items, r * RUN + 1, F.lit(RUN)))
-        first = F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-        return F.flatten(F.aggregate(runs, first, lambda acc, run: _let(within(acc["s"], run), lambda x: F.struct(x["s"].alias("s"), F.array_append(acc["out"], x["out"]).alias("out"))))["out"])
-
-    return _let(items, lambda x: F.when(F.size(x) > 0, over(x)).otherwise(none))
-
-
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -136,9 +110,9 @@ def _spans(text: Column, pattern: str, kind: int, least: tuple[int, int] | None
     def placed(x: Column) -> Column:
         sizes = F.transform(x["found"], lambda m, i: F.struct(F.char_length(F.get(x["gaps"], i)).alias("gap"), F.char_length(m).alias("size"), F.get(x["inner"], i).alias("value")))
         span = lambda at, m: F.struct((at + m["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + m["gap"] + m["size"]).alias("end"), m["value"].alias("value"))
-        return _scan(sizes, F.lit(0), lambda at, m: at + m["gap"] + m["size"], span, SPAN)
+        return scan(sizes, F.lit(0), lambda at, m: at + m["gap"] + m["size"], span, SPAN)
 
-    walked = _let(parts, placed)
+    walked = let(parts, placed)
     kept = F.filter(walked, lambda s: F.char_length(s["value"]) >= least[1]) if least else walked
     return F.when(F.rlike(text, F.lit(pattern)), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -162,7 +136,7 @@ def _battery(value: Column) -> Column:
     # where signs of both base 64 alphabets occur, they stand for each other
     body = F.regexp_replace(value, "=", "")
     both = lambda w: F.when(w == len(ALPHABETS) - 1, F.translate(body, "-_", "+/")).otherwise(body)
-    return _let(which, lambda w: _let(F.struct(w.alias("w"), F.get(F.lit([a for _, _, a in ALPHABETS]), w).alias("alphabet"), both(w).alias("body")), _tested))
+    return let(which, lambda w: let(F.struct(w.alias("w"), F.get(F.lit([a for _, _, a in ALPHABETS]), w).alias("alphabet"), both(w).alias("body")), _tested))
 
 
 def _tested(x: Column) -> Column:
@@ -207,7 +181,7 @@ def _tested(x: Column) -> Column:
     def with_moments(s: Column) -> Column:
         return F.struct(s["squares"].alias("squares"), s["walk"]["turns"].alias("turns"), s["walk"]["product"].alias("product"), *(of(name).alias(name) for name in MOMENTS[0]))
 
-    return _let(F.split(x["body"], ""), lambda symbols: _let(walked(symbols), lambda s: _let(with_moments(s), judged)))
+    return let(F.split(x["body"], ""), lambda symbols: let(walked(symbols), lambda s: let(with_moments(s), judged)))
 
 
 def base_spans(text: Column) -> Column:
@@ -219,15 +193,15 @@ def _touches(s: Column, starts: Column, ends: Column) -> Column:
     """Whether span ``s`` overlaps one of those that begin at ``starts``, in order; ``ends`` holds the greatest end so far.  By bisection."""
     steps = F.lit([1 << b for b in reversed(range(31))])
     place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((step <= F.size(starts) - at) & (F.get(starts, at + step - 1) < s["end"]), at + step).otherwise(at))
-    return _let(place, lambda n: (n > 0) & (F.get(ends, n - 1) > s["start"]))
+    return let(place, lambda n: (n > 0) & (F.get(ends, n - 1) > s["start"]))
 
 
 def candidate_spans(text: Column, base: Column) -> Column:
     """Other long strings of encoding characters, with the battery's results.  Strings of digits alone, of one case of letters alone, and those that touch a base span are none.  ``base`` is in order of start."""
     mixed = F.filter(_spans(text, CANDIDATE, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    ends = lambda spans: _scan(spans, F.lit(0), lambda top, b: F.greatest(top, b["end"]), lambda top, b: F.greatest(top, b["end"]), "int")
-    apart = lambda found: _let(F.struct(F.transform(base, lambda b: b["start"]).alias("starts"), ends(base).alias("ends")), lambda x: F.filter(found, lambda s: ~_touches(s, x["starts"], x["ends"])))
-    free = _let(mixed, lambda found: F.when((F.size(found) > 0) & (F.size(base) > 0), apart(found)).otherwise(found))
+    ends = lambda spans: scan(spans, F.lit(0), lambda top, b: F.greatest(top, b["end"]), lambda top, b: F.greatest(top, b["end"]), "int")
+    apart = lambda found: let(F.struct(F.transform(base, lambda b: b["start"]).alias("starts"), ends(base).alias("ends")), lambda x: F.filter(found, lambda s: ~_touches(s, x["starts"], x["ends"])))
+    free = let(mixed, lambda found: F.when((F.size(found) > 0) & (F.size(base) > 0), apart(found)).otherwise(found))
     return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), _battery(s["value"]).alias("test")))
 
 
@@ -312,10 +286,10 @@ def redact(docs: DataFrame) -> DataFrame:
         piece = lambda at, s: F.when(s["start"] >= at, F.concat(F.array_join(F.slice(chars, at + 1, s["start"] - at), ""), F.lit(REDACTED))).otherwise("")
         rest = lambda at: F.array_join(F.slice(chars, at + 1, F.greatest(F.size(chars) - at, F.lit(0))), "")
         end = F.aggregate("spans", F.lit(0), lambda at, s: F.greatest(at, s["end"]))
-        return F.concat(F.array_join(_scan(F.col("spans"), F.lit(0), lambda at, s: F.greatest(at, s["end"]), piece, "string"), ""), _let(end, rest))
+        return F.concat(F.array_join(scan(F.col("spans"), F.lit(0), lambda at, s: F.greatest(at, s["end"]), piece, "string"), ""), let(end, rest))
 
     has = F.size("spans") > 0
-    done = spanned.select("row", has.alias("has"), F.when(has, _let(F.regexp_extract_all("whole", F.lit("(?s)."), F.lit(0)), clean)).otherwise(F.col("row.text")).alias("cleaned"))
+    done = spanned.select("row", has.alias("has"), F.when(has, let(F.regexp_extract_all("whole", F.lit("(?s)."), F.lit(0)), clean)).otherwise(F.col("row.text")).alias("cleaned"))
     out = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("has"), F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))

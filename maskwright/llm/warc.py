@@ -14,14 +14,16 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import shared_path, staged
+from maskwright.llm.common import keyed_join, shared_path, staged
 
 #: Fixed values of the formats: magic number of the dictionary's skippable frame, of a Zstandard frame, and of a dictionary.
 SKIPPABLE = 0x184D2A5D
@@ -34,6 +36,8 @@ REVISIT_LEAST = 1000
 #: The dictionary is trained on at most so many payloads of the first so many characters each; it bears on size alone.
 SAMPLES, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8192, 64 << 10
 LEVEL = 3
+#: Compressed bytes after which a task begins its next archive.
+ROLL = 1 << 30
 #: Bytes read at once.
 CHUNK = 1 << 20
 
@@ -164,53 +168,75 @@ def one_line(url: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if c <= " " or c == "\x7f" else c for c in url) if url is not None else "about:blank"
 
 
+def _payload() -> dict[str, Column]:
+    """What tells payloads apart: SHA-1, two xxHash values and the length of the bytes, so a collision of SHA-1 alone merges nothing."""
+    html = F.coalesce("html", F.lit(""))
+    return {"digest": F.sha1(F.encode(html, "UTF-8")), "check": F.xxhash64(html), "check2": F.xxhash64(F.lit("payload"), html), "n_bytes": F.octet_length(html).cast("bigint")}
+
+
 def decided(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
-    """``page_id, digest, n_bytes, first`` once for each pair of page_id and digest: first is the largest page_id of those with the same payload of ``least`` bytes or more where it is another page's, else null."""
-    light = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("n_bytes")).distinct()
-    light = staged(light, "digests")
-    shared = light.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    return light.join(shared, "digest", "left").select("page_id", "digest", "n_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("first"))
+    """``key, page_id, digest, check, check2, n_bytes, first`` once for each page_id and payload: first is the largest page_id of those with the same payload of ``least`` bytes or more where it is another page's, else null."""
+    same = ["digest", "check", "check2", "n_bytes"]
+    light = staged(pages.select("page_id", *(v.alias(k) for k, v in _payload().items())).distinct(), "digests")
+    shared = light.where(F.col("n_bytes") >= least).groupBy(*same).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(*same, "last")
+    return keyed_join(light, staged(shared, "shared"), same, "left").select("page_id", *same, F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("first"))
+
+
+def pack_page(page: str | None, url: str | None, html: str | None, digest: str, n_bytes: int, seen: str | None) -> bytes:
+    """A page's record: a response, or a revisit of the page ``seen``."""
+    headers = {
+        "WARC-Type": "response" if seen is None else "revisit",
+        "WARC-Record-ID": record_id(page, digest),
+        "WARC-Date": "1970-01-01T00:00:00Z",
+        "WARC-Target-URI": one_line(url),
+        "Content-Type": "application/http;msgtype=response",
+        "WARC-Payload-Digest": labelled(digest),
+    }
+    if page is not None:
+        headers["X-Page-Id"] = quote(page)
+    if seen is not None:
+        headers |= {"WARC-Profile": REVISIT, "WARC-Refers-To": record_id(seen, digest), "X-Refers-To-Page-Id": quote(seen)}
+    payload = (html or "").encode() if seen is None else b""
+    return pack(headers, http_block(payload, n_bytes))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write every row of ``pages(page_id, url, html)`` as a record below ``folder``, one archive a partition; returns the written ``path, records``.
+    """Write every row of ``pages(page_id, url, html)`` as a record below ``folder``; returns the written ``path, records``.
 
-    Attempts of a task write to names of their own, and only the attempt whose
-    row is kept is read, so a lost executor leaves at most unread files.
+    A task begins a new archive after ROLL bytes, so archives stay of a size that
+    one reader takes, however large the partitions.  Attempts of a task write to
+    names of their own, and only the attempt whose rows are kept is read, so a
+    lost executor leaves at most unread files.
     """
     spark = pages.sparkSession
     sample = pages.where("html is not null").select(F.substring("html", 1, SAMPLE_CHARS).alias("h")).limit(SAMPLES).collect()
     dictionary = train([r["h"].encode() for r in sample])
-    decisions = decided(pages).withColumnsRenamed({"page_id": "_id", "digest": "_digest"})
-    own = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"))
-    rows = own.join(decisions, own["page_id"].eqNullSafe(decisions["_id"]) & (own["digest"] == decisions["_digest"])).select("page_id", "url", "html", "digest", "n_bytes", "first")
+    same = list(_payload())
+    decisions = decided(pages).withColumnsRenamed({"page_id": "_id", **{c: f"_{c}" for c in same}})
+    own = pages.select("page_id", "url", "html", *(v.alias(k) for k, v in _payload().items()))
+    on = own["page_id"].eqNullSafe(decisions["_id"])
+    for c in same:
+        on = on & (own[c] == decisions[f"_{c}"])
+    rows = own.join(decisions, on).select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", "n_bytes", F.col("first").cast("string").alias("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        path, count = f"{root}/{uuid.uuid4().hex}.warc.zst", 0
         encoder = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        with fs.open_output_stream(path, compression=None) as out:
-            out.write(opening(dictionary))
-            for batch in batches:
-                for page_id, url, html, digest, n_bytes, first in zip(*(batch.column(c) for c in batch.schema.names), strict=True):
-                    page, seen, digest = page_id.as_py(), first.as_py(), digest.as_py()
-                    headers = {
-                        "WARC-Type": "response" if seen is None else "revisit",
-                        "WARC-Record-ID": record_id(page, digest),
-                        "WARC-Date": "1970-01-01T00:00:00Z",
-                        "WARC-Target-URI": one_line(url.as_py()),
-                        "Content-Type": "application/http;msgtype=response",
-                        "WARC-Payload-Digest": labelled(digest),
-                    }
-                    if page is not None:
-                        headers["X-Page-Id"] = str(page)
-                    if seen is not None:
-                        headers |= {"WARC-Profile": REVISIT, "WARC-Refers-To": record_id(seen, digest), "X-Refers-To-Page-Id": str(seen)}
-                    payload = (html.as_py() or "").encode() if seen is None else b""
-                    out.write(encoder.compress(pack(headers, http_block(payload, n_bytes.as_py()))))
-                    count += 1
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], ["path", "records"])
+        done: list[tuple[str, int]] = []
+        packed = (pack_page(*values) for batch in batches for values in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True))
+        for first in packed:
+            path, count, size = f"{root}/{uuid.uuid4().hex}.warc.zst", 0, 0
+            with fs.open_output_stream(path, compression=None) as out:
+                out.write(opening(dictionary))
+                for record in chain((first,), packed):
+                    frame = encoder.compress(record)
+                    out.write(frame)
+                    count, size = count + 1, size + len(frame)
+                    if size >= ROLL:
+                        break
+            done.append((path, count))
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "records"])
 
     written = rows.mapInArrow(write, "path string, records bigint")
     return staged(written, "manifest")
@@ -241,7 +267,7 @@ def read_archives(archives: DataFrame, folder: str, id_type: str = "bigint") ->
                 raise WarcError(f"{path}: the payload of {h['WARC-Record-ID']} does not fit its digest or length")
             if not response and (h["WARC-Type"] != "revisit" or payload or "WARC-Refers-To" not in h):
                 raise WarcError(f"{path}: {h['WARC-Record-ID']} is neither response nor revisit")
-            as_id = lambda k: h.get(k) if id_type == "string" else int(h[k]) if k in h else None  # noqa: B023, E731
+            as_id = lambda k: unquote(h[k]) if k in h else None  # noqa: B023, E731
             rows.append((as_id("X-Page-Id"), length, digest, h["WARC-Type"], as_id("X-Refers-To-Page-Id"), h["WARC-Target-URI"], payload if response else None))
             held, seen = held + len(payload), seen + 1
             if held > 8 << 20 or len(rows) >= 5000:
@@ -252,22 +278,23 @@ def read_archives(archives: DataFrame, folder: str, id_type: str = "bigint") ->
         if rows:
             yield _batch(rows)
 
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    schema = pa.schema([("page_id", ids), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", ids), ("url", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("payload", pa.binary())])
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    wanted = f"page_id {id_type}, payload_bytes bigint, payload_digest string, record_type string, refers_to {id_type}, url string, payload binary"
+    wanted = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, payload binary"
     n = max(1, archives.count())
-    return archives.repartition(n, "path").mapInArrow(read, wanted)
+    # paths from one partition are dealt in turn, one to a task, where a hash would leave tasks empty and others with several
+    found = archives.coalesce(1).repartition(n).mapInArrow(read, wanted)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     """Every page written to an archive and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = shared_path(spark, "warc")
-    return read_archives(write_archives(pages, folder), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(write_archives(pages, folder), folder, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """

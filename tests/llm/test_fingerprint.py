@@ -86,3 +86,33 @@ def test_equal_digests_of_different_texts_are_told_apart(spark, make_docs, folde
 def test_no_python_runs(spark, make_docs):
     df = make_docs(["a"]).select(P.digest(P.canonical(F.col("text"))))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_that_are_no_numbers(spark, tmp_path):
+    """Order is that of the strings; over many blocks."""
+    texts = {f"d{i:03}": f"text number {i} of the many" for i in range(600)} | {"z": "last", "": "first of all"}
+    spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["edited_sha256"] for r in P.op6_fingerprint(spark, str(tmp_path)).collect()}
+    order = sorted(texts)
+    for k, i in enumerate(order):
+        text, after = texts[i], texts[order[(k + 1) % len(order)]]
+        q = len(text) // 4
+        assert got[i] == hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()
+
+
+def test_edited_texts_are_compared_too(spark, make_docs, folder, monkeypatch):
+    """Digests of one hexadecimal digit: an edited text is only like what has the same bytes."""
+    monkeypatch.setattr(P, "digest", lambda canon: F.left(F.sha2(canon, 256), F.lit(1)))
+    texts = [f"{i} text {i * i} and more of it {i}" for i in range(60)]
+    got = run(spark, make_docs(texts), folder)
+    for i, text in enumerate(texts):
+        after, q = texts[(i + 1) % 60], len(text) // 4
+        edited = canonical(text[: len(text) - q] + after[:q])
+        assert got[i]["near_edited"] == float(edited == canonical(text)) and got[i]["near_next"] == 0.0
+        assert all((got[i]["edited_fingerprint"] == got[j]["fingerprint"]) == (edited == canonical(texts[j])) for j in range(60))
+
+
+def test_long_runs_of_marks(spark):
+    """Time in proportion to the run: twenty thousand marks in a row."""
+    text = "e" + "\u0301\u0316" * 10_000 + "x"
+    assert spark.createDataFrame([(text,)], "t string").select(P.nfkc(F.col("t"))).first()[0] == unicodedata.normalize("NFKC", text)

@@ -84,3 +84,28 @@ def test_wrong_count_is_noticed(spark):
     manifest = warc.write_archives(spark.createDataFrame([(1, "a", "x")], PAGES), path).withColumn("records", F.col("records") + 1)
     with pytest.raises(Exception, match="records"):
         warc.read_archives(manifest, path).collect()
+
+
+def test_payloads_beyond_a_batch_and_archives_that_roll(spark, monkeypatch):
+    """A payload of many megabytes, ids of other types, and archives of a few records each."""
+    monkeypatch.setattr(warc, "ROLL", 2000)
+    big = "".join(chr(97 + i * i % 26) for i in range(300_000)) * 10
+    rows = [(f"id {i}\n", f"http://a/{i}", big if i in (3, 7) else f"<p>{i}</p>" * 100) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    path = shared_path(spark, "t")
+    manifest = warc.write_archives(pages, path)
+    assert manifest.count() > 3 and sum(r["records"] for r in manifest.collect()) == 40
+    got = {r["page_id"]: r for r in warc.read_archives(manifest, path, "string").collect()}
+    assert set(got) == {i for i, *_ in rows} and got["id 3\n"]["refers_to"] == "id 7\n" and bytes(got["id 7\n"]["payload"]).decode() == big
+    numbers = pages.selectExpr("cast(cast(substring(url, 10) as int) as decimal(20,0)) as page_id", "url", "html")
+    path = shared_path(spark, "t")
+    back = warc.read_archives(warc.write_archives(numbers, path), path, "decimal(20,0)")
+    assert back.schema["page_id"].dataType == numbers.schema["page_id"].dataType and {int(r["page_id"]) for r in back.collect()} == set(range(40))
+
+
+def test_a_collision_of_sha1_merges_nothing(spark, monkeypatch):
+    real = warc._payload
+    monkeypatch.setattr(warc, "_payload", lambda: real() | {"digest": F.lit("0" * 40)})
+    rows = [(1, "u", "a" * 2000), (2, "u", "b" * 2000), (3, "u", "b" * 2000)]
+    got = {r["page_id"]: r["first"] for r in warc.decided(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: None, 2: 3, 3: None}
