@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The patterns and what replaces their matches.  Digits and spaces are ASCII's in every engine here.
+# The patterns, further ones, what replaces their matches, and formats.  Digits and spaces are ASCII's in every engine here.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
     "phone": r"(?:(?:\+?1[-.\s]?)?(?:\([0-9]{3}\)|[0-9]{3})[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}|\+[0-9]{1,3}[-.\s]?[0-9]{1,14}|(?:\+?44[-.\s]?)?(?:\(0\)|0)?[1-9][0-9]{9})",
@@ -33,6 +33,8 @@ FORMATS = {
     "ssn": r"^(?:00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])(?:-(?:0[1-9]|[1-9][0-9])-|(?:0[1-9]|[1-9][0-9]))(?:[0-9]{3}[1-9]|[0-9]{2}[1-9][0-9]|[0-9][1-9][0-9]{2}|[1-9][0-9]{3})$",
     "name": "^[A-Za-zÀ-ſ\\s\\-'.]+$",
 }
+#: What every match of a kind holds, cheaply looked for before its pattern is.
+GUARDS = {"email": "@", "phone": r"[0-9]{3}|\+[0-9]", "ssn": "[0-9]{3}", "credit_card": "[0-9]{4}", "iban": "[A-Z]{2}[0-9]{2}", "ip_address": r"[0-9]\.[0-9]"}
 #: The kinds that integrity checks look for.
 RESIDUAL = ("email", "phone", "ssn", "credit_card")
 
@@ -52,8 +54,14 @@ def active_patterns(*, emails: bool = True, phones: bool = True, ssn: bool = Tru
 
 def redact(text: Column, patterns: Mapping[str, tuple[str, str]] | None = None) -> Column:
     """``text`` with every match replaced, pattern after pattern."""
-    for pattern, replacement in (patterns if patterns is not None else active_patterns()).values():
-        text = F.regexp_replace(text, pattern, replacement.replace("\\", "\\\\").replace("$", "\\$"))
+
+    def replaced(t: Column, kind: str, pattern: str, replacement: str) -> Column:
+        new = F.regexp_replace(t, pattern, replacement.replace("\\", "\\\\").replace("$", "\\$"))
+        return F.when(t.rlike(GUARDS[kind]), new).otherwise(t) if pattern == PATTERNS.get(kind) and kind in GUARDS else new
+
+    for kind, (pattern, replacement) in (patterns if patterns is not None else active_patterns()).items():
+        # bound once, as the guard and the replacement both read it
+        text = F.get(F.transform(F.array(text), lambda t: replaced(t, kind, pattern, replacement)), F.lit(0))  # noqa: B023
     return text
 
 
@@ -72,7 +80,8 @@ def redact_nested(value: Column, kind: T.DataType, patterns: Mapping[str, tuple[
 
 def has(text: Column, kind: str) -> Column:
     """Whether ``text`` holds personal data of a kind; null does not."""
-    return F.coalesce(text.rlike({**PATTERNS, **EXTRA_PATTERNS}[kind]), F.lit(False))
+    found = text.rlike({**PATTERNS, **EXTRA_PATTERNS}[kind])
+    return F.coalesce(F.when(text.rlike(GUARDS[kind]), found) if kind in GUARDS else found, F.lit(False))
 
 
 def found_kinds(text: Column, kinds: Sequence[str] = RESIDUAL, whitelist: Sequence[str] = ()) -> Column:

@@ -70,14 +70,16 @@ def build_mapping(df: DataFrame, table: str, specs: Sequence[MaskSpec], operatio
     """One row per distinct original of each column of ``specs``, null included.
 
     Originals are made distinct before anything is encrypted, and partial
-    distinct sets are formed before the shuffle.  Without a key originals are
-    not stored and cannot be restored.
+    distinct sets are formed before the shuffle.  On a stream an entry comes once,
+    by a state that holds the hashes alone, never an original.  Without a key
+    originals are not stored and cannot be restored.
     """
     schema, _, name = table.rpartition(".")
     both = masked(df, [MaskSpec(s.column, s.kind, s.most, s.seed, s.unicode, s.fixed, s.nullable, s.params, f"__m_{s.column}") for s in specs])
-    pairs = both.select(F.explode(F.array(*(F.struct(F.lit(s.column).alias("column_name"), F.lit(df.schema[s.column].dataType.simpleString()).alias("data_type"), F.col(s.column).alias("original"), F.col(f"__m_{s.column}").alias("masked_value")) for s in specs))).alias("x")).select("x.*").distinct()
+    pairs = both.select(F.explode(F.array(*(F.struct(F.lit(s.column).alias("column_name"), F.lit(df.schema[s.column].dataType.simpleString()).alias("data_type"), F.col(s.column).alias("original"), F.col(f"__m_{s.column}").alias("masked_value")) for s in specs))).alias("x")).select("x.*")
+    pairs = pairs if df.isStreaming else pairs.distinct()
     cipher = encrypted(F.col("original"), key) if key else F.lit(None).cast("binary")
-    return pairs.select(
+    entries = pairs.select(
         F.lit(operation_id).alias("operation_id"),
         F.lit(schema or "dbo").alias("schema_name"),
         F.lit(name).alias("table_name"),
@@ -89,10 +91,36 @@ def build_mapping(df: DataFrame, table: str, specs: Sequence[MaskSpec], operatio
         F.col("original").isNull().alias("is_null"),
         (F.to_timestamp(F.lit(created_at)) if created_at else F.current_timestamp()).alias("created_at"),
     )
+    return entries.dropDuplicates(["column_name", "original_value_hash", "is_null"]) if df.isStreaming else entries
+
+
+def table_info(entries: DataFrame) -> DataFrame:
+    """By schema, table and column of the store: entries, distinct originals, how many are encrypted or null, and the latest time."""
+    return entries.groupBy("schema_name", "table_name", "column_name").agg(
+        F.count("*").alias("entries"),
+        F.countDistinct("original_value_hash").alias("originals"),
+        F.count(F.when(F.col("original_value_encrypted").isNotNull(), 1)).alias("encrypted"),
+        F.count(F.when(F.col("is_null"), 1)).alias("nulls"),
+        F.max("created_at").alias("latest"),
+    )
+
+
+def broken_entries(entries: DataFrame) -> DataFrame:
+    """Entries that break the store's rules, with ``rule``: names that are not there, a hash that is no SHA-256, an original stored for null, or a null with a fake."""
+    rule = (
+        F.when(F.coalesce(F.trim("operation_id"), F.lit("")) == "", "NO_OPERATION")
+        .when((F.coalesce(F.trim("table_name"), F.lit("")) == "") | (F.coalesce(F.trim("column_name"), F.lit("")) == ""), "NO_COLUMN")
+        .when(F.col("original_value_hash").isNull() | (F.octet_length("original_value_hash") != 32), "BAD_HASH")
+        .when(F.col("is_null") & F.col("original_value_encrypted").isNotNull(), "ORIGINAL_OF_NULL")
+        .when(~F.col("is_null") & F.col("masked_value").isNull(), "NO_FAKE")
+    )
+    return entries.withColumn("rule", rule).where("rule is not null")
 
 
 def store(mapping: DataFrame, path: str) -> None:
     """Append to the store, dealt by operation, schema and table so that lookups read their part alone."""
+    if not broken_entries(mapping).isEmpty():
+        raise MappingError("entries break the store's rules")
     mapping.write.mode("append").partitionBy("operation_id", "schema_name", "table_name").parquet(path)
 
 

@@ -304,6 +304,17 @@ def mapping_stats(spark, sf_dir):
     return mapping.stats(all_mappings(spark, sf_dir)).drop("started_at", "completed_at")
 
 
+@query("mapping_table_info", f"SELECT schema_name, table_name, column_name, count(*)::BIGINT AS entries, count(DISTINCT original_hash)::BIGINT AS originals, count(*) FILTER (NOT is_null)::BIGINT AS encrypted, count(*) FILTER (is_null)::BIGINT AS nulls FROM ({MAPPING_SQL}) GROUP BY ALL")
+def mapping_table_info(spark, sf_dir):
+    return mapping.table_info(all_mappings(spark, sf_dir)).drop("latest")
+
+
+@query("mapping_broken_entries", f"SELECT table_name, rule, count(*)::BIGINT AS entries FROM (SELECT table_name, CASE WHEN table_name = 'part' THEN 'NO_OPERATION' WHEN NOT is_null AND masked_value < 'M' THEN 'NO_FAKE' END AS rule FROM ({MAPPING_SQL})) WHERE rule IS NOT NULL GROUP BY ALL")
+def mapping_broken_entries(spark, sf_dir):
+    spoilt = all_mappings(spark, sf_dir).withColumn("operation_id", F.when(F.col("table_name") != "part", F.col("operation_id"))).withColumn("masked_value", F.when(F.col("masked_value") >= "M", F.col("masked_value")))
+    return mapping.broken_entries(spoilt).groupBy("table_name", "rule").agg(F.count("*").alias("entries"))
+
+
 @query("mapping_lookup", f"SELECT * FROM ({MAPPING_SQL}) WHERE table_name = 'customer' AND original_hash = sha256('Customer#000000001')")
 def mapping_lookup(spark, sf_dir):
     return shown(mapping.lookup(all_mappings(spark, sf_dir), "op", "dbo", "customer", "c_name", "Customer#000000001"))
@@ -317,6 +328,24 @@ def restore_roundtrip(spark, sf_dir):
     return restore.restored(masked(df, specs), entries, ["c_name"], QUERY_KEY)
 
 
+@query("restore_partial", "SELECT c_name AS value, count(*)::BIGINT AS rows FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_name")
+def restore_partial(spark, sf_dir):
+    """A mapping that lacks two originals in three: only the third comes back, the others stay masked."""
+    df = read(spark, sf_dir, "customer", "c_custkey", "c_name")
+    specs = [MaskSpec("c_name", "email")]
+    entries = mapping.build_mapping(df.where("c_custkey % 3 = 0"), "dbo.customer", specs, "op", QUERY_KEY, CREATED)
+    back = restore.restored(masked(df, specs), entries, ["c_name"], QUERY_KEY)
+    return back.where(~F.contains("c_name", F.lit("@"))).groupBy(F.col("c_name").alias("value")).agg(F.count("*").alias("rows"))
+
+
+@query("restore_rates", "SELECT 'c_name' AS column_name, count(*)::BIGINT AS n_values, count(*) FILTER (c_custkey % 3 = 0)::BIGINT AS restored, round(100.0 * count(*) FILTER (c_custkey % 3 = 0) / count(*), 4)::DOUBLE AS percent FROM customer")
+def restore_rates(spark, sf_dir):
+    df = read(spark, sf_dir, "customer", "c_custkey", "c_name")
+    specs = [MaskSpec("c_name", "email")]
+    entries = mapping.build_mapping(df.where("c_custkey % 3 = 0"), "dbo.customer", specs, "op", QUERY_KEY, CREATED)
+    return restore.rates(masked(df, specs), entries, ["c_name"], QUERY_KEY).select("column_name", "n_values", "restored", F.round("percent", 4).alias("percent"))
+
+
 @query("restore_ambiguous", f"SELECT 'c_name' AS column_name, m AS masked_value, count(*)::BIGINT AS originals FROM (SELECT {sql_generic('c_name', 's', 3)} AS m FROM (SELECT DISTINCT c_name, {sql_seed('c_name')} AS s FROM customer)) GROUP BY m HAVING count(*) > 1")
 def restore_ambiguous(spark, sf_dir):
     df = read(spark, sf_dir, "customer", "c_custkey", "c_name")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from maskwright.functions.maskers import MaskSpec, masked
-from maskwright.operators import mapping, sink
+from maskwright.operators import mapping
 
 
 def mask_stream(stream: DataFrame, specs: Sequence[MaskSpec]) -> DataFrame:
@@ -25,25 +26,31 @@ def redaction_counts(stream: DataFrame, time: str, text: str, kinds: Sequence[st
     return hits.groupBy(F.window(time, window).alias("window"), "kind").agg(F.count("*").alias("findings")).select("window.start", "window.end", "kind", "findings")
 
 
-def start_masking(stream: DataFrame, table: str, specs: Sequence[MaskSpec], operation_id: str, key: str, out: str, store: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the masked stream to ``out`` and new originals to the mapping ``store``, batch by batch.
+@dataclass
+class Masking:
+    """The two queries of a masked stream: its rows, and the mapping's entries."""
 
-    A batch that is run again after a failure replaces what it wrote before, and
-    originals that the store has are not stored again.
+    rows: StreamingQuery
+    entries: StreamingQuery
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:
+        return all([q.awaitTermination(timeout) if timeout else q.awaitTermination() for q in (self.rows, self.entries)])
+
+    def stop(self) -> None:
+        self.rows.stop()
+        self.entries.stop()
+
+
+def start_masking(stream: DataFrame, table: str, specs: Sequence[MaskSpec], operation_id: str, key: str, out: str, store: str, checkpoint: str, **trigger) -> Masking:
+    """Write the masked stream to ``out`` and new originals to the mapping ``store``.
+
+    Each is a file sink of its own checkpoint, which writes every batch once.
+    Which originals the mapping has is known by a state of their hashes, dealt by
+    hash, so a batch costs what is new in it, however long the stream has run.
     """
-    spark = stream.sparkSession
-
-    def batch(df: DataFrame, number: int) -> None:
-        df = df.persist()
-        try:
-            entries = mapping.build_mapping(df, table, specs, operation_id, key)
-            earlier = [f"{store}/batch={n}" for n in range(number) if sink.exists(spark, f"{store}/batch={n}")]
-            if earlier:
-                seen = spark.read.parquet(*earlier).select("column_name", "original_value_hash", "is_null")
-                entries = entries.join(seen, ["column_name", "original_value_hash", "is_null"], "left_anti")
-            sink.staged_write(entries, f"{store}/batch={number}", mode="overwrite")
-            sink.staged_write(masked(df, specs), f"{out}/batch={number}", mode="overwrite")
-        finally:
-            df.unpersist()
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def start(df: DataFrame, path: str, name: str) -> StreamingQuery:
+        writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}")
+        return writer.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+    return Masking(start(masked(stream, specs), out, "rows"), start(mapping.build_mapping(stream, table, specs, operation_id, key), store, "entries"))
