@@ -141,8 +141,24 @@ def mask_keep_ends(value: Column, s: Column, most: int, **_) -> Column:
     return F.left(whole, F.lit(most))
 
 
+def mask_email_by_name(value: Column, s: Column, most: int, **_) -> Column:
+    """A first name of the pools, a number of 100 to 9999 and a domain."""
+    return F.left(F.concat(F.lower(pick(FIRST, s)), (div(s, len(FIRST)) % 9_900 + 100).cast("string"), F.lit("@"), pick(DOMAINS, div(s, 316_800))), F.lit(most))
+
+
+def mask_phone_any_area(value: Column, s: Column, most: int, **_) -> Column:
+    """``(aaa) eee-ssss`` of any area and exchange from 200 to 999."""
+    area, exchange = (s % 800 + 200).cast("string"), (div(s, 800) % 800 + 200).cast("string")
+    return F.left(F.concat(F.lit("("), area, F.lit(") "), exchange, F.lit("-"), (div(s, 77) % 9_000 + 1_000).cast("string")), F.lit(most))
+
+
+def mask_ssn_any_area(value: Column, s: Column, most: int, **_) -> Column:
+    """``aaa-gg-ssss`` without regard to which areas are given out."""
+    return F.left(F.concat_ws("-", (s % 900 + 100).cast("string"), (div(s, 900) % 90 + 10).cast("string"), (div(s, 81_000) % 9_000 + 1_000).cast("string")), F.lit(most))
+
+
 Masker = Callable[..., Column]
-_registry: dict[str, Masker] = {"email": mask_email, "phone": mask_phone, "ssn": mask_ssn, "generic": mask_generic, "name": mask_name, "address": mask_address, "keep_ends": mask_keep_ends}
+_registry: dict[str, Masker] = {"email": mask_email, "phone": mask_phone, "ssn": mask_ssn, "generic": mask_generic, "name": mask_name, "address": mask_address, "keep_ends": mask_keep_ends, "email_by_name": mask_email_by_name, "phone_any_area": mask_phone_any_area, "ssn_any_area": mask_ssn_any_area}
 
 
 def register_masker(kind: str, masker: Masker) -> None:

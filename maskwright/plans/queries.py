@@ -140,6 +140,10 @@ def seed_long_value(spark, sf_dir):
     return df.select("doc_id", seed_u32(F.col("text")).alias("seed"), (F.char_length("text") > 10240).alias("is_long"))
 
 
+one_mask("mask_email_by_name", "email_by_name", 255, *CUSTOMER, f"lower({sql_pick(maskers.FIRST, 's')}) || (s // {len(maskers.FIRST)} % 9900 + 100)::VARCHAR || '@' || {sql_pick(maskers.DOMAINS, 's // 316800')}")
+one_mask("mask_phone_any_area", "phone_any_area", 255, *CUSTOMER, "'(' || (s % 800 + 200)::VARCHAR || ') ' || (s // 800 % 800 + 200)::VARCHAR || '-' || (s // 77 % 9000 + 1000)::VARCHAR")
+one_mask("mask_ssn_any_area", "ssn_any_area", 255, *CUSTOMER, "(s % 900 + 100)::VARCHAR || '-' || (s // 900 % 90 + 10)::VARCHAR || '-' || (s // 81000 % 9000 + 1000)::VARCHAR")
+
 NAME_CASES = ("Dr. Jane Roe", "John Smith Jr.", "Mary-Jane Watson", "Prof. Ana Díaz-Ruiz Ph.D.", "Cher", "Sir  Ian   Holm")
 
 
