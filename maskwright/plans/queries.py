@@ -547,7 +547,7 @@ def update_composite_key(spark, sf_dir):
     return sink.update_by_key(target, target.where("turn = 0").select("conv_id", "turn", F.lit("opening").alias("role")), ["conv_id", "turn"])
 
 
-@query("update_to_null", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_name END AS s_name, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 25 ELSE s_nationkey END AS s_nationkey FROM supplier")
+@query("update_to_null", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_name END AS s_name, CASE WHEN s_suppkey % 4 = 0 THEN (s_suppkey % 25)::INTEGER ELSE s_nationkey END AS s_nationkey FROM supplier")
 def update_to_null(spark, sf_dir):
     target = read(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     kind = target.schema["s_nationkey"].dataType
