@@ -27,7 +27,7 @@ _shipped: set[str] = set()
 
 
 #: Rows and bytes of documents that go to a Python worker at once, in place of Spark's own defaults; 10,000 rows of long texts would take much memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(16 << 20))}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(8 << 20))}
 
 
 def ship(spark: SparkSession) -> None:

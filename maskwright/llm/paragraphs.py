@@ -49,6 +49,8 @@ PAIRED = 64
 FINISHED = 4_000_000
 #: Words of documents brought together at once.
 BLOCK_WORDS = 1 << 17
+#: Words whose hashes a worker remembers, at most.
+REMEMBERED = 100_000
 MIX, SEED = np.uint64(0x9E3779B97F4A7C15), 7
 
 
@@ -150,7 +152,7 @@ def described(docs: DataFrame) -> DataFrame:
                 if size >= BLOCK_WORDS or i == len(texts) - 1:
                     yield describe(ids.slice(first, len(block)), block, known)
                     block, first, size = [], i + 1, 0
-                    if len(known) > 1_000_000:
+                    if len(known) > REMEMBERED:
                         known.clear()
 
     def describe(ids: pa.Array, block: list[list[list[bytes]]], known: _Words) -> pa.RecordBatch:

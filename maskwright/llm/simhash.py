@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import components, keyed_join, staged
-from maskwright.llm.paragraphs import MIX, SIMILARITY, WIDTH, _mixed, shingles, similar, tune
+from maskwright.llm.paragraphs import MIX, REMEMBERED, SIMILARITY, WIDTH, _mixed, shingles, similar, tune
 
 BITS = 64
 SEED = 42
@@ -277,7 +277,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     if w not in known:
                         known[w] = xxhash.xxh3_64_intdigest(w)
                 values.append(band_values(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
-                if len(known) > 1_000_000:
+                if len(known) > REMEMBERED:
                     known.clear()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "h", "bands"])
 

@@ -126,7 +126,7 @@ def firings(texts: pd.Series, voters: list[str]) -> np.ndarray:
         for w in set(words(text)):
             if (ids := known.get(w)) is None:
                 ids = tuple(at[t] for t in terms(w) if t in at)
-                if len(known) < 500_000:
+                if len(known) < 100_000:
                     known[w] = ids
             hit.update(ids)
         out[row, list(hit)] = 1
@@ -257,7 +257,7 @@ class Classifier:
             for w in set(words(text)):
                 if (ts := known.get(w)) is None:
                     ts = tuple(t for t in terms(w) if t in weights)
-                    if len(known) < 500_000:
+                    if len(known) < 100_000:
                         known[w] = ts
                 if ts:
                     found.update(ts)
@@ -334,15 +334,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     return fit_classifier(features, target, 1 + (TOXIC_WEIGHT - 1) * target, names)
 
 
-def scored(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` with column score; empty and null texts have the score of no words."""
+def scored(docs: DataFrame, model: Classifier, column: str = "score") -> DataFrame:
+    """``docs`` with a column of scores; empty and null texts have the score of no words."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.scores(texts))
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(column, score("text"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -355,4 +355,5 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pipeline stage: documents that score THRESHOLD or more go; the rest stays, columns as they are, whatever their names."""
     model = learn(docs.select("doc_id", "text"), labels)
-    return scored(docs.select(F.struct(*docs.columns).alias("row"), "text"), model).where(F.col("score") < THRESHOLD).select("row.*")
+    own = "score" + "_" * max(map(len, docs.columns))  # longer than any name there is
+    return scored(docs, model, own).where(F.col(own) < THRESHOLD).drop(own)
