@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import components, keyed_join, staged
-from maskwright.llm.paragraphs import MIX, REMEMBERED, SIMILARITY, WIDTH, _mixed, shingles, similar, tune
+from maskwright.llm.paragraphs import MIX, REMEMBERED, SIMILARITY, WIDTH, _mixed, outlines, shingles, similar, tune
 
 BITS = 64
 SEED = 42
@@ -43,6 +43,8 @@ SEED = 42
 GROUP = 48
 #: Shingles hashed at once, which bounds memory on very long texts.
 SLAB = 1 << 16
+#: Bits of the outline of a whole document.
+OUTLINE = 2048
 #: The chance that the pipeline's stage misses a pair of just SIMILARITY, its MinHash bands, and their hashes.
 MISSED = 1e-5
 BANDS, ROWS = tune(SIMILARITY, MISSED)
@@ -307,7 +309,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = staged(keyed_join(values, staged(met, "met"), "key"), "candidates")
     wanted = staged(members.select("id").distinct().join(classes.select("id", "doc_id"), "id"), "wanted")
     texts = staged(keyed_join(docs, wanted, "doc_id").select("id", F.col("text").alias("paragraph")), "texts")
-    roots = components(similar(members, texts)).withColumnsRenamed({"node": "id"})
+    outlined = staged(keyed_join(members, staged(outlines(texts, OUTLINE), "outlines"), "id"), "outlined")
+    roots = components(similar(outlined, texts, bits=OUTLINE)).withColumnsRenamed({"node": "id"})
     rooted = classes.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
     return rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 

@@ -95,3 +95,27 @@ def test_clean_and_empty_and_missing(spark, make_docs):
     docs = make_docs([(1, same + "\nshort"), (2, "x\n" + same), (None, same)])
     out = {r["doc_id"]: r["text"] for r in P.without_repeats(docs).collect()}
     assert out == {1: same + "\nshort", 2: "x", None: same}
+
+
+def test_groups_verify_in_proportion_to_their_members(spark, monkeypatch):
+    """A crowd of near copies, and one of paragraphs that share a passage but are not similar, bring few pairs, and lose no link."""
+    rng = random.Random(12)
+    whole, passage = paragraph(rng, 80), paragraph(rng, 60)
+    texts = [" ".join(edited(rng, whole, rng.randint(0, 1))) for _ in range(300)] + [" ".join(paragraph(rng, rng.randint(15, 40)) + passage) for _ in range(300)]
+    near = [" ".join(edited(rng, texts[-1].split(), 1)) for _ in range(2)]
+    texts = list(dict.fromkeys(texts + near))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, paragraph string")
+    members = rows.selectExpr("id", "explode(array(1L, 2L)) as key").join(P.outlines(rows), "id")
+    asked, checked = [], P.verified
+    monkeypatch.setattr(P, "verified", lambda pairs, of: checked(asked.append(pairs.count()) or pairs, of))
+    roots = list(range(len(texts)))
+    for r in P.similar(members, rows).collect():
+        old, new = max(roots[r["a"]], roots[r["b"]]), min(roots[r["a"]], roots[r["b"]])
+        roots = [new if q == old else q for q in roots]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if want[i] != want[j] and P.jaccard(texts[i], texts[j]) >= P.SIMILARITY:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if q == old else q for q in want]
+    assert roots == want and len(set(want)) < 310 and sum(asked) < 8 * len(texts)
