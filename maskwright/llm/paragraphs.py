@@ -22,7 +22,7 @@ winnowing selects in both, so shared selected shingles find all such passages.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,12 +228,17 @@ def outlines(texts: DataFrame, bits: int = OUTLINE) -> DataFrame:
     return texts.select("id", "paragraph").mapInArrow(run, "id bigint, size int, outline binary")
 
 
-def _differing(sizes: np.ndarray, marks: np.ndarray, rows: np.ndarray, columns: np.ndarray, similarity: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of members (rows, columns) by how much they differ at least, as a share of what similar ones may, and the same by sizes alone."""
-    a, b = sizes[rows][:, None], sizes[columns][None, :]
-    may = (1 - similarity) / (1 + similarity) * (a + b) + 1e-6
-    apart = np.bitwise_count(marks[rows][:, None, :] ^ marks[columns][None, :, :]).sum(axis=2, dtype=np.int32)
-    return np.maximum(apart / (may if most is None else most), np.abs(a - b) / may)
+def _apart(marks: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """In how many bits the members of rows differ from those of columns."""
+    out = np.zeros((len(rows), len(columns)), np.uint16)
+    for word in range(marks.shape[1]):
+        out += np.bitwise_count(marks[rows, word][:, None] ^ marks[columns, word][None, :])
+    return out
+
+
+def _room(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many shingles similar members may differ."""
+    return (1 - similarity) / (1 + similarity) * (sizes[a] + sizes[b]) + 1e-6
 
 
 def passing(sizes: np.ndarray, marks: np.ndarray, similarity: float, most: int | None, apart: np.ndarray | None = None, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray] | None:
@@ -244,38 +249,41 @@ def passing(sizes: np.ndarray, marks: np.ndarray, similarity: float, most: int |
         _, own, counts = np.unique(apart[0], return_inverse=True, return_counts=True)
         order = np.argsort(counts[own] * len(counts) + own, kind="stable")
         heads = n - counts.max()
-        two = apart[1].min() != apart[1].max()
-    left, right, found = [], [], 0
-    at = 0
+    top = _room(sizes, np.argmax(sizes), np.argmax(sizes), similarity) if most is None else most
+    left, right, found, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0, 0
     while at < heads:
-        step = max(1, (1 << 18) // ((n - at) * marks.shape[1]))
+        step = max(1, (1 << 17) // (n - at))
         rows, columns = order[at : min(at + step, heads)], order[at:]
-        ok = _differing(sizes, marks, rows, columns, similarity, most) <= 1
-        ok &= np.arange(len(columns))[None, :] > np.arange(len(rows))[:, None]
+        i, j = np.nonzero(_apart(marks, rows, columns) <= top)
+        later = j > i
+        x, y = rows[i[later]], columns[j[later]]
+        room = _room(sizes, x, y, similarity)
+        ok = np.abs(sizes[x] - sizes[y]) <= room
+        if most is None:
+            ok &= np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1) <= room
         if apart is not None:
-            ok &= apart[0][rows][:, None] != apart[0][columns][None, :]
-            if two:
-                ok &= apart[1][rows][:, None] != apart[1][columns][None, :]
-        i, j = np.nonzero(ok)
-        left.append(rows[i])
-        right.append(columns[j])
-        found += len(i)
+            ok &= apart[0][x] != apart[0][y]
+            if apart[1].min() != apart[1].max():
+                ok &= apart[1][x] != apart[1][y]
+        left.append(x[ok])
+        right.append(y[ok])
+        found += len(left[-1])
         if found > limit:
             return None
         at += step
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def led(sizes: np.ndarray, marks: np.ndarray, similarity: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Places (leader, member): each member once at most, about the first leader that it is close to."""
-    close = CLOSE if most is None else CLOSE_BITS
     rest, left, right = np.arange(len(sizes)), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     while len(rest) > 1:
-        near = _differing(sizes, marks, rest[:1], rest[1:], similarity, most)[0] <= close
-        right.append(rest[1:][near])
-        left.append(np.full(len(right[-1]), rest[0]))
-        rest = rest[1:][~near]
+        first, others = rest[:1], rest[1:]
+        room, apart = _room(sizes, first, others, similarity), _apart(marks, first, others)[0]
+        near = (np.abs(sizes[first] - sizes[others]) <= CLOSE * room) & (apart <= (CLOSE * room if most is None else CLOSE_BITS * most))
+        right.append(others[near])
+        left.append(np.full(len(right[-1]), first[0]))
+        rest = others[~near]
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -313,11 +321,12 @@ def _pairs(parts: Iterator[tuple[int | None, np.ndarray, np.ndarray]]) -> Iterat
     yield batch()
 
 
-def similar(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, most: int | None = None, bits: int = OUTLINE) -> DataFrame:
-    """Edges ``(a, b)`` that join just what the similar pairs within the groups of ``members(key, id, size, outline)``, a staged table, join.
+def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, most: int | None = None, bits: int = OUTLINE) -> DataFrame:
+    """Edges ``(a, b)`` that join just what the similar pairs within the groups of ``members(key, id, size, outline)`` join.
 
-    The outlines are those of :func:`outlines`; or others, of which similar
-    members differ in ``most`` bits at most.
+    ``texts`` gives ``id, paragraph`` of a staged table of ids.  The outlines are
+    those of :func:`outlines`; or others, of which similar members differ in
+    ``most`` bits at most.
     """
     paired, side = PAIRED, int(FINISHED**0.5)
     far = 1 - similarity + 1e-12
@@ -344,7 +353,8 @@ def similar(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
 
     def checked(pairs: DataFrame) -> DataFrame:
         once = staged(pairs.where("a is not null").select("a", "b").distinct(), "pairs")
-        return staged(verified(once, texts).where(F.col("distance") <= far).select("a", "b"), "verified")
+        ids = staged(once.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        return staged(verified(once, staged(texts(ids), "texts")).where(F.col("distance") <= far).select("a", "b"), "verified")
 
     kind, schema = ["id", "size", "outline"], "again bigint, a bigint, b bigint"
     large = staged(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > side).select("key", F.ceil(F.col("n") / side).alias("chunks")), "large")
@@ -360,8 +370,7 @@ def similar(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
     crowded = staged(keyed_join(members.select("key", "id"), again, "key"), "crowded")
     roots = components(links).withColumnsRenamed({"node": "id"})
     stars = roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))  # join what the links do, and are fewer
-    known = texts.join(crowded.select("id").distinct(), "id", "left_semi")
-    traits = staged(outlines(known, bits).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "traits")
+    traits = staged(outlines(texts(staged(crowded.select("id").distinct(), "ids")), bits).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "traits")
     rated = keyed_join(keyed_join(crowded, traits, "id"), large, "key", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)))
     open_keys = staged(rated.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "open")
     others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)).cast("int") - 1)).alias("other")
@@ -384,7 +393,7 @@ def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:
     cut = docs.select("doc_id", "text").join(by_doc, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     texts = staged(cut.select(F.col("w.id").alias("id"), F.get("lines", F.col("w.line")).alias("paragraph")).dropDuplicates(["id"]), "paragraphs")
     outlined = staged(keyed_join(members, staged(outlines(texts), "outlines"), "id"), "outlined")
-    roots = components(similar(outlined, texts)).withColumnsRenamed({"node": "id"})
+    roots = components(similar(outlined, lambda ids: keyed_join(texts, ids, "id"))).withColumnsRenamed({"node": "id"})
     rooted = staged(classes.join(roots, "id", "left").select("h", "n", "doc_id", "line", F.coalesce("root", "id").alias("root")), "rooted")
     whole = rooted.groupBy("root").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "line")).alias("keep")).where("n > 1")
     return keyed_join(rooted, staged(whole.select("root", "keep"), "whole"), "root").select("h", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"))

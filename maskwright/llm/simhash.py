@@ -17,8 +17,12 @@ dealt to all values that near, 65 for two bits, as many fingerprints meet at any
 of them at most, and all that meet one of the closer ones are linked to it.
 Nothing is capped or dropped, whatever the threshold; its cost grows with it.
 
-All that is op8's.  The pipeline's stage, :func:`keep_one`, owes an exact Jaccard
-similarity, and takes its candidates and links from :mod:`paragraphs`.
+All that is op8's.  The pipeline's stage, :func:`keep_one`, owes a similarity of
+0.8 by five-word shingles.  Such texts differ in about 15 of 100 bits, too many
+for thresholds that find all within a number of bits, so its fingerprints have as
+many bits as it takes: they are cut into partitions of few bits and a threshold
+of none, so many that similar texts differ in all of them with a chance below
+MISSED.  Texts that meet are held together on 128 bits, and then on their words.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import components, keyed_join, staged
-from maskwright.llm.paragraphs import MIX, REMEMBERED, SIMILARITY, WIDTH, _mixed, outlines, shingles, similar, tune
+from maskwright.llm.paragraphs import REMEMBERED, SIMILARITY, _mixed, shingles, similar, tune
 
 BITS = 64
 SEED = 42
@@ -43,14 +47,16 @@ SEED = 42
 GROUP = 48
 #: Shingles hashed at once, which bounds memory on very long texts.
 SLAB = 1 << 16
+#: The pipeline's stage: the chance that it misses a pair of just SIMILARITY, and the chance that such texts differ in a bit: 0.152 for many shingles, more for few, by all ways to part them.
+MISSED, DIFFER = 1e-5, 0.1612
+#: MinHash bands and rows of the same chance, to compare with; the stage does not use them.
+BANDS, ROWS = tune(SIMILARITY, MISSED)
+#: Texts of so many shingles and fewer, of which five and four differ in more bits (0.1875), meet at each shingle besides.
+FEW = 5
+#: Documents that meet in a value by chance, about; bits on which they are held together, and so many that similar ones differ in more with a chance below 1e-5.
+BY_CHANCE, HELD, MOST = 256, 128, 40
 #: Bits of the outline of a whole document.
 OUTLINE = 2048
-#: The chance that the pipeline's stage misses a pair of just SIMILARITY, its MinHash bands, and their hashes.
-MISSED = 1e-5
-BANDS, ROWS = tune(SIMILARITY, MISSED)
-_rng = np.random.default_rng(SEED)
-FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADDENDS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -261,57 +267,79 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 # --- the pipeline's stage -----------------------------------------------------------
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs(doc_id, text)`` as doc_id, the digest of its words and the band values of its five-word shingles; a text of fewer words has none."""
+def cuts(documents: int) -> tuple[int, int]:
+    """Partitions and bits of each, so many that BY_CHANCE of so many documents meet in a value."""
+    bits = min(24, max(6, (documents // BY_CHANCE).bit_length()))
+    parts = 1
+    while (1 - (1 - DIFFER) ** bits) ** parts >= MISSED:
+        parts += 1
+    return parts, bits
+
+
+@lru_cache(maxsize=8)
+def _factors(words: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return rng.integers(1, 2**63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, words, dtype=np.uint64)
+
+
+def wide_bits(every: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of a text's different shingles, 64 bits a word, as an array of bits: each is set if it is set in over half of the shingles' hashes."""
+    (factors, addends), sums = _factors(words), np.zeros(64 * words, np.int64)
+    for at in range(0, len(every), 255):  # as many as a byte counts
+        rows = _mixed(every[at : at + 255, None] * factors + addends)
+        sums += np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return sums * 2 > len(every)
+
+
+def _signed(docs: DataFrame, parts: int, bits: int) -> DataFrame:
+    """Each row of ``docs(doc_id, text)`` as doc_id, the digest of its words, how many five-word shingles it has, HELD bits of its fingerprint, its partitions' values, and its shingles if they are few; a text of fewer words has no values."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    words_of = -(-max(parts * bits, HELD) // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
+        powers, numbers = 1 << np.arange(bits, dtype=np.int64), np.arange(parts, dtype=np.int64) << bits
         for batch in batches:
-            digests, values = [], []
+            digests, sizes, held, values, few = [], [], [], [], []
             for text in batch.column("text"):
                 words = (text.as_py() or "").encode().lower().split()
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                if len(words) < WIDTH:
-                    values.append([])
-                    continue
                 for w in words:
                     if w not in known:
                         known[w] = xxhash.xxh3_64_intdigest(w)
-                values.append(band_values(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
+                every = np.unique(shingles(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
+                found = wide_bits(every, words_of)
+                sizes.append(len(every))
+                held.append(np.packbits(found[:HELD]).tobytes())
+                values.append(found[: parts * bits].reshape(parts, bits) @ powers + numbers if len(every) else [])
+                few.append(every.view(np.int64) if len(every) <= FEW else [])
                 if len(known) > REMEMBERED:
                     known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "h", "bands"])
-
-    return docs.mapInArrow(run, f"doc_id {kind}, h binary, bands array<bigint>")
-
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(held, pa.binary()), pa.array(values, lists), pa.array(few, lists)], ["doc_id", "h", "size", "outline", "keys", "few"])
 
-def band_values(hashes: np.ndarray) -> np.ndarray:
-    """The band values of a text's word hashes, WIDTH or more."""
-    every = np.unique(shingles(hashes))
-    least = np.array([(every * f + a).min() for f, a in zip(FACTORS, ADDENDS, strict=True)], np.uint64).reshape(BANDS, ROWS)
-    out = np.zeros(BANDS, np.uint64)
-    for row in range(ROWS):
-        out = out * MIX + least[:, row]
-    return _mixed(out + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return docs.mapInArrow(run, f"doc_id {kind}, h binary, size int, outline binary, keys array<bigint>, few array<bigint>")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """The least doc_id of each component of ``docs(doc_id, text)``, one row a document: linked are texts of equal words and those whose five-word shingles have an exact Jaccard similarity of SIMILARITY or more.
 
-    Such pairs differ by too many fingerprint bits for thresholds that part
-    anything, so candidates come from MinHash bands, which miss a pair of just
-    SIMILARITY with a chance below MISSED, and each is verified on its words.
+    Candidates agree in a partition of their fingerprints and differ in MOST of
+    HELD bits at most; partitions miss a pair of just SIMILARITY with a chance
+    below MISSED.  Each is verified on its words.
     """
-    classes = staged(_signed(docs).groupBy("h").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("first.*").withColumn("id", F.monotonically_increasing_id()), "classes")
-    values = classes.select("id", F.explode("bands").alias("key"))
-    met = values.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = staged(keyed_join(values, staged(met, "met"), "key"), "candidates")
-    wanted = staged(members.select("id").distinct().join(classes.select("id", "doc_id"), "id"), "wanted")
-    texts = staged(keyed_join(docs, wanted, "doc_id").select("id", F.col("text").alias("paragraph")), "texts")
-    outlined = staged(keyed_join(members, staged(outlines(texts, OUTLINE), "outlines"), "id"), "outlined")
-    roots = components(similar(outlined, texts, bits=OUTLINE)).withColumnsRenamed({"node": "id"})
-    rooted = classes.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
+    columns = ["doc_id", "size", "outline", "keys", "few"]
+    classes = _signed(docs, *cuts(docs.count())).groupBy("h").agg(F.min(F.struct(*columns)).alias("first")).select("first.*")
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    members = classes.select(F.explode("keys").alias("key"), "id", "size", "outline")
+    by_shingle = classes.select(F.explode("few").alias("key"), "id", "size", F.lit(bytes(HELD // 8)).alias("outline"))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = staged(keyed_join(classes.select("id", "doc_id"), ids, "id"), "wanted")
+        return keyed_join(docs, wanted, "doc_id").select("id", F.col("text").alias("paragraph"))
+
+    roots = components(similar(members.unionByName(by_shingle), texts, most=MOST, bits=OUTLINE)).withColumnsRenamed({"node": "id"})
+    rooted = classes.select("id", "doc_id").join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
     return rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 

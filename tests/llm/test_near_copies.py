@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from maskwright.llm import paragraphs as P
 from maskwright.llm import simhash as S
 from tests.llm.test_paragraphs import edited, paragraph
@@ -39,3 +41,32 @@ def test_stage_against_brute_force_jaccard(spark, make_docs, odd):
 
 def test_bands_miss_few():
     assert (1 - P.SIMILARITY**S.ROWS) ** S.BANDS < S.MISSED
+
+
+def test_partitions_of_the_fingerprint_miss_few():
+    """Candidates come from SimHash: texts of just 0.8 differ in no more bits than the partitions are made for, and the bits are plain majorities."""
+    rng = np.random.default_rng(3)
+    for documents in (0, 10_000, 3_000_000):
+        parts, bits = S.cuts(documents)
+        assert (1 - (1 - S.DIFFER) ** bits) ** parts < S.MISSED
+    apart = []
+    for n in (10, 90, 900):
+        for _ in range(40):
+            every = rng.integers(0, 2**63, n + n // 10 * 2, dtype=np.uint64)
+            a, b = (S.wide_bits(x, 20) for x in (every[: n + n // 10], every[n // 10 * 2 - n // 10 :]))
+            apart.append((a != b).mean())
+    assert abs(np.mean(apart) - 0.15) < 0.02 and S.MOST > S.HELD * max(S.DIFFER, np.mean(apart))
+    few = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    factors, addends = S._factors(2)
+    want = [sum(int(h) >> k & 1 for h in S._mixed(few * factors[w] + addends[w])) * 2 > len(few) for w in range(2) for k in range(64)]
+    assert S.wide_bits(few, 2).tolist() == want
+
+
+def test_short_texts_meet_at_their_shingles(spark, make_docs):
+    """Of eight and nine words, which differ in more bits than others, none is missed."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(300):
+        ws = paragraph(rng, 8)
+        texts += [" ".join(ws), " ".join([*ws, "more"])]
+    assert {r["doc_id"] for r in S.keep_one(make_docs(texts)).collect()} == set(range(0, 600, 2))

@@ -109,7 +109,7 @@ def test_groups_verify_in_proportion_to_their_members(spark, monkeypatch):
     asked, checked = [], P.verified
     monkeypatch.setattr(P, "verified", lambda pairs, of: checked(asked.append(pairs.count()) or pairs, of))
     roots = list(range(len(texts)))
-    for r in P.similar(members, rows).collect():
+    for r in P.similar(members, lambda ids: rows.join(ids, "id")).collect():
         old, new = max(roots[r["a"]], roots[r["b"]]), min(roots[r["a"]], roots[r["b"]])
         roots = [new if q == old else q for q in roots]
     want = list(range(len(texts)))
