@@ -120,6 +120,15 @@ def test_sample_keeps_both_classes(spark, monkeypatch):
     assert {r["blocked"]: (r["n"], round(r["w"], 6)) for r in got} == {1: (30, 2.4), 0: (50, 77.6)}
 
 
+def test_all_labelled_rows_are_learnt_from(spark):
+    """Shares, suffix statistics and trees count every row, also where there are more than a sample has."""
+    rows = spark.createDataFrame([(f"http://h{i}.x{i % 3}/{'en' if i % 5 else 'de'}/{i}", int(i % 4 == 0)) for i in range(600)], "url string, blocked int")
+    model = urls.train(rows)
+    assert model.share == 0.25 and {r["s_rows"] for r in model.suffixes.collect()} == {1} and model.suffixes.count() == 600
+    many = spark.range(25_000).selectExpr("concat('http://a/', id) as url", "cast(id % 50 = 0 as int) as blocked")
+    assert urls.labelled_rows(many).count() == 25_000 > urls.SAMPLE and urls.labelled_rows(rows, 40).count() == 40
+
+
 def test_query_against_sql(spark, data):
     """Host, path and rule of every page as in SQL, and its verdict where a rule has one."""
     c = duckdb.connect()
