@@ -10,9 +10,10 @@ Members of a band value are not paired out.  Each carries an outline, the
 parities of its shingles' counts by hash, and two outlines differ in no more bits
 than their sets of shingles do in elements; so outlines and sizes tell exactly,
 without the texts, that most members cannot be similar, and only pairs that pass
-are verified.  Where very many pass, a value's members first gather about a few
-leaders; those that are found similar are one component from then on, and only
-pairs across components are compared again.  A value of any size is dealt out in
+are verified.  Where very many pass, a value's members gather about a few leaders,
+and only pairs across those are verified besides.  If a member turns out not to be
+like its leader, or there are too many such pairs, all pairs across the components
+found so far are compared once more.  A value of any size is dealt out in
 chunks.  No link that decides a component is lost.
 
 A passage may also stand inside paragraphs that differ otherwise.  Every run of
@@ -300,20 +301,19 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 
 def _pairs(parts: Iterator[tuple[int | None, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Batches of ``again, a, b``; a key to go through again is a row of its own."""
+    """Batches of ``again, a, b``: pairs, the smaller id first, with a key or none; a key without pairs is a row of its own."""
     again, a, b, n = [], [], [], 0
 
     def batch() -> pa.RecordBatch:
-        keys, x, y = pa.array(again, pa.int64()), np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
-        none = pa.nulls(len(keys), pa.int64())
-        pairs = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([keys, pa.nulls(len(x), pa.int64())]), *(pa.concat_arrays([none, p]) for p in pairs)], ["again", "a", "b"])
+        if not a:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["again", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in (again, a, b)], ["again", "a", "b"])
 
     for key, x, y in parts:
-        if key is not None:
-            again.append(key)
-        a.append(x)
-        b.append(y)
+        alone = key is not None and not len(x)
+        again.append(pa.array([key] * (len(x) or alone), pa.int64()))
+        a.append(pa.nulls(1, pa.int64()) if alone else pa.array(np.minimum(x, y), pa.int64()))
+        b.append(pa.nulls(1, pa.int64()) if alone else pa.array(np.maximum(x, y), pa.int64()))
         n += len(x)
         if n > 1 << 16 or len(a) > 1 << 14:
             yield batch()
@@ -336,10 +336,18 @@ def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
             for i, batch, m in _groups(batches):
                 order = np.argsort(m["id"])  # so that groups of much the same members have the same leaders
                 ids, sizes, marks = m["id"][order], m["size"][order].astype(np.int64), m["outline"][order]
-                found = passing(sizes, marks, similarity, most, limit=paired * len(ids) / 32)
-                whole = found is not None and not batch.column("dealt")[i].as_py()
-                x, y = found or led(sizes, marks, similarity, most)
-                yield None if whole else batch.column("key")[i].as_py(), ids[x], ids[y]
+                key, limit, none = batch.column("key")[i].as_py(), paired * len(ids) / 32, ids[:0]
+                found = passing(sizes, marks, similarity, most, limit=limit)
+                if found is None:  # about leaders; if those are like their members, only pairs across are left
+                    x, y = led(sizes, marks, similarity, most)
+                    yield key, ids[x], ids[y]
+                    about = np.arange(len(ids))
+                    about[y] = x
+                    found = passing(sizes, marks, similarity, most, np.stack([about, about * 0]), limit)
+                if found is None or batch.column("dealt")[i].as_py():
+                    yield key, none, none
+                if found is not None:
+                    yield None, ids[found[0]], ids[found[1]]
 
         yield from _pairs(parts())
 
@@ -364,7 +372,10 @@ def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
     met = staged(groups.where((F.size("m") > 1) | F.col("dealt")).mapInArrow(first, schema), "met")
     links = checked(met)
 
-    again = staged(met.where("again is not null").select(F.col("again").alias("key")).distinct(), "again")
+    # keys that are not done: with too many pairs across, or a member that is not like its leader
+    keys = met.where("again is not null")
+    unlike = keys.where("a is not null").join(links, ["a", "b"], "left_anti")
+    again = staged(keys.where("a is null").unionByName(unlike.select(*keys.columns)).select(F.col("again").alias("key")).distinct(), "again")
     if again.isEmpty():
         return links
     crowded = staged(keyed_join(members.select("key", "id"), again, "key"), "crowded")

@@ -355,6 +355,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         marked = keyed_join(one.select(F.struct(*docs.columns).alias("row"), "doc_id"), repeated, "doc_id", "left")
         some = marked.where("again").select("row.*").dropDuplicates(["doc_id"])
         one = staged(marked.where("again is null").select("row.*").unionByName(some), "once")
-    stay = staged(near_copies(one.select("doc_id", "text")).withColumn("stays", F.lit(True)), "stay")
-    kept = keyed_join(one.select(F.struct(*docs.columns).alias("row"), "doc_id"), stay, "doc_id", "left").where("stays").select("row.*")
+    stay = staged(near_copies(one.select("doc_id", "text")), "stay")
+    gone = staged(one.select("doc_id").join(stay, "doc_id", "left_anti").withColumn("gone", F.lit(True)), "gone")  # fewer than those that stay
+    kept = keyed_join(one.select(F.struct(*docs.columns).alias("row"), "doc_id"), gone, "doc_id", "left").where("gone is null").select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))
