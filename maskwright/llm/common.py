@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -84,13 +85,15 @@ def live_paths(spark: SparkSession) -> list[str]:
 
 
 def discard(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Remove staged tables that no result needs any more."""
+    """Remove staged tables that no result needs any more, and the shuffle files of what was computed for them: Spark does that itself, but only after a collection of garbage."""
     live = _live.get(spark.sparkContext.applicationId, [])
     for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
         if path in live:
             live.remove(path)
+    gc.collect()  # Python's handles of plans go first
+    spark._jvm.System.gc()
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

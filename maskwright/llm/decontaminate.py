@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import keyed_join, small, staged
+from maskwright.llm.common import discard, keyed_join, live_paths, small, staged
 
 #: Characters that part words, once A-Z are lower-cased.
 PARTING = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -190,7 +190,9 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: documents with a hit go; the rest stays, columns as they are, whatever their names."""
+    before = live_paths(docs.sparkSession)
     bad = staged(contamination(docs.select("doc_id", "text"), benchmark).where("contaminated").select(*DOCUMENT).distinct().withColumn("bad", F.lit(True)), "bad")
+    discard(docs.sparkSession, [p for p in live_paths(docs.sparkSession) if p not in before][:-1])  # the last one is bad
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *_document(docs)[1:])
     return keyed_join(keyed, bad, DOCUMENT, "left").where("bad is null").select("row.*")
 

@@ -13,8 +13,8 @@ without the texts, that most members cannot be similar, and only pairs that pass
 are verified.  Where very many pass, a value's members gather about a few leaders,
 and only pairs across those are verified besides.  If a member turns out not to be
 like its leader, or there are too many such pairs, all pairs across the components
-found so far are compared once more.  A value of any size is dealt out in
-chunks.  No link that decides a component is lost.
+found so far are compared once more, but for members that may be similar to none.
+A value of any size is dealt out in chunks.  No link that decides a component is lost.
 
 A passage may also stand inside paragraphs that differ otherwise.  Every run of
 PASSAGE words that two documents share has a shingle of SHINGLE words that
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import components, keyed_join, staged
+from maskwright.llm.common import components, keyed_join, small, staged
 
 MIN_WORDS, WIDTH, SIMILARITY = 20, 5, 0.8
 #: Passages of so many words that repeat are found for certain, by shingles of SHINGLE words.
@@ -210,6 +210,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint, distance double")
 
 
+def outline(found: np.ndarray, bits: int) -> bytes:
+    """For each of ``bits`` values of the different shingles ``found`` the parity of how many fall on it."""
+    return np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
 def outlines(texts: DataFrame, bits: int = OUTLINE) -> DataFrame:
     """``id, size, outline`` of ``texts(id, paragraph)``: how many different shingles, and for each of ``bits`` values of their hashes the parity of how many fall on it."""
 
@@ -221,7 +226,7 @@ def outlines(texts: DataFrame, bits: int = OUTLINE) -> DataFrame:
                 words = (text.as_py() or "").encode().lower().split()
                 found = np.unique(shingles(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
                 sizes.append(len(found))
-                rows.append(np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes())
+                rows.append(outline(found, bits))
                 if len(known) > REMEMBERED:
                     known.clear()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())], ["id", "size", "outline"])
@@ -288,6 +293,19 @@ def led(sizes: np.ndarray, marks: np.ndarray, similarity: float, most: int | Non
     return np.concatenate(left), np.concatenate(right)
 
 
+def touching(sizes: np.ndarray, marks: np.ndarray, similarity: float, most: int | None) -> np.ndarray:
+    """Whether each member may be similar to any other."""
+    every, out = np.arange(len(sizes)), np.zeros(len(sizes), bool)
+    step = max(1, (1 << 17) // max(1, len(sizes)))
+    for at in range(0, len(sizes), step):
+        rows = every[at : at + step]
+        room = _room(sizes, rows[:, None], every[None, :], similarity)
+        near = (np.abs(sizes[rows][:, None] - sizes[None, :]) <= room) & (_apart(marks, rows, every) <= (room if most is None else most))
+        near[rows - at, rows] = False
+        out[rows] = near.any(axis=1)
+    return out
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, dict[str, np.ndarray]]]:
     """Each row of grouped members: its place in its batch, the batch, and the members' columns as arrays."""
     for batch in batches:
@@ -300,8 +318,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             yield i, batch, {name: values[start:end] for name, values in columns.items()}
 
 
-def _pairs(parts: Iterator[tuple[int | None, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Batches of ``again, a, b``: pairs, the smaller id first, with a key or none; a key without pairs is a row of its own."""
+def _pairs(parts: Iterator[tuple[int | None, np.ndarray, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``again, a, b``: pairs, the smaller id first, with a key or none; a key's members (no second ids) without b; a key without pairs is a row of its own."""
     again, a, b, n = [], [], [], 0
 
     def batch() -> pa.RecordBatch:
@@ -310,6 +328,12 @@ def _pairs(parts: Iterator[tuple[int | None, np.ndarray, np.ndarray]]) -> Iterat
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in (again, a, b)], ["again", "a", "b"])
 
     for key, x, y in parts:
+        if y is None:
+            again.append(pa.array([key] * len(x), pa.int64()))
+            a.append(pa.array(x, pa.int64()))
+            b.append(pa.nulls(len(x), pa.int64()))
+            n += len(x)
+            continue
         alone = key is not None and not len(x)
         again.append(pa.array([key] * (len(x) or alone), pa.int64()))
         a.append(pa.nulls(1, pa.int64()) if alone else pa.array(np.minimum(x, y), pa.int64()))
@@ -321,12 +345,29 @@ def _pairs(parts: Iterator[tuple[int | None, np.ndarray, np.ndarray]]) -> Iterat
     yield batch()
 
 
-def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, most: int | None = None, bits: int = OUTLINE) -> DataFrame:
+def sieved(pairs: DataFrame, traits: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` that sizes and outlines in the staged ``traits(id, size, outline)`` do not rule out."""
+    both = keyed_join(keyed_join(pairs, traits.toDF("a", "m", "left"), "a"), traits.toDF("b", "n", "right"), "b").select("a", "b", "m", "n", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("m", "n"))
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(m), -1) for c in ("left", "right"))
+                room = (1 - similarity) / (1 + similarity) * (m + n) + 1e-6
+                ok = pa.array((np.abs(m - n) <= room) & (np.bitwise_count(left ^ right).sum(axis=1) <= room))
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, most: int | None = None, traits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges ``(a, b)`` that join just what the similar pairs within the groups of ``members(key, id, size, outline)`` join.
 
     ``texts`` gives ``id, paragraph`` of a staged table of ids.  The outlines are
     those of :func:`outlines`; or others, of which similar members differ in
-    ``most`` bits at most.
+    ``most`` bits at most, and then ``traits`` gives those of :func:`outlines` for
+    a staged table of ids.
     """
     paired, side = PAIRED, int(FINISHED**0.5)
     far = 1 - similarity + 1e-12
@@ -344,6 +385,9 @@ def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
                     about = np.arange(len(ids))
                     about[y] = x
                     found = passing(sizes, marks, similarity, most, np.stack([about, about * 0]), limit)
+                    yield key, ids if batch.column("dealt")[i].as_py() else ids[touching(sizes, marks, similarity, most)], None
+                elif batch.column("dealt")[i].as_py():
+                    yield key, ids, None
                 if found is None or batch.column("dealt")[i].as_py():
                     yield key, none, none
                 if found is not None:
@@ -359,9 +403,14 @@ def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
 
         yield from _pairs(parts())
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        once = staged(pairs.where("a is not null").select("a", "b").distinct(), "pairs")
-        ids = staged(once.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+
+    def checked(pairs: DataFrame, sieve: bool) -> DataFrame:
+        once = staged(pairs.where("b is not null").select("a", "b").distinct(), "pairs")
+        if sieve:
+            once = staged(sieved(once, staged(traits(ends(once)), "outlines"), similarity), "sieved")
+        ids = ends(once)
         return staged(verified(once, staged(texts(ids), "texts")).where(F.col("distance") <= far).select("a", "b"), "verified")
 
     kind, schema = ["id", "size", "outline"], "again bigint, a bigint, b bigint"
@@ -370,24 +419,28 @@ def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
     dealt = keyed_join(members, large, "key", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)))
     groups = dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct(*kind)).alias("m"), F.max(F.col("chunks").isNotNull()).alias("dealt"))
     met = staged(groups.where((F.size("m") > 1) | F.col("dealt")).mapInArrow(first, schema), "met")
-    links = checked(met)
+    links = checked(met, traits is not None)
 
     # keys that are not done: with too many pairs across, or a member that is not like its leader
     keys = met.where("again is not null")
-    unlike = keys.where("a is not null").join(links, ["a", "b"], "left_anti")
+    unlike = keys.where("b is not null").join(links, ["a", "b"], "left_anti")
     again = staged(keys.where("a is null").unionByName(unlike.select(*keys.columns)).select(F.col("again").alias("key")).distinct(), "again")
     if again.isEmpty():
         return links
-    crowded = staged(keyed_join(members.select("key", "id"), again, "key"), "crowded")
+    own = keys.where("a is not null and b is null").select(F.col("again").alias("key"), F.col("a").alias("id"))
+    crowded = staged(keyed_join(own, again, "key"), "crowded")
     roots = components(links).withColumnsRenamed({"node": "id"})
     stars = roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))  # join what the links do, and are fewer
-    traits = staged(outlines(texts(staged(crowded.select("id").distinct(), "ids")), bits).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "traits")
-    rated = keyed_join(keyed_join(crowded, traits, "id"), large, "key", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)))
-    open_keys = staged(rated.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "open")
+    ids = staged(crowded.select("id").distinct(), "ids")
+    rooted = (outlines(texts(ids)) if traits is None else traits(ids)).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rated = keyed_join(keyed_join(crowded, staged(rooted, "traits"), "id"), large, "key", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)))
+    if not large.isEmpty():  # of keys that are dealt out those of one root are done; others cost nothing then
+        shut = staged(rated.where("chunks is not null").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x = y").select("key"), "shut")
+        rated = rated.join(small(shut), "key", "left_anti")
     others = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)).cast("int") - 1)).alias("other")
-    both = keyed_join(rated, open_keys, "key").select("*", others).groupBy("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
+    both = rated.select("*", others).groupBy("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
     blocks = both.agg(F.collect_list(F.struct(*kind, "root", "chunk")).alias("m")).where(F.size("m") > 1)
-    return stars.unionByName(checked(blocks.mapInArrow(across, schema)))
+    return stars.unionByName(checked(blocks.mapInArrow(across, schema), False))
 
 
 def clusters(docs: DataFrame, rows: DataFrame) -> DataFrame:

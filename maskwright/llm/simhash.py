@@ -38,8 +38,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import components, keyed_join, staged
-from maskwright.llm.paragraphs import REMEMBERED, SIMILARITY, _mixed, shingles, similar, tune
+from maskwright.llm.common import components, discard, keyed_join, live_paths, staged
+from maskwright.llm.paragraphs import REMEMBERED, SIMILARITY, _mixed, outline, shingles, similar, tune
 
 BITS = 64
 SEED = 42
@@ -292,7 +292,7 @@ def wide_bits(every: np.ndarray, words: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, parts: int, bits: int) -> DataFrame:
-    """Each row of ``docs(doc_id, text)`` as doc_id, the digest of its words, how many five-word shingles it has, HELD bits of its fingerprint, its partitions' values, and its shingles if they are few; a text of fewer words has no values."""
+    """Each row of ``docs(doc_id, text)`` as doc_id, the digest of its words, how many five-word shingles it has, HELD bits of its fingerprint, its partitions' values, its shingles if they are few, and its outline; a text of fewer words has no values."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     words_of = -(-max(parts * bits, HELD) // 64)
 
@@ -300,7 +300,7 @@ def _signed(docs: DataFrame, parts: int, bits: int) -> DataFrame:
         known: dict[bytes, int] = {}
         powers, numbers = 1 << np.arange(bits, dtype=np.int64), np.arange(parts, dtype=np.int64) << bits
         for batch in batches:
-            digests, sizes, held, values, few = [], [], [], [], []
+            digests, sizes, held, values, few, whole = [], [], [], [], [], []
             for text in batch.column("text"):
                 words = (text.as_py() or "").encode().lower().split()
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
@@ -313,12 +313,13 @@ def _signed(docs: DataFrame, parts: int, bits: int) -> DataFrame:
                 held.append(np.packbits(found[:HELD]).tobytes())
                 values.append(found[: parts * bits].reshape(parts, bits) @ powers + numbers if len(every) else [])
                 few.append(every.view(np.int64) if len(every) <= FEW else [])
+                whole.append(outline(every, OUTLINE))
                 if len(known) > REMEMBERED:
                     known.clear()
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(held, pa.binary()), pa.array(values, lists), pa.array(few, lists)], ["doc_id", "h", "size", "outline", "keys", "few"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(held, pa.binary()), pa.array(values, lists), pa.array(few, lists), pa.array(whole, pa.binary())], ["doc_id", "h", "size", "outline", "keys", "few", "whole"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, h binary, size int, outline binary, keys array<bigint>, few array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, h binary, size int, outline binary, keys array<bigint>, few array<bigint>, whole binary")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -328,7 +329,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     HELD bits at most; partitions miss a pair of just SIMILARITY with a chance
     below MISSED.  Each is verified on its words.
     """
-    columns = ["doc_id", "size", "outline", "keys", "few"]
+    columns = ["doc_id", "size", "outline", "keys", "few", "whole"]
     classes = _signed(docs, *cuts(docs.count())).groupBy("h").agg(F.min(F.struct(*columns)).alias("first")).select("first.*")
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = classes.select(F.explode("keys").alias("key"), "id", "size", "outline")
@@ -338,7 +339,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         wanted = staged(keyed_join(classes.select("id", "doc_id"), ids, "id"), "wanted")
         return keyed_join(docs, wanted, "doc_id").select("id", F.col("text").alias("paragraph"))
 
-    roots = components(similar(members.unionByName(by_shingle), texts, most=MOST, bits=OUTLINE)).withColumnsRenamed({"node": "id"})
+    def traits(ids: DataFrame) -> DataFrame:
+        return keyed_join(classes.select("id", "size", F.col("whole").alias("outline")), ids, "id")
+
+    roots = components(similar(members.unionByName(by_shingle), texts, most=MOST, traits=traits)).withColumnsRenamed({"node": "id"})
     rooted = classes.select("id", "doc_id").join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
     return rooted.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
@@ -355,7 +359,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
         marked = keyed_join(one.select(F.struct(*docs.columns).alias("row"), "doc_id"), repeated, "doc_id", "left")
         some = marked.where("again").select("row.*").dropDuplicates(["doc_id"])
         one = staged(marked.where("again is null").select("row.*").unionByName(some), "once")
+    before = live_paths(docs.sparkSession)
     stay = staged(near_copies(one.select("doc_id", "text")), "stay")
+    discard(docs.sparkSession, [p for p in live_paths(docs.sparkSession) if p not in before][:-1])  # the last one is stay
     gone = staged(one.select("doc_id").join(stay, "doc_id", "left_anti").withColumn("gone", F.lit(True)), "gone")  # fewer than those that stay
     kept = keyed_join(one.select(F.struct(*docs.columns).alias("row"), "doc_id"), gone, "doc_id", "left").where("gone is null").select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -111,3 +111,10 @@ def test_against_sql(spark, sf):
     have = D.op3_decontaminate(spark, f"/root/testdata/{sf}")
     assert sorted(have.columns) == sorted(want.columns)
     assert sorted(map(tuple, have.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_stage_leaves_only_what_its_result_needs(spark, data):
+    docs, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    before = common.live_paths(spark)
+    kept = D.drop_contaminated(docs, bench)
+    assert {p.rsplit("/", 1)[1].split("-")[0] for p in common.live_paths(spark) if p not in before} <= {"bad", "counts", "hot", "hot_side"} and kept.count()

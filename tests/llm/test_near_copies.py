@@ -4,6 +4,7 @@ import numpy as np
 
 from maskwright.llm import paragraphs as P
 from maskwright.llm import simhash as S
+from maskwright.llm.common import live_paths, staged
 from tests.llm.test_paragraphs import edited, paragraph
 
 
@@ -70,3 +71,35 @@ def test_short_texts_meet_at_their_shingles(spark, make_docs):
         ws = paragraph(rng, 8)
         texts += [" ".join(ws), " ".join([*ws, "more"])]
     assert {r["doc_id"] for r in S.keep_one(make_docs(texts)).collect()} == set(range(0, 600, 2))
+
+
+def test_crowded_values_bring_back_only_members_that_may_be_similar(spark, make_docs, monkeypatch):
+    """Where a value is compared once more, those that share it by chance and are like none stay out; the outlines spare most pairs their texts, and what the stage staged for itself goes."""
+    rng = random.Random(4)
+    ws = paragraph(rng, 200)
+    texts = [" ".join(edited(rng, ws, rng.randint(1, 8))) for _ in range(160)] + [" ".join(paragraph(rng, 200)) for _ in range(300)]
+    seen = {}
+
+    def kept(df, name):
+        out = staged(df, name)
+        seen.setdefault(name, out.collect())
+        return out
+
+    for module in (P, S):
+        monkeypatch.setattr(module, "staged", kept)
+    before = live_paths(spark)
+    assert {r["doc_id"] for r in S.keep_one(make_docs(texts)).collect()} == brute(texts)
+    of = {r["id"]: r["doc_id"] for r in seen["classes"]}
+    assert seen["crowded"] and {of[r["id"]] for r in seen["crowded"]} <= set(range(160))
+    assert 0 < len(seen["sieved"]) < len(seen["pairs"]) and {tuple(r) for r in seen["verified"]} <= {tuple(r) for r in seen["sieved"]}
+    assert {p.rsplit("/", 1)[1].split("-")[0] for p in live_paths(spark) if p not in before} <= {"repeated", "stay", "gone"}
+
+
+def test_members_that_touch_none():
+    rng = np.random.default_rng(5)
+    marks = rng.integers(0, 2**64, (700, 2), dtype=np.uint64)
+    marks[9], marks[600] = marks[3] ^ np.uint64(5), marks[8]
+    sizes = np.full(700, 50)
+    sizes[600] = 5  # too few for its like
+    assert np.flatnonzero(P.touching(sizes, marks, 0.8, 20)).tolist() == np.flatnonzero(P.touching(sizes, marks, 0.8, None)).tolist() == [3, 9]
+    assert P.touching(sizes[:1], marks[:1], 0.8, None).tolist() == [False]
