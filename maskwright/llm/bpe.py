@@ -63,6 +63,13 @@ class Tokenizer:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocab[a] * self.base + vocab[b]] = rank
             self.merges.append((vocab[a], vocab[b], vocab[a + b]))
+        #: ranks of the pairs that a symbol begins, by the second, and of those that it ends, by the first; symbols without any are left out
+        self.begun: dict[int, dict[int, int]] = {}
+        self.ended: dict[int, dict[int, int]] = {}
+        for pair, rank in self.ranks.items():
+            a, b = divmod(pair, self.base)
+            self.begun.setdefault(a, {})[b] = rank
+            self.ended.setdefault(b, {})[a] = rank
         #: rank by pair of bytes, -1 for none
         self.byte_ranks = np.full(65536, -1, np.int32)
         for i, a in enumerate(self.byte_ids):
@@ -107,39 +114,39 @@ class Tokenizer:
         heap = first[at[starts]].tolist()  # ascending, so a heap
         lists = dict(zip(heap, (x.tolist() for x in np.split(at, starts[1:])), strict=True)) if heap else {}
 
-        get, base, merges = self.ranks.get, self.base, self.merges
-        push, pop = heapq.heappush, heapq.heappop
+        merges, begun, ended, none = self.merges, self.begun, self.ended, {}
+        push, pop, known = heapq.heappush, heapq.heappop, lists.get
         while heap:
             rank = pop(heap)
             a, b, new = merges[rank]
             places = lists.pop(rank)
             if a == b:  # those that overlap merge from left to right
                 places.sort()
-            right, left = new * base, new
+            right, left = begun.get(new, none), ended.get(new, none)
             for i in places:
                 if sym[i] != a or sym[j := after[i]] != b:
                     continue  # merged meanwhile
                 sym[i], sym[j] = new, -2
                 after[i] = k = after[j]
                 before[k] = i
-                if (c := sym[k]) >= 0 and (r := get(right + c)) is not None:
-                    if r in lists:
-                        lists[r].append(i)
-                    else:
+                # a wall is in no pair; before the first symbol stands -1, the place of the last wall
+                if right and (r := right.get(sym[k])) is not None:
+                    if (there := known(r)) is None:
                         lists[r] = [i]
                         push(heap, r)
-                h = before[i]
-                if h >= 0 and (c := sym[h]) >= 0 and (r := get(c * base + left)) is not None:
-                    if r in lists:
-                        lists[r].append(h)
                     else:
+                        there.append(i)
+                if left and (r := left.get(sym[h := before[i]])) is not None:
+                    if (there := known(r)) is None:
                         lists[r] = [h]
                         push(heap, r)
-        out, at_byte = [], 0
-        for part in parts:
-            end = at_byte + len(part)
-            out.append([s for s in sym[at_byte:end] if s >= 0])
-            at_byte = end + 1
+                    else:
+                        there.append(h)
+        whole = np.array(sym)
+        ends = np.flatnonzero(whole == -1) + 1
+        counts = np.add.reduceat(whole >= 0, np.concatenate([[0], ends[:-1]]), dtype=np.int64).cumsum().tolist()
+        run = whole[whole >= 0].tolist()
+        out = [run[start:end] for start, end in zip([0, *counts], counts, strict=False)]
         return out
 
     def encode_block(self, texts: list[str]) -> list[list[Piece]]:

@@ -58,3 +58,11 @@ def test_frame(spark, make_docs, odd, both):
         ids = both[1].encode(text, add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_neighbours_of_a_symbol(both):
+    """The pairs by their first and by their second symbol are those of the vocabulary; a symbol that is in no pair asks for nothing."""
+    own = both[0]
+    pairs = {(a, b): rank for rank, (a, b, _) in enumerate(own.merges)}
+    assert {(a, b): r for a, bs in own.begun.items() for b, r in bs.items()} == {(a, b): r for b, xs in own.ended.items() for a, r in xs.items()} == pairs
+    assert own.index_pieces(["a", "aaaa", " the", "é"]) == [own.encode(p) for p in ("a", "aaaa", " the", "é")]
