@@ -40,6 +40,8 @@ PASSAGE, SHINGLE = 50, 25
 MISSED = 1e-3
 #: Pairs that pass to 32 members of a group, up to which all of them are verified at once; beyond that its members gather about leaders first.
 PAIRED = 64
+#: The same by other marks than outlines, which let pairs pass that are far from similar, such as those of texts that share a passage.
+MARKED = 8
 #: Comparisons of outlines in a chunk of a group, at most; a group of more members than the root of this is dealt out in chunks.
 FINISHED = 4_000_000
 #: Bits of an outline, and the share of the allowed difference within which a member gathers about a leader, by outlines and by other marks.
@@ -369,7 +371,7 @@ def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
     ``most`` bits at most, and then ``traits`` gives those of :func:`outlines` for
     a staged table of ids.
     """
-    paired, side = PAIRED, int(FINISHED**0.5)
+    paired, side = PAIRED if most is None else MARKED, int(FINISHED**0.5)
     far = 1 - similarity + 1e-12
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +384,10 @@ def similar(members: DataFrame, texts: Callable[[DataFrame], DataFrame], similar
                 if found is None:  # about leaders; if those are like their members, only pairs across are left
                     x, y = led(sizes, marks, similarity, most)
                     yield key, ids[x], ids[y]
-                    about = np.arange(len(ids))
-                    about[y] = x
-                    found = passing(sizes, marks, similarity, most, np.stack([about, about * 0]), limit)
+                    if most is None:  # by other marks too many would pass; the key is compared once more, by outlines
+                        about = np.arange(len(ids))
+                        about[y] = x
+                        found = passing(sizes, marks, similarity, most, np.stack([about, about * 0]), limit)
                     yield key, ids if batch.column("dealt")[i].as_py() else ids[touching(sizes, marks, similarity, most)], None
                 elif batch.column("dealt")[i].as_py():
                     yield key, ids, None
