@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +32,7 @@ def _ranges(spans: list[tuple[int, int]]) -> str:
     return "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in spans)
 
 
-def _runs(points: list[int]) -> list[tuple[int, int]]:
+def _runs(points: Iterable[int]) -> list[tuple[int, int]]:
     """Sorted code points as first and last of each run."""
     out: list[list[int]] = []
     for cp in points:
@@ -48,24 +49,26 @@ def _number(binary: Column) -> Column:
 
 
 class _Table:
-    """Strings by code point in three constant byte strings, which cost a plan little: for each block of 256 code points its number among those that hold any; for each code point of these offset and length; and the UTF-8 of all strings."""
+    """Strings by code point in three runs of bytes, which are added to ``data``: for each block of 256 code points its number among those that hold any; for each code point of these offset and length; and the UTF-8 of all strings."""
 
-    def __init__(self, entries: dict[int, str]):
+    def __init__(self, entries: dict[int, str], data: bytearray):
         used = sorted({cp >> 8 for cp in entries})
         number = {block: i + 1 for i, block in enumerate(used)}
-        self.blocks = b"".join(number.get(b, 0).to_bytes(2) for b in range((sys.maxunicode >> 8) + 1))
+        self.blocks = len(data)
+        data += b"".join(number.get(b, 0).to_bytes(2) for b in range((sys.maxunicode >> 8) + 1))
         held, records = bytearray(), bytearray(4 * 256)  # the first block is empty
         for block in used:
             for cp in range(block * 256, block * 256 + 256):
                 own = entries.get(cp, "").encode()
                 records += len(held).to_bytes(3) + len(own).to_bytes(1)
                 held += own
-        self.records, self.held = bytes(records), bytes(held)
+        self.records, self.held = len(data), len(data) + len(records)
+        data += records + held
 
-    def at(self, c: Column) -> Column:
-        """The entry of the first character of ``c``; empty if it has none."""
+    def at(self, c: Column, data: Column) -> Column:
+        """The entry of the first character of ``c`` in the bytes ``data``; empty if it has none."""
         cp = F.ascii(c)
-        slice_of = lambda data, at, n: F.substring(F.lit(data), at.cast("int"), n)
+        slice_of = lambda start, at, n: F.substring(data, (at + start).cast("int"), n)
         block = _number(slice_of(self.blocks, F.shiftright(cp, 8) * 2 + 1, F.lit(2)))
         record = slice_of(self.records, (block * 256 + cp.bitwiseAND(F.lit(255))) * 4 + 1, F.lit(4))
         return let(record, lambda r: slice_of(self.held, _number(F.substring(r, 1, 3)) + 1, _number(F.substring(r, 4, 1))).cast("string"))
@@ -93,12 +96,14 @@ def _tables() -> dict:
             pairs[a] = pairs.get(a, "") + chr(b) + c
             second.add(b)
     joining = classes.keys() | second | {*range(V, V + V_COUNT), *range(T + 1, T + T_COUNT)}
-    stable = _runs([cp for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000 and cp not in joining and unicodedata.normalize("NFKC", chr(cp)) == chr(cp)])
+    stable = _runs(cp for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000 and cp not in joining and unicodedata.normalize("NFKC", chr(cp)) == chr(cp))
     latin = [r for r in stable if r[0] < 0x250]
+    data = bytearray()
     return {
-        "opened": _Table(opened),
-        "classes": _Table(classes),
-        "pairs": _Table(pairs),
+        "opened": _Table(opened, data),
+        "classes": _Table(classes, data),
+        "pairs": _Table(pairs, data),
+        "data": bytes(data),
         "quick": _ranges([(0, 0x7F), (0xC0, 0xFF)]),
         "stable": _ranges(latin + sorted(stable[len(latin) :], key=lambda r: r[0] - r[1])[:LONG_RUNS]),
         "joining": r"\p{M}" + _ranges(_runs(sorted(cp for cp in joining if unicodedata.category(chr(cp))[0] != "M"))),
@@ -119,31 +124,31 @@ def _hangul_parts(c: Column) -> Column:
     )
 
 
-def _class(c: Column) -> Column:
+def _class(c: Column, data: Column) -> Column:
     """The canonical combining class."""
-    return F.coalesce(_tables()["classes"].at(c).try_cast("int"), F.lit(0))
+    return F.coalesce(_tables()["classes"].at(c, data).try_cast("int"), F.lit(0))
 
 
-def _composed(starter: Column, c: Column) -> Column:
+def _composed(starter: Column, c: Column, data: Column) -> Column:
     """The primary composite of two characters, or null."""
     a, b = F.ascii(starter), F.ascii(c)
     lv = a.between(L, L + 18) & b.between(V, V + V_COUNT - 1)
     lvt = a.between(HANGUL, HANGUL + HANGUL_COUNT - 1) & ((a - HANGUL) % T_COUNT == 0) & b.between(T + 1, T + T_COUNT - 1)
     cp = F.when(lv, ((a - L) * V_COUNT + b - V) * T_COUNT + HANGUL).when(lvt, a + b - T)
     # characters that may follow, each before its composite
-    known = let(_tables()["pairs"].at(starter), lambda k: let(F.instr(k, c), lambda place: F.when(place % 2 == 1, F.substring(k, place + 1, F.lit(1)))))
+    known = let(_tables()["pairs"].at(starter, data), lambda k: let(F.instr(k, c), lambda place: F.when(place % 2 == 1, F.substring(k, place + 1, F.lit(1)))))
     return F.when(lv | lvt, _char(cp.cast("int"))).otherwise(known)
 
 
-def _in_order(run: Column) -> Column:
+def _in_order(run: Column, data: Column) -> Column:
     """A run of marks in canonical order: each stretch between marks of class 0 sorted by class, equal classes as they stand."""
-    classed = F.transform(F.split(run, ""), lambda c, i: F.struct(_class(c).alias("k"), i.alias("i"), c.alias("c")))
+    classed = F.transform(F.split(run, ""), lambda c, i: F.struct(_class(c, data).alias("k"), i.alias("i"), c.alias("c")))
     begun = lambda stretch, m: F.when(m["k"] == 0, stretch + 1).otherwise(stretch)
     keyed = scan(classed, F.lit(0), begun, lambda stretch, m: F.struct(begun(stretch, m).alias("stretch"), m["k"].alias("k"), m["i"].alias("i"), m["c"].alias("c")), "struct<stretch:int,k:int,i:int,c:string>")
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["c"]), "")
 
 
-def _compose_run(run: Column) -> Column:
+def _compose_run(run: Column, data: Column) -> Column:
     """A starter and what may join it, composed as the standard says: a character joins the last starter unless one of its own class or a higher one stands between."""
 
     def joined(acc: Column, c: Column, klass: Column, whole: Column) -> Column:
@@ -156,24 +161,31 @@ def _compose_run(run: Column) -> Column:
 
     def step(acc: Column, c: Column) -> Column:
         free = lambda klass: (acc["starter"] != "") & ((acc["tail"] == "") | ((acc["last"] < klass) & (acc["last"] > 0)))
-        return let(_class(c), lambda klass: let(F.when(free(klass), _composed(acc["starter"], c)), lambda whole: joined(acc, c, klass, whole)))
+        return let(_class(c, data), lambda klass: let(F.when(free(klass), _composed(acc["starter"], c, data)), lambda whole: joined(acc, c, klass, whole)))
 
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("starter"), F.lit("").alias("tail"), F.lit(0).alias("last"))
     return F.aggregate(F.split(run, ""), start, step, lambda acc: F.concat(acc["out"], acc["starter"], acc["tail"]))
 
 
-def nfkc(text: Column) -> Column:
-    """``text`` in NFKC.  Texts of surely stable characters alone, nearly all, are only looked through."""
+def nfkc(text: Column, data: Column | None = None) -> Column:
+    """``text`` in NFKC.  Texts of surely stable characters alone, nearly all, are only looked through.
+
+    ``data`` are the tables' bytes, bound once by :func:`let`, as an array.  Plans
+    do not write an array's bytes out; of bytes by themselves they show every
+    digit, over a million in all, and the driver keeps the texts of plans.
+    """
+    if data is None:
+        return let(F.lit(_tables()["data"]), lambda held: nfkc(text, held))
     t = _tables()
     pieces = lambda s, pattern: F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
     stable, joining = t["stable"], t["joining"]
 
     def whole(s: Column) -> Column:
-        one = lambda c: F.when(F.ascii(c).between(HANGUL, HANGUL + HANGUL_COUNT - 1), _hangul_parts(c)).otherwise(F.coalesce(F.nullif(t["opened"].at(c), F.lit("")), c))
+        one = lambda c: F.when(F.ascii(c).between(HANGUL, HANGUL + HANGUL_COUNT - 1), _hangul_parts(c)).otherwise(F.coalesce(F.nullif(t["opened"].at(c, data), F.lit("")), c))
         opened = F.array_join(F.transform(pieces(s, rf"[{stable}]+(?![{joining}])|[{stable}]|[^{stable}]"), lambda c: F.when(F.char_length(c) == 1, one(c)).otherwise(c)), "")
-        ordered = F.array_join(F.transform(pieces(opened, r"\p{M}{2,}|\p{M}|\P{M}+"), lambda r: F.when(r.rlike(r"^\p{M}{2}"), _in_order(r)).otherwise(r)), "")
+        ordered = F.array_join(F.transform(pieces(opened, r"\p{M}{2,}|\p{M}|\P{M}+"), lambda r: F.when(r.rlike(r"^\p{M}{2}"), _in_order(r, data)).otherwise(r)), "")
         runs = pieces(ordered, f"[^{joining}]+(?![{joining}])|[^{joining}]?[{joining}]+")
-        return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"[{joining}]"), _compose_run(r)).otherwise(r)), "")
+        return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"[{joining}]"), _compose_run(r, data)).otherwise(r)), "")
 
     # most characters are told by the two ranges that come first
     unstable = lambda s: (F.octet_length(s) > F.char_length(s)) & s.rlike(rf"[^{t['quick']}](?<=[^{stable}])")
@@ -187,7 +199,7 @@ SPACES, WIDE_SPACES = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", r"\x{85}\x{1680}\x{2028}
 def canonical(text: Column) -> Column:
     """NFKC, then case folded by way of upper case, then NFKC where that has undone it; runs of white space become one space and none at the ends."""
     # the same steps twice, the second time on the folded text, so that the plan holds them once; the inner name keeps upper, which Catalyst would leave out before lower
-    folded = F.aggregate(F.array(F.lit(False), F.lit(True)), text, lambda s, fold: nfkc(F.when(fold, let(F.upper(s), F.lower)).otherwise(s)))
+    folded = let(F.lit(_tables()["data"]), lambda data: F.aggregate(F.array(F.lit(False), F.lit(True)), text, lambda s, fold: nfkc(F.when(fold, let(F.upper(s), F.lower)).otherwise(s), data)))
     for c in SPACES:
         folded = F.replace(folded, F.lit(c), F.lit(" "))
     spaced = let(folded, lambda s: F.when(F.octet_length(s) > F.char_length(s), F.regexp_replace(s, f"[{WIDE_SPACES}]", " ")).otherwise(s))

@@ -88,6 +88,12 @@ def test_no_python_runs(spark, make_docs):
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_plans_do_not_write_out_the_tables(spark, make_docs):
+    """The driver keeps the text of every plan that ran."""
+    df = make_docs(["a"]).select(P.digest(P.canonical(F.col("text"))).alias("fp"))
+    assert len(df._jdf.queryExecution().executedPlan().toString()) < 100_000
+
+
 def test_ids_that_are_no_numbers(spark, tmp_path):
     """Order is that of the strings; over many blocks."""
     texts = {f"d{i:03}": f"text number {i} of the many" for i in range(600)} | {"z": "last", "": "first of all"}
