@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import keyed_join, staged
 
 #: The rules of the query: verdict, host, path.  A rule holds for the host and all its subdomains, where the path begins with the rule's.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "host_entropy", "hyphens", "parameters", "query_length", "longest_label", "suffix_blocked", "suffix_rows")
 #: Labelled rows of a sample, at most, half of either class: those of the least hashes.
