@@ -94,6 +94,25 @@ def build_mapping(df: DataFrame, table: str, specs: Sequence[MaskSpec], operatio
     return entries.dropDuplicates(["column_name", "original_value_hash", "is_null"]) if df.isStreaming else entries
 
 
+def row_marks(df: DataFrame, specs: Sequence[MaskSpec], by: Sequence[str]) -> DataFrame:
+    """Which original is meant in the rows whose fake stands for several: ``row_key`` (a struct of the columns ``by`` as they are once masked), ``column_name, masked_value, original_value_hash``.
+
+    Fakes come from 32 bits, so among some hundred thousand originals a few are
+    shared, and the fake alone does not tell whose it is.  ``df`` is all of what
+    is masked, also where a mapping is made of a part.  The hash is null where
+    rows of one key have the same fake for different originals.  These rows are
+    few unless a column is short; they are as confidential as the mapping.
+    """
+    both = masked(df, [MaskSpec(s.column, s.kind, s.most, s.seed, s.unicode, s.fixed, s.nullable, s.params, f"__m_{s.column}") for s in specs])
+    own = {s.column for s in specs}
+    row_key = F.struct(*(F.col(f"__m_{c}" if c in own else c).alias(c) for c in by)).alias("row_key")
+    rows = both.select(row_key, F.explode(F.array(*(F.struct(F.lit(s.column).alias("column_name"), F.col(s.column).alias("original"), F.col(f"__m_{s.column}").alias("masked_value")) for s in specs))).alias("x")).select("row_key", "x.*").where("original is not null")
+    shared = rows.groupBy("column_name", "masked_value").agg(F.min("original").alias("a"), F.max("original").alias("b")).where("a <> b").select("column_name", "masked_value")
+    marked = rows.join(shared, ["column_name", "masked_value"], "left_semi").withColumn("hash", value_hash(F.col("original")))
+    one = marked.groupBy("row_key", "column_name", "masked_value").agg(F.min("hash").alias("a"), F.max("hash").alias("b"))
+    return one.select("row_key", "column_name", "masked_value", F.when(F.col("a") == F.col("b"), F.col("a")).alias("original_value_hash"))
+
+
 def table_info(entries: DataFrame) -> DataFrame:
     """By schema, table and column of the store: entries, distinct originals, how many are encrypted or null, and the latest time."""
     return entries.groupBy("schema_name", "table_name", "column_name").agg(

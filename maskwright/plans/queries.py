@@ -329,7 +329,7 @@ def restore_roundtrip(spark, sf_dir):
     df = named(spark, sf_dir, "customer", "c_name", "c_custkey")
     specs = [MaskSpec("c_name", "email")]
     entries = mapping.build_mapping(df, "dbo.customer", specs, "op", QUERY_KEY, CREATED)
-    return restore.restored(masked(df, specs), entries, ["c_name"], QUERY_KEY)
+    return restore.restored(masked(df, specs), entries, ["c_name"], QUERY_KEY, marks=mapping.row_marks(df, specs, ["c_custkey"]))
 
 
 @query("restore_partial", "SELECT c_name AS value, count(*)::BIGINT AS rows FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_name")

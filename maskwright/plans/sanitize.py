@@ -131,6 +131,7 @@ def sanitize(spark: SparkSession, frames: dict[str, DataFrame], config: Config,
             if not sink.is_complete(spark, target):
                 entries = mapping.build_mapping(df, table, specs, report.operation_id, key)
                 sink.staged_write(entries, f"{base}/mapping/{table}", mode="overwrite")
+                sink.staged_write(mapping.row_marks(df, specs, catalog.key_of(table)), f"{base}/marks/{table}", mode="overwrite")
                 sink.staged_write(masked(df, specs), target)
             step.status = "completed"
             if config.validate_after:
@@ -180,7 +181,8 @@ def restore_tables(spark: SparkSession, folder: str, operation_id: str, catalog:
         try:
             df, entries = spark.read.parquet(f"{base}/tables/{table}"), spark.read.parquet(f"{base}/mapping/{table}")
             columns = [r["column_name"] for r in entries.select("column_name").distinct().collect()]
-            out = restore.restored(df, entries, columns, key, strict=strict)
+            marks = spark.read.parquet(f"{base}/marks/{table}") if sink.exists(spark, f"{base}/marks/{table}") else None  # an earlier version's runs have none
+            out = restore.restored(df, entries, columns, key, strict=strict, marks=marks)
             step.rows = df.count()
             step.values_masked = step.rows * len(columns)
             if not dry:
