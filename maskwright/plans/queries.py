@@ -338,7 +338,7 @@ def restore_partial(spark, sf_dir):
     df = read(spark, sf_dir, "customer", "c_custkey", "c_name")
     specs = [MaskSpec("c_name", "email")]
     entries = mapping.build_mapping(df.where("c_custkey % 3 = 0"), "dbo.customer", specs, "op", QUERY_KEY, CREATED)
-    back = restore.restored(masked(df, specs), entries, ["c_name"], QUERY_KEY)
+    back = restore.restored(masked(df, specs), entries, ["c_name"], QUERY_KEY, marks=mapping.row_marks(df, specs, ["c_custkey"]))
     return back.where(~F.contains("c_name", F.lit("@"))).groupBy(F.col("c_name").alias("value")).agg(F.count("*").alias("rows"))
 
 

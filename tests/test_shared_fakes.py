@@ -69,3 +69,17 @@ def test_tables_of_shared_fakes_come_back(spark, tmp_path):
     back = restore_tables(spark, str(tmp_path / "o"), "op", catalog, key, str(tmp_path / "b"))
     assert back.successful, back.errors
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "b/dbo.t")).collect()), key=str) == sorted(rows, key=str)
+
+
+@pytest.fixture
+def part(spark, tmp_path):
+    """Customers of whom a mapping of every third key has one of the first pair and both of the second; no name stands at keys of both sorts."""
+    (a, b), (c, d) = TWINS
+    rows = [(3, a), (6, a), (4, b), (5, b), (7, b), (9, c), (12, d), (15, "Other"), (11, "More")]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    return str(tmp_path)
+
+
+def test_a_part_is_restored_without_its_namesakes(spark, part):
+    """An original that the mapping lacks does not come back as another that has its fake."""
+    against_sql(spark, part, "restore_partial")
