@@ -95,12 +95,13 @@ def restored(df: DataFrame, mapping: DataFrame, columns: Sequence[str], key: str
     return df.drop("__row_key")
 
 
-def rates(df: DataFrame, entries: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """By column how many values there are, how many the mapping can put back, and the share in per cent; 100 where there are none."""
-    ok = originals(entries, key).where("status = 'ok'").groupBy("column_name", "masked_value").agg(F.countDistinct("original").alias("n")).where("n = 1")
-    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("masked_value")) for c in columns))).alias("x")).select("x.*").where("masked_value is not null")
-    counts = values.groupBy("column_name", "masked_value").agg(F.count("*").alias("rows"))
-    known = counts.join(ok, ["column_name", "masked_value"], "left").groupBy("column_name").agg(F.sum("rows").alias("n_values"), F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("rows"))), F.lit(0)).alias("restored"))
+def rates(df: DataFrame, entries: DataFrame, columns: Sequence[str], key: str, marks: DataFrame | None = None) -> DataFrame:
+    """By column how many values there are, how many ``restored`` puts back with these ``marks``, and the share in per cent; 100 where there are none."""
+    ok = _known(entries, key, marks).select("column_name", "masked_value", F.col("which").alias("__which"), F.lit(True).alias("known"))
+    values = df.select(*([] if marks is None else [_row_key(marks).alias("__row_key")]), F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("masked_value")) for c in columns))).alias("x")).select(*([] if marks is None else ["__row_key"]), "x.*").where("masked_value is not null")
+    told = _which(values, marks, "__row_key", F.col("column_name"), "masked_value")
+    counts = told.groupBy("column_name", "masked_value", "__which").agg(F.count("*").alias("rows"))
+    known = counts.join(ok, ["column_name", "masked_value", "__which"], "left").groupBy("column_name").agg(F.sum("rows").alias("n_values"), F.coalesce(F.sum(F.when(F.col("known"), F.col("rows"))), F.lit(0)).alias("restored"))
     every = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string").join(known, "column_name", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return every.select("column_name", zero("n_values"), zero("restored"), F.coalesce(F.try_divide(100.0 * F.col("restored"), F.col("n_values")), F.lit(100.0)).alias("percent"))

@@ -347,7 +347,7 @@ def restore_rates(spark, sf_dir):
     df = read(spark, sf_dir, "customer", "c_custkey", "c_name")
     specs = [MaskSpec("c_name", "email")]
     entries = mapping.build_mapping(df.where("c_custkey % 3 = 0"), "dbo.customer", specs, "op", QUERY_KEY, CREATED)
-    return restore.rates(masked(df, specs), entries, ["c_name"], QUERY_KEY).select("column_name", "n_values", "restored", F.round("percent", 4).alias("percent"))
+    return restore.rates(masked(df, specs), entries, ["c_name"], QUERY_KEY, mapping.row_marks(df, specs, ["c_custkey"])).select("column_name", "n_values", "restored", F.round("percent", 4).alias("percent"))
 
 
 @query("restore_ambiguous", f"SELECT 'c_name' AS column_name, m AS masked_value, count(*)::BIGINT AS originals FROM (SELECT {sql_generic('c_name', 's', 3)} AS m FROM (SELECT DISTINCT c_name, {sql_seed('c_name')} AS s FROM customer)) GROUP BY m HAVING count(*) > 1")

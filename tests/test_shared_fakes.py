@@ -83,3 +83,14 @@ def part(spark, tmp_path):
 def test_a_part_is_restored_without_its_namesakes(spark, part):
     """An original that the mapping lacks does not come back as another that has its fake."""
     against_sql(spark, part, "restore_partial")
+
+
+def test_rates_count_no_namesakes(spark, part):
+    """What counts as restorable is what a restore puts back: five rows of nine, not the three whose fake another's original has."""
+    against_sql(spark, part, "restore_rates")
+    df, key = spark.read.parquet(f"{part}/customer.parquet"), mapping.new_key()
+    entries = mapping.build_mapping(df.where("c_custkey % 3 = 0"), "t", EMAIL, "op", key)
+    marks = mapping.row_marks(df, EMAIL, ["c_custkey"])
+    got = restore.rates(masked(df, EMAIL), entries, ["c_name"], key, marks).first()
+    back = restore.restored(masked(df, EMAIL), entries, ["c_name"], key, marks=marks)
+    assert (got["n_values"], got["restored"]) == (9, 5) and back.where("not contains(c_name, '@')").count() == got["restored"]
